@@ -84,7 +84,18 @@ def tokenize(col) -> Column:
 
     Works on the whole text; no length cap.
     """
-    return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(_c(col)), TOKEN_SPLIT_RE), "")
+
+
+def explode_terms(df, *keep, tokens="tokens", out: str = "term"):
+    """One row per token (kept columns repeated), rows of empty texts dropped.
+
+    Written with ``explode_outer`` + a null filter: a plain ``explode`` makes the
+    optimizer infer ``size(tokens) > 0`` and push it below a repartition, which
+    would tokenize the corpus a second time in the scan task.
+    """
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return df.select(*keep, F.explode_outer(t).alias(out)).filter(F.col(out).isNotNull())
 
 
 def fit_budget(q_tokens, p_tokens, max_len: int = 256) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import explode_terms, tokenize
 from .sizing import broadcast_bounded
 
 
@@ -38,7 +38,7 @@ def term_stats(docs: DataFrame, text_col: str = "text") -> TermStats:
     tok = docs.select("docid", tokenize(text_col).alias("tokens"))
     doc_len = tok.select("docid", F.size("tokens").alias("dl"))
     postings = (
-        tok.select("docid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        explode_terms(tok, "docid", F.size("tokens").alias("dl"))
         .groupBy("docid", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fit_budget, sample_order, tokenize, uniform
-from .retrieve import BM25_B, BM25_K1, idf, query_terms, query_term_bound, rank_within
+from .retrieve import BM25_B, BM25_K1, BM25Parts, rank_within
 from .sizing import broadcast_bounded
 
 # Passage windows, rerank depth and training subsample of the reference config.
@@ -101,7 +101,7 @@ def passages(docs: DataFrame, passagelen: int = PASSAGE_LEN, stride: int = PASSA
     n = passage_count(F.size(toks), passagelen, stride, numpassages)
     windows = F.transform(F.sequence(F.lit(0), n - 1),
                           lambda i: F.slice(toks, i * stride + 1, F.lit(passagelen)))
-    return (docs.select(*keep_cols, F.posexplode(windows).alias("pidx", "ptokens"))
+    return (docs.select(*keep_cols, F.posexplode_outer(windows).alias("pidx", "ptokens"))
             .withColumn("start", F.col("pidx") * stride))
 
 
@@ -116,38 +116,41 @@ def budget_tokens(pairs: DataFrame, max_len: int = MAX_SEQ_LEN) -> DataFrame:
 
 
 # --------------------------------------------------------------------- K6 scorers
-def query_weights(docs: DataFrame, topics: DataFrame, query_col: str = "query",
-                  text_col: str = "text", qterm_bound: int | None = None) -> DataFrame:
+def query_weights(parts: BM25Parts) -> DataFrame:
     """(qid, qterms array<struct<term, qw>>), qw = qtf * corpus idf.
 
-    df is counted only for query terms over the whole corpus; the array per query
-    is bounded by the query length.
+    Built from the same term-statistics subplan as the first-stage BM25 run
+    (its exchanges are reused); one array per query, bounded by query length.
     """
-    if qterm_bound is None:
-        qterm_bound = query_term_bound(topics, query_col)
-    tok = docs.select("docid", tokenize(text_col).alias("tokens"))
-    n_docs = tok.select(F.count(F.lit(1))).scalar()
-    qt = query_terms(topics, query_col)
-    vocab = broadcast_bounded(qt.select("term").distinct(), qterm_bound)
-    dfs = (tok.select("docid", F.explode(F.array_distinct("tokens")).alias("term"))
-           .join(vocab, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    qw = qt.join(dfs, "term", "left").select(
-        "qid", "term", (F.col("qtf") * idf(n_docs, F.coalesce(F.col("df"), F.lit(0)))).alias("qw"))
-    return qw.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "qw"))).alias("qterms"))
+    return parts.qw.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "qw"))).alias("qterms"))
+
+
+# Queries up to this many distinct terms are scored by an unrolled expression
+# (codegen, no lambda); longer ones by a higher-order ``aggregate``.
+UNROLL_MAX_TERMS = 64
 
 
 def bm25_passage_score(qterms: Column, ptokens: Column, k1: float = BM25_K1, b: float = BM25_B,
-                       avg_len: float = PASSAGE_LEN) -> Column:
+                       avg_len: float = PASSAGE_LEN, max_terms: int | None = None) -> Column:
     """BM25 of a passage: corpus idf, tf in the passage, length normalised by the
-    nominal passage length (so a passage's score does not depend on the others)."""
+    nominal passage length (so a passage's score does not depend on the others).
+
+    tf of a term = size(p) - size(array_remove(p, term)): one native pass per
+    query term.
+    """
     pl = F.size(ptokens)
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * pl / F.lit(float(avg_len)))
 
-    def add(acc, t):
-        tf = F.size(F.filter(ptokens, lambda x: x == t["term"])).cast("double")
-        return acc + t["qw"] * tf / (tf + norm)
+    def contrib(t):
+        tf = (pl - F.size(F.array_remove(ptokens, t["term"]))).cast("double")
+        return t["qw"] * (tf / (tf + norm))
 
-    return F.aggregate(qterms, F.lit(0.0), add)
+    if max_terms is not None and max_terms <= UNROLL_MAX_TERMS:
+        s = F.lit(0.0)
+        for i in range(1, max_terms + 1):
+            s = s + F.coalesce(contrib(F.try_element_at(qterms, F.lit(i))), F.lit(0.0))
+        return s
+    return F.aggregate(qterms, F.lit(0.0), lambda acc, t: acc + contrib(t))
 
 
 def overlap_score(qtokens: Column, ptokens: Column) -> Column:
@@ -178,20 +181,20 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
                   stride: int = PASSAGE_STRIDE, numpassages: int | None = None,
                   pair_bound: int | None = None, q_bound: int | None = None,
                   group_cols: Sequence[str] = ()) -> DataFrame:
-    """(g.., qid, docid, pidx, ptokens, <qside cols>) for every passage of every
-    document in the cut run.
+    """(g.., qid, docid, pidx, start, ptokens, <qside cols>) for every passage of
+    every document in the cut run.
 
-    Only the cut run's documents are read (broadcast semi join behind
-    ``pair_bound`` = topics x depth), passages are cut where the document is, and
-    the (qid, docid) pairs plus the query side are broadcast onto them.
+    The cut run's (qid, docid) pairs are broadcast (bounded by topics x depth)
+    onto the streaming corpus, so only needed documents survive the scan and the
+    corpus is never shuffled; passages are cut in the task that read the
+    document, then the query side is attached by another bounded broadcast.
     """
     g = list(group_cols)
     pairs = cut.select(*g, "qid", "docid")
-    need = broadcast_bounded(pairs.select("docid").distinct(), pair_bound)
-    d = docs.join(need, "docid", "left_semi").select("docid", tokenize("text").alias("tokens"))
-    p = passages(d, passagelen, stride, numpassages)
-    return (p.join(broadcast_bounded(pairs, pair_bound), "docid")
-            .join(broadcast_bounded(qside, q_bound), "qid"))
+    d = (docs.join(broadcast_bounded(pairs, pair_bound), "docid")
+         .select(*g, "qid", "docid", tokenize("text").alias("tokens")))
+    p = passages(d, passagelen, stride, numpassages, keep_cols=(*g, "qid", "docid"))
+    return p.join(broadcast_bounded(qside, q_bound), "qid")
 
 
 # --------------------------------------------------------------------- K7 / K8

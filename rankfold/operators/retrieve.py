@@ -15,11 +15,12 @@ subqueries, so no global value goes through the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import explode_terms, tokenize
 from .sizing import broadcast_bounded
 
 # BM25 parameters of the reference's large-collection runs and depths.
@@ -78,12 +79,23 @@ def bm25_tf_part(tf: Column, dl: Column, avgdl: Column, k1, b) -> Column:
     return tf / (tf + k1 * (F.lit(1.0) - b + b * dl / avgdl))
 
 
-def bm25_hits(docs: DataFrame, topics: DataFrame, text_col: str = "text",
-              query_col: str = "query", qterm_bound: int | None = None) -> tuple[DataFrame, Column]:
-    """(qid, docid, dl, tf, qw) for every (query term, document) hit, and avgdl.
+@dataclass
+class BM25Parts:
+    """Shared pieces of BM25 over one corpus and one topic set.
 
-    ``qw`` = qtf * idf.  Only hits of query terms are produced.
+    tf: (docid, dl, term, tf) for query-vocabulary terms only;
+    qw: (qid, term, qw) with qw = qtf * idf; n_docs / avgdl: scalar subqueries.
     """
+
+    tf: DataFrame
+    qw: DataFrame
+    n_docs: Column
+    avgdl: Column
+    qterm_bound: int
+
+
+def bm25_parts(docs: DataFrame, topics: DataFrame, text_col: str = "text",
+               query_col: str = "query", qterm_bound: int | None = None) -> BM25Parts:
     if qterm_bound is None:
         qterm_bound = query_term_bound(topics, query_col)
     tok = docs.select("docid", tokenize(text_col).alias("tokens"))
@@ -91,24 +103,29 @@ def bm25_hits(docs: DataFrame, topics: DataFrame, text_col: str = "text",
     n_docs, avgdl = coll.select("n").scalar(), coll.select("avgdl").scalar()
     qt = query_terms(topics, query_col)
     vocab = broadcast_bounded(qt.select("term").distinct(), qterm_bound)
-    tf = (tok.select("docid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    tf = (explode_terms(tok, "docid", F.size("tokens").alias("dl"))
           .join(vocab, "term", "left_semi")
           .groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qw = (qt.join(dfs, "term")
           .select("qid", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw")))
-    hits = tf.join(broadcast_bounded(qw, qterm_bound), "term").select("qid", "docid", "dl", "tf", "qw")
-    return hits, avgdl
+    return BM25Parts(tf, qw, n_docs, avgdl, qterm_bound)
+
+
+def bm25_hits(parts: BM25Parts) -> DataFrame:
+    """(qid, docid, dl, tf, qw) for every (query term, document) hit."""
+    return (parts.tf.join(broadcast_bounded(parts.qw, parts.qterm_bound), "term")
+            .select("qid", "docid", "dl", "tf", "qw"))
 
 
-def bm25(docs: DataFrame, topics: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+def bm25(docs: DataFrame | None, topics: DataFrame | None, k1: float = BM25_K1, b: float = BM25_B,
          k: int | None = SEARCH_DEPTH, text_col: str = "text", query_col: str = "query",
-         qterm_bound: int | None = None) -> DataFrame:
+         qterm_bound: int | None = None, parts: BM25Parts | None = None) -> DataFrame:
     """R2 + R3: BM25 run (qid, docid, score, rank), best k per query."""
-    hits, avgdl = bm25_hits(docs, topics, text_col, query_col, qterm_bound)
-    run = (hits.select("qid", "docid",
-                       (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("w"))
-           .groupBy("qid", "docid").agg(F.sum("w").alias("score")))
+    parts = parts or bm25_parts(docs, topics, text_col, query_col, qterm_bound)
+    run = (bm25_hits(parts).select(
+        "qid", "docid", (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), parts.avgdl, k1, b)).alias("w"))
+        .groupBy("qid", "docid").agg(F.sum("w").alias("score")))
     return rank_within(run, ("qid",), "score", k=k)
 
 
@@ -125,7 +142,8 @@ def bm25_sweep(docs: DataFrame, topics: DataFrame, grid: Sequence[tuple[float, f
                qterm_bound: int | None = None) -> DataFrame:
     """One BM25 run per (k1, b); the hits are computed once and multiplied by
     the grid with ``explode`` (a Generate, not a join)."""
-    hits, avgdl = bm25_hits(docs, topics, text_col, query_col, qterm_bound)
+    parts = bm25_parts(docs, topics, text_col, query_col, qterm_bound)
+    hits, avgdl = bm25_hits(parts), parts.avgdl
     g = hits.select("qid", "docid", "dl", "tf", "qw", F.explode(sweep_grid(grid)).alias("p"))
     run = (g.select(F.col("p.run_id").alias("run_id"), "qid", "docid",
                     (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), avgdl,

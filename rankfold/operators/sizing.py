@@ -31,3 +31,17 @@ def row_bound(df: DataFrame) -> int:
     the broadcast of tables derived from them safe.
     """
     return int(df.count())
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the
+    cluster runs tasks at once.
+
+    A corpus stored as a few large files (one parquet row group, unsplittable
+    gzip shards) would otherwise push all text work through a few tasks.  On a
+    large input with many splits this is a no-op, so no shuffle is added there.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

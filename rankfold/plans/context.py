@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators import rerank as K
-from ..operators.retrieve import SEARCH_DEPTH, bm25, query_term_bound
+from ..operators.retrieve import SEARCH_DEPTH, bm25, bm25_parts
 from ..operators.sizing import row_bound
 from ..sources import testbed
 
@@ -59,17 +59,31 @@ class Experiment:
         return row_bound(testbed.table(self.spark, self.sf_dir, "benchmark"))
 
     @cached_property
+    def _title_sizes(self) -> tuple[int, int]:
+        r = self.title.select(F.sum(F.size(tokenize("query"))), F.max(F.size(tokenize("query")))).first()
+        return int(r[0] or 0), int(r[1] or 0)
+
+    @property
     def title_bound(self) -> int:
-        return query_term_bound(self.title)
+        """Rows of (qid, term) for title queries: total title length."""
+        return self._title_sizes[0]
+
+    @property
+    def max_title_terms(self) -> int:
+        return self._title_sizes[1]
 
     @property
     def cut_bound(self) -> int:
         return self.n_topics * THRESHOLD
 
     # -- first stage ----------------------------------------------------------
+    @cached_property
+    def parts(self):
+        return bm25_parts(self.docs, self.title, qterm_bound=self.title_bound)
+
     @cached_property
     def search_run(self) -> DataFrame:
-        return bm25(self.docs, self.title, k=SEARCH_DEPTH, qterm_bound=self.title_bound)
+        return bm25(None, None, k=SEARCH_DEPTH, parts=self.parts)
 
     @cached_property
     def cut(self) -> DataFrame:
@@ -79,7 +93,7 @@ class Experiment:
     @cached_property
     def qside(self) -> DataFrame:
         """(qid, qtokens, qterms): query tokens and BM25 term weights per query."""
-        qw = K.query_weights(self.docs, self.title, qterm_bound=self.title_bound)
+        qw = K.query_weights(self.parts)
         return self.title.select("qid", tokenize("query").alias("qtokens")).join(qw, "qid", "left")
 
     def pairs(self, numpassages: int | None = None) -> DataFrame:
@@ -88,7 +102,8 @@ class Experiment:
                                q_bound=self.n_topics)
 
     def passage_scores(self, scorer: str = "bm25_passage") -> DataFrame:
-        return K.score_passages(self.pairs(), scorer)
+        kw = {"max_terms": self.max_title_terms} if scorer == "bm25_passage" else {}
+        return K.score_passages(self.pairs(), scorer, **kw)
 
     def doc_scores(self, scorer: str = "bm25_passage") -> DataFrame:
         return K.aggregate_scores(self.passage_scores(scorer))

@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
-from ..operators.sizing import broadcast_bounded, row_bound
+from ..functions.text import explode_terms, tokenize
+from ..operators.benchmark import make_folds
+from ..operators.sizing import broadcast_bounded, row_bound, spread
 
 # Fixed values of the derivation.
 TITLE_TOKENS = 8
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("docid"), "doc_id", "text")
+    return spread(d.select(F.col("doc_id").cast("string").alias("docid"), "doc_id", "text"), "docid")
 
 
 def topics(spark: SparkSession, sf_dir: str, query_type: str | None = None) -> DataFrame:
@@ -65,9 +66,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.explode(F.array_distinct(tokenize("text"))).alias("term"))
     tsize = tterms.groupBy("qid", "item_id").agg(F.count(F.lit(1)).alias("nt"))
     bound = b.select(F.sum(F.size(F.array_distinct(tokenize("text"))))).first()[0] or 0
-    d = table(spark, sf_dir, "documents")
-    dterms = d.select(F.col("doc_id").cast("string").alias("docid"), "doc_id",
-                      F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    dterms = explode_terms(d, F.col("doc_id").cast("string").alias("docid"), "doc_id",
+                           tokens=F.array_distinct(tokenize("text")))
     hits = (dterms.join(broadcast_bounded(tterms, int(bound)), "term")
             .groupBy("qid", "item_id", "docid", "doc_id").agg(F.count(F.lit(1)).alias("nh")))
     r = F.col("nh") / F.col("nt")
@@ -84,19 +85,3 @@ def folds(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return make_folds(b.select(F.col("item_id").cast("string").alias("qid"),
                                F.col("item_id").alias("ord")), n)
-
-
-def make_folds(topic_ids: DataFrame, n: int) -> DataFrame:
-    """B1: k-fold assignment with rotated dev.  ``topic_ids`` = (qid, ord long).
-
-    Every topic is multiplied by the n fold names with ``explode`` (a Generate),
-    so no join is needed.
-    """
-    bucket = F.pmod(F.col("ord"), F.lit(n)) + 1
-    i = F.col("i")
-    prev = F.when(i == 1, F.lit(n)).otherwise(i - 1)
-    return (topic_ids.select("qid", bucket.alias("bucket"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-            .select(F.concat(F.lit("s"), i.cast("string")).alias("fold"),
-                    F.when(F.col("bucket") == i, "test").when(F.col("bucket") == prev, "dev")
-                    .otherwise("train").alias("split"),
-                    "qid"))
