@@ -13,6 +13,11 @@ module numbers rows with a range-partitioned sort instead:
 
 Step 3's table has at most (#tasks + #groups) rows.  The numbering is exact
 (1..n per group); with a unique order key it is also the same on every retry.
+
+The indexed rows are used twice (rows and per-task counts).  Range partition
+bounds come from a sample seeded per RDD, so two evaluations could cut the data
+differently; the indexed rows are therefore written once with a reliable
+``checkpoint`` (shared checkpoint folder) and both branches read that copy.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def sequence_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                     out: str = "step", num_partitions: int | None = None) -> DataFrame:
@@ -31,6 +38,7 @@ def sequence_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_li", F.monotonically_increasing_id()
                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    s = checkpoint(s)
     blocks = s.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_li").alias("_lo"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

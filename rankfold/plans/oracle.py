@@ -15,6 +15,29 @@ def cte(name: str, deps: tuple[str, ...], body: str) -> None:
     CTES[name] = (deps, body)
 
 
+def nudge_rounding(q: str) -> str:
+    """``round(x, 6)`` -> ``round(x + 1e-9, 6)`` except in ORDER BY keys (see registry.r6)."""
+    out, i = [], 0
+    while True:
+        j = q.find("round(", i)
+        if j < 0:
+            out.append(q[i:])
+            return "".join(out)
+        k, depth = j + len("round("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(q[k], 0)
+            k += 1
+        inner = q[j + 6:k - 1]
+        head, _, digits = inner.rpartition(",")
+        ordering = q[max(0, j - 40):j].upper().rstrip().endswith("BY") or "OVER" in q[j:k] \
+            or q[max(0, j - 40):j].upper().rfind("ORDER BY") > q[max(0, j - 40):j].rfind(")")
+        if digits.strip() == "6" and not ordering:
+            out.append(q[i:j] + f"round(({nudge_rounding(head)}) + 1e-9, 6)")
+        else:
+            out.append(q[i:k])
+        i = k
+
+
 def sql(body: str, *names: str) -> str:
     order: list[str] = []
 
@@ -28,9 +51,9 @@ def sql(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     if not order:
-        return body.strip()
+        return nudge_rounding(body.strip())
     parts = [f"{n} AS (\n{CTES[n][1].strip()}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return nudge_rounding("WITH " + ",\n".join(parts) + "\n" + body.strip())
 
 
 TOK = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"

@@ -147,6 +147,7 @@ FROM (SELECT f.fold, f.split, r.qid, r.docid, r.score FROM {src} r JOIN folds5 f
     dev_pq = O.per_query_sql("dev_ranked", "shallow50", ks_p=(), ks_judged=(), group=("fold", "weight"))
     test_pq = O.per_query_sql("test_ranked", "qrels", group=("fold", "weight", "dev_value"))
     return f"""
+SELECT * FROM (
 WITH s AS ({norm('run', 's')}),
 r AS ({norm('maxp', 'r')}),
 both_ AS (SELECT coalesce(s.fold, r.fold) AS fold, coalesce(s.split, r.split) AS split,
@@ -165,7 +166,7 @@ test AS (SELECT b.fold, b.qid, b.docid, c.weight, c.dev_value,
 test_ranked AS (SELECT *, row_number() OVER (PARTITION BY fold, qid ORDER BY round(score, 6) DESC, docid DESC) AS rank FROM test)
 SELECT fold, weight, round(dev_value, 6) AS dev_value, metric, round(avg(value), 6) AS value FROM (
   UNPIVOT (SELECT * FROM {test_pq} p) ON {METRIC_COLS} INTO NAME metric VALUE value)
-GROUP BY fold, weight, dev_value, metric
+GROUP BY fold, weight, dev_value, metric)
 """
 
 

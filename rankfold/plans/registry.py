@@ -25,8 +25,14 @@ def register(name: str, oracle_sql: str | None = None):
     return deco
 
 
+# Outputs are rounded to 6 digits after a 1e-9 nudge: means of metrics are often
+# exact decimal ties (x.xxxxxx5) and float noise from summation order would
+# otherwise round them up in one engine and down in another.
+NUDGE = 1e-9
+
+
 def r6(c) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), 6)
 
 
 def X(spark: SparkSession, sf_dir: str) -> Experiment:
