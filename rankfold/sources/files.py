@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import parse_trecweb
+from ..functions.text import WS_RE, parse_trecweb
 from ..operators.sizing import spread
 
 # Fixed values of the formats.
@@ -92,7 +92,7 @@ def read_topics(spark: SparkSession, path: str, query_type: str | None = None) -
     """
     def field(tag: str, prefix: str = "") -> F.Column:
         v = F.regexp_extract("value", rf"(?s)<{tag}>\s*(?:{prefix})?(.*?)(?=<[a-z]+>|$)", 1)
-        return F.trim(F.regexp_replace(v, r"\s+", " "))
+        return F.trim(F.regexp_replace(v, WS_RE, " "))
 
     t = (spark.read.option("lineSep", TOPIC_END).text(path)
          .filter(F.col("value").contains("<top>"))
@@ -160,10 +160,13 @@ def read_run(spark: SparkSession, path: str, expect: dict | None = None) -> Data
 
 
 def write_run(run: DataFrame, path: str, run_id: str | None = None, partition_cols=()) -> None:
-    """Trec run text, one folder per partition value (e.g. run_id, fold, split)."""
+    """Trec run text, one folder per partition value (e.g. run_id, fold, split).
+
+    Scores are written in their shortest exact form so that reading the file
+    back gives the same doubles (and the same ranks)."""
     rid = F.lit(run_id) if run_id else F.col("run_id")
     line = F.concat_ws(" ", "qid", F.lit(RUN_TAG_Q0), "docid", F.col("rank").cast("string"),
-                       F.format_string("%.6f", "score"), rid)
+                       F.col("score").cast("string"), rid)
     out = run.select(line.alias("value"), *partition_cols)
     w = out.write.mode("overwrite")
     if partition_cols:
