@@ -72,10 +72,10 @@ def split_docid(col) -> Column:
     """T5: ``GX000-10-0000000`` -> struct(dir, file, record, shard)."""
     parts = F.split(_c(col), "-")
     return F.struct(
-        parts.getItem(0).alias("dir"),
-        parts.getItem(1).alias("file"),
-        parts.getItem(2).alias("record"),
-        F.concat(parts.getItem(0), F.lit("/"), parts.getItem(1), F.lit(".gz")).alias("shard"),
+        F.get(parts, 0).alias("dir"),
+        F.get(parts, 1).alias("file"),
+        F.get(parts, 2).alias("record"),
+        F.concat(F.get(parts, 0), F.lit("/"), F.get(parts, 1), F.lit(".gz")).alias("shard"),
     )
 
 

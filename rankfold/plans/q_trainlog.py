@@ -77,3 +77,67 @@ def q_select_metrics(spark, sf_dir):
     """Keep the seven logged names, prefixed ``dev-``."""
     s = G.select_metrics(_dev_log(spark, sf_dir))
     return s.select("run_id", "epoch", "metric", r6("value").alias("value"))
+
+
+# ------------------------------------------------------------------ K9 pairwise model
+FEATURES = ("f_bm25", "f_maxp", "f_firstp", "f_overlap", "f_quality")
+
+
+def _features(x):
+    """Per (qid, docid) of the cut run: first-stage BM25, MaxP and FirstP of the
+    BM25 passage scorer, MaxP of the overlap scorer, and the document's quality
+    label (0 when unlabelled)."""
+    bm = x.doc_scores("bm25_passage").select("qid", "docid", F.col("score_max").alias("f_maxp"),
+                                             F.col("score_first").alias("f_firstp"))
+    ov = x.doc_scores("overlap").select("qid", "docid", F.col("score_max").alias("f_overlap"))
+    lab = testbed.table(x.spark, x.sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("docid"), F.col("quality").cast("double").alias("q"))
+    return (x.cut.select("qid", "docid", F.col("score").alias("f_bm25"))
+            .join(bm, ["qid", "docid"]).join(ov, ["qid", "docid"]).join(lab, "docid", "left")
+            .withColumn("f_quality", F.coalesce("q", F.lit(0.0))).drop("q"))
+
+
+def _fit_all(spark, sf_dir):
+    from pyspark import StorageLevel
+
+    from ..operators import benchmark as B
+    from ..operators import pairwise as P
+    from ..operators import rerank as K
+    from ..session import checkpoint
+    from .registry import X
+
+    x = X(spark, sf_dir)
+    feats = checkpoint(_features(x))
+    folds = x.folds(5)
+    train = B.split_run(x.cut.select("qid", "docid"), folds, x.n_topics * 5, ("train",))
+    trip = K.triplets(train.select("fold", "qid", "docid"), x.qrels, 1, 2, 42, ["fold"])
+    ex = checkpoint(P.pair_examples(trip, feats, FEATURES, ["fold"])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    for f in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        w, iters = P.fit_pairwise(ex.filter(F.col("fold") == f), FEATURES)
+        rows += [(f, c, v, iters) for c, v in zip(FEATURES, w)]
+    ex.unpersist()
+    weights = spark.createDataFrame(rows, "fold string, feature string, weight double, n_iter int")
+    return x, feats, folds, weights
+
+
+@register("pairwise_model")
+def q_pairwise_model(spark, sf_dir):
+    """K9: per-fold RankSVM weights (hinge loss) from training triplets; iterative
+    fit, so no SQL oracle (rows-only check)."""
+    return _fit_all(spark, sf_dir)[3]
+
+
+@register("pairwise_eval")
+def q_pairwise_eval(spark, sf_dir):
+    """K6 ``linear`` scorer: each fold's model reranks its test queries; test means."""
+    from ..operators import benchmark as B
+    from ..operators import metrics as E
+    from ..operators import pairwise as P
+    from ..operators.retrieve import rank_within
+
+    x, feats, folds, weights = _fit_all(spark, sf_dir)
+    test = B.split_run(feats, folds, x.n_topics * 5, ("test",))
+    scored = rank_within(P.score_linear(test, weights, FEATURES), ["fold", "qid"], "score")
+    m = E.mean_metrics(E.eval_run(scored, x.qrels, E.DEFAULT_METRICS, 1, ["fold"]), ["fold"])
+    return m.select("fold", "metric", r6("value").alias("value"), "n_queries")

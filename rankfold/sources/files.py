@@ -72,9 +72,9 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     lines are kept with ``parse_error``."""
     p = F.split(F.trim(F.col("value")), r"\s+")
     t = spark.read.text(path).filter(F.trim("value") != "")
-    ok = (F.size(p) == 4) & p.getItem(3).rlike(r"^-?\d+$")
-    return t.select(p.getItem(0).alias("qid"), p.getItem(2).alias("docid"),
-                    F.when(ok, p.getItem(3).cast("int")).alias("rel"),
+    ok = (F.size(p) == 4) & F.get(p, 3).rlike(r"^-?\d+$")
+    return t.select(F.get(p, 0).alias("qid"), F.get(p, 2).alias("docid"),
+                    F.when(ok, F.get(p, 3).cast("int")).alias("rel"),
                     F.when(~ok, F.col("value")).alias("parse_error"))
 
 
@@ -148,8 +148,8 @@ def read_run(spark: SparkSession, path: str, expect: dict | None = None) -> Data
     """
     p = F.split(F.trim(F.col("value")), r"\s+")
     r = (spark.read.text(path).filter(F.trim("value") != "")
-         .select(p.getItem(5).alias("run_id"), p.getItem(0).alias("qid"), p.getItem(2).alias("docid"),
-                 p.getItem(3).cast("int").alias("rank"), p.getItem(4).cast("double").alias("score")))
+         .select(F.get(p, 5).alias("run_id"), F.get(p, 0).alias("qid"), F.get(p, 2).alias("docid"),
+                 F.get(p, 3).try_cast("int").alias("rank"), F.get(p, 4).try_cast("double").alias("score")))
     if expect:
         ok = F.lit(True)
         for k, v in expect.items():
