@@ -90,52 +90,70 @@ def cv_metrics(runs: DataFrame, folds: DataFrame, full_qrels: DataFrame,
     return E.mean_metrics(E.eval_run(u, full_qrels, metrics, level, group_cols), group_cols)
 
 
-def minmax(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    """Per-group min-max normalisation; a constant group maps to 0."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(out, F.when(hi > lo, (F.col(col) - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+def minmax(df: DataFrame, keys: Sequence[str], col: str, out: str,
+           keys_bound: int | None = None) -> DataFrame:
+    """Per-group min-max normalisation; a constant group maps to 0.
+
+    The (min, max) per group is a grouped aggregate broadcast back behind
+    ``keys_bound`` (e.g. the number of topics), so the run is not shuffled.
+    """
+    mm = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return (df.join(broadcast_bounded(mm, keys_bound), list(keys))
+            .withColumn(out, F.when(hi > lo, (F.col(col) - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+            .drop("_lo", "_hi"))
 
 
 def interpolate(search: DataFrame, rerank: DataFrame, folds: DataFrame, sampled_qrels: DataFrame,
                 full_qrels: DataFrame, optimize: str = "ndcg_cut_20",
                 metrics: Sequence[str] = E.DEFAULT_METRICS, weights: Sequence[float] = WEIGHTS,
-                level: int = 1, folds_bound: int | None = None) -> DataFrame:
+                level: int = 1, folds_bound: int | None = None, q_bound: int | None = None) -> DataFrame:
     """Searcher (+) reranker fusion with the weight chosen per fold on dev.
 
-    Inputs are (qid, docid, score) runs shared by all folds.  Scores are min-max
-    normalised per (fold, split, qid) on each side; a document missing on one side
-    gets 0 there.  Every weight is evaluated on dev only (rows x |weights|), the
-    best weight per fold (ties: smaller w) is a small table joined back to test,
-    so test rows are fused once.  Output: (fold, weight, dev_value, metric, value)
-    with the test metrics of the chosen weight.
+    Inputs are (qid, docid, score) runs shared by all folds, so the per
+    (fold, split, qid) min-max normalisation equals a per-query one and is done
+    once, before the fold tags.  A document missing on one side gets 0 there.
+    Labels (sampled and full) are joined once, before the weights multiply the
+    dev rows; every weight is evaluated on dev only, with ranks and metrics from
+    one window and one aggregate.  The best weight per fold (ties: smaller w) is
+    a small table broadcast back onto the test rows, fused once.  Output:
+    (fold, weight, dev_value, metric, value) with the chosen weight's test means.
     """
-    keys = ["fold", "split", "qid"]
-    s = minmax(assemble_runs(search.select("qid", "docid", "score"), folds, folds_bound=folds_bound),
-               keys, "score", "s").select(*keys, "docid", "s")
-    r = minmax(assemble_runs(rerank.select("qid", "docid", "score"), folds, folds_bound=folds_bound),
-               keys, "score", "r").select(*keys, "docid", "r")
-    both = (s.join(r, [*keys, "docid"], "full")
-            .select(*keys, "docid", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("r", F.lit(0.0)).alias("r")))
+    s = minmax(search.select("qid", "docid", "score"), ["qid"], "score", "s_norm", q_bound).drop("score")
+    r = minmax(rerank.select("qid", "docid", "score"), ["qid"], "score", "r_norm", q_bound).drop("score")
+    both = (s.join(r, ["qid", "docid"], "full")
+            .select("qid", "docid", F.coalesce("s_norm", F.lit(0.0)).alias("s_norm"),
+                    F.coalesce("r_norm", F.lit(0.0)).alias("r_norm")))
+    labelled = (both.join(sampled_qrels.select("qid", "docid", F.col("rel").alias("rel_dev")), ["qid", "docid"], "left")
+                .join(full_qrels.select("qid", "docid", F.col("rel").alias("rel_test")), ["qid", "docid"], "left"))
+    tagged = assemble_runs(labelled, folds, folds_bound=folds_bound)
+    fused = F.col("weight") * F.col("s_norm") + (F.lit(1.0) - F.col("weight")) * F.col("r_norm")
     wlist = F.array(*[F.lit(float(w)) for w in weights])
-    dev = (both.filter(F.col("split") == "dev")
-           .select("fold", "split", "qid", "docid", "s", "r", F.explode(wlist).alias("weight"))
-           .withColumn("score", F.col("weight") * F.col("s") + (F.lit(1.0) - F.col("weight")) * F.col("r")))
-    dev_ranked = rank_within(dev, ["fold", "weight", "qid"], "score")
-    dev_means = E.mean_metrics(E.eval_run(dev_ranked, sampled_qrels, [optimize], level, ["fold", "weight"]),
-                               ["fold", "weight"])
+    dev = (tagged.filter(F.col("split") == "dev")
+           .select("fold", "qid", "docid", "s_norm", "r_norm", F.col("rel_dev").alias("rel"), F.explode(wlist).alias("weight"))
+           .withColumn("score", fused))
+    dev_pq = E.per_query_scored(dev, None, [optimize], level, ["fold", "weight"],
+                                consts=E.query_constants(sampled_qrels, _ndcg_ks([optimize]), level),
+                                q_bound=q_bound)
+    dev_means = E.mean_metrics(E.to_long(dev_pq, ["fold", "weight", "qid"], [optimize]), ["fold", "weight"])
     wbest = Window.partitionBy("fold").orderBy(F.round("value", 9).desc(), F.col("weight").asc())
     chosen = (dev_means.withColumn("_r", F.row_number().over(wbest)).filter("_r = 1")
               .select("fold", "weight", F.col("value").alias("dev_value")))
-    test = (both.filter(F.col("split") == "test")
+    test = (tagged.filter(F.col("split") == "test")
             .join(broadcast_bounded(chosen, folds_bound), "fold")
-            .withColumn("score", F.col("weight") * F.col("s") + (F.lit(1.0) - F.col("weight")) * F.col("r")))
-    test_ranked = rank_within(test, ["fold", "qid"], "score")
-    tm = E.mean_metrics(E.eval_run(test_ranked, full_qrels, metrics, level, ["fold", "weight", "dev_value"]),
+            .select("fold", "weight", "dev_value", "qid", "docid", F.col("rel_test").alias("rel"),
+                    fused.alias("score")))
+    test_pq = E.per_query_scored(test, None, metrics, level, ["fold", "weight", "dev_value"],
+                                 consts=E.query_constants(full_qrels, _ndcg_ks(metrics), level), q_bound=q_bound)
+    tm = E.mean_metrics(E.to_long(test_pq, ["fold", "weight", "dev_value", "qid"], metrics),
                         ["fold", "weight", "dev_value"])
     return tm.select("fold", "weight", "dev_value", "metric", "value")
 
 
+def _ndcg_ks(metrics: Sequence[str]) -> list[int]:
+    return sorted({k for _, kind, k in E._parse(metrics) if kind == "ndcg_cut"})
+
+
 def experiment_matrix(means: DataFrame, dims: Sequence[str], metrics: Sequence[str] = E.DEFAULT_METRICS,
                       subtotals: bool = False) -> DataFrame:
     """One row per experiment cell with a column per metric (pivot).

@@ -133,6 +133,84 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = DEFAULT
     return out.select(*g, "qid", *cols)
 
 
+def query_constants(qrels: DataFrame, ks_ndcg: Sequence[int] = (), level: int = 1) -> DataFrame:
+    """(qid, R, N, idcg_<k>...): one small row per judged query."""
+    q = qrels.select("qid", "docid", "rel")
+    qstats = q.groupBy("qid").agg(
+        F.sum(F.when(F.col("rel") >= level, 1).otherwise(0)).alias("R"),
+        F.sum(F.when(F.col("rel") < level, 1).otherwise(0)).alias("N"))
+    if not ks_ndcg:
+        return qstats
+    return qstats.join(ideal_dcg(q, ks_ndcg), "qid", "left")
+
+
+def per_query_scored(scored: DataFrame, qrels: DataFrame | None, metrics: Sequence[str] = DEFAULT_METRICS,
+                     level: int = 1, group_cols: Sequence[str] = (), score_col: str = "score",
+                     consts: DataFrame | None = None, q_bound: int | None = None,
+                     digits: int | None = 6) -> DataFrame:
+    """K8 + E1-E5 in one window and one aggregate, for runs given by scores.
+
+    ``scored`` = (g.., qid, docid, score[, rel]).  Ranks are assigned in the
+    same window (score desc after rounding to ``digits``, then docid desc) that
+    keeps the running counts of judged and relevant documents, and one grouped
+    aggregate produces every metric.  Per-query constants (R, N, ideal DCG) are a
+    small table broadcast behind ``q_bound`` (the number of topics).  Windows
+    hold the rows of one query of one group, bounded by the run depth.
+    """
+    g = list(group_cols)
+    spec = _parse(metrics)
+    ks = sorted({k for _, kind, k in spec if kind == "ndcg_cut"})
+    if consts is None:
+        consts = query_constants(qrels, ks, level)
+    df = scored
+    if "rel" not in df.columns:
+        df = df.join(qrels.select("qid", "docid", "rel"), ["qid", "docid"], "left")
+    from .sizing import broadcast_bounded
+    df = df.join(broadcast_bounded(consts, q_bound), "qid")
+    key = F.round(score_col, digits) if digits is not None else F.col(score_col)
+    w = Window.partitionBy(*g, "qid").orderBy(key.desc(), F.col("docid").desc())
+    run_w = w.rowsBetween(Window.unboundedPreceding, 0)
+    is_rel = F.when(F.col("rel") >= level, 1).otherwise(0)
+    df = (df.withColumn("rank", F.row_number().over(w))
+          .withColumn("pos_j", F.sum(F.when(F.col("rel").isNotNull(), 1).otherwise(0)).over(run_w))
+          .withColumn("pos_r", F.sum(is_rel).over(run_w))
+          .withColumn("is_rel", is_rel))
+    rank, R, N = F.col("rank"), F.col("R"), F.col("N")
+    m = F.least(R, N)
+    aggs = [F.first("R").alias("_R")] + [F.first(f"idcg_{k}").alias(f"_idcg_{k}") for k in ks]
+    judged = F.col("rel").isNotNull()
+    for name, kind, k in spec:
+        if kind == "map":
+            aggs.append(F.sum(F.when(F.col("is_rel") == 1, F.col("pos_r") / rank).otherwise(0.0)).alias("_ap"))
+        elif kind == "bpref":
+            term = F.when(N == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.least(F.col("pos_j") - F.col("pos_r"), m) / m)
+            aggs.append(F.sum(F.when(F.col("is_rel") == 1, term).otherwise(0.0)).alias("_bpref"))
+        elif kind == "P":
+            aggs.append(F.sum(F.when((rank <= k) & (F.col("is_rel") == 1), 1).otherwise(0)).alias(f"_rel_{k}"))
+        elif kind == "judged":
+            aggs.append(F.sum(F.when((rank <= k) & judged, 1).otherwise(0)).alias(f"_jud_{k}"))
+    for k in ks:
+        aggs.append(F.sum(F.when((rank <= k) & (F.col("rel") > 0),
+                                 F.col("rel") / _log2(rank + F.lit(1.0))).otherwise(0.0)).alias(f"_dcg_{k}"))
+    per = df.groupBy(*g, "qid").agg(*aggs)
+    R = F.col("_R")
+    cols = []
+    for name, kind, k in spec:
+        if kind == "map":
+            v = F.when(R > 0, F.col("_ap") / R).otherwise(0.0)
+        elif kind == "bpref":
+            v = F.when(R > 0, F.col("_bpref") / R).otherwise(0.0)
+        elif kind == "P":
+            v = F.col(f"_rel_{k}") / F.lit(float(k))
+        elif kind == "judged":
+            v = F.col(f"_jud_{k}") / F.lit(float(k))
+        else:
+            idcg = F.coalesce(F.col(f"_idcg_{k}"), F.lit(0.0))
+            v = F.when(idcg > 0, F.col(f"_dcg_{k}") / idcg).otherwise(0.0)
+        cols.append(v.cast("double").alias(name))
+    return per.select(*g, "qid", *cols)
+
+
 def to_long(wide: DataFrame, id_cols: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Wide metric columns -> (ids.., metric, value)."""
     return wide.unpivot(list(id_cols), list(metrics), "metric", "value")

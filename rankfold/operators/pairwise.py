@@ -34,12 +34,44 @@ def pair_examples(triplets: DataFrame, features: DataFrame, feature_cols: Sequen
 
 
 def fit_pairwise(examples: DataFrame, feature_cols: Sequence[str], reg: float = 0.01,
-                 max_iter: int = 50) -> tuple[list[float], int]:
-    """Fit one linear hinge model; returns (weights in ``feature_cols`` order, n_examples)."""
-    va = VectorAssembler(inputCols=[f"d_{c}" for c in feature_cols], outputCol="features")
-    data = va.transform(examples).select("label", "features")
-    model = LinearSVC(fitIntercept=False, regParam=reg, maxIter=max_iter, standardization=True).fit(data)
-    return [float(w) for w in model.coefficients.toArray()], int(model.summary().totalIterations)
+                 max_iter: int = 100, fold_col: str = "fold", tol: float = 1e-6) -> DataFrame:
+    """Fit one linear hinge model per fold in a single ``LinearSVC`` job.
+
+    Each example's (per-fold standardised) difference vector is placed in its
+    fold's block of a (folds x features) vector; examples weigh 1/N_fold and the
+    regularisation is divided by the number of folds.  The joint objective is
+    then (1/F) * sum over folds of the per-fold RankSVM objective, whose blocks
+    do not interact, so the joint minimum is every fold's own minimum while the
+    data is scanned once per iteration for all folds.
+
+    Returns (fold, feature, weight) in the original feature scale.
+    """
+    folds = [r[0] for r in examples.select(fold_col).distinct().orderBy(fold_col).collect()]
+    d = len(feature_cols)
+    stats = examples.groupBy(fold_col).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.stddev(f"d_{c}").alias(f"_sd_{c}") for c in feature_cols])
+    ex = examples.join(F.broadcast(stats), fold_col)  # one row per fold
+    scaled = [F.when(F.col(f"_sd_{c}") > 0, F.col(f"d_{c}") / F.col(f"_sd_{c}")).otherwise(F.lit(0.0))
+              for c in feature_cols]
+    block_cols = []
+    for k, f in enumerate(folds):
+        for j, c in enumerate(feature_cols):
+            name = f"_b{k}_{j}"
+            ex = ex.withColumn(name, F.when(F.col(fold_col) == f, scaled[j]).otherwise(F.lit(0.0)))
+            block_cols.append(name)
+    ex = ex.withColumn("_w", F.lit(1.0) / F.col("_n"))
+    data = VectorAssembler(inputCols=block_cols, outputCol="features").transform(ex).select("label", "features", "_w")
+    model = LinearSVC(fitIntercept=False, regParam=reg / len(folds), maxIter=max_iter, tol=tol,
+                      standardization=False, weightCol="_w").fit(data)
+    coef = model.coefficients.toArray()
+    sd = {r[fold_col]: r for r in stats.collect()}  # folds x features numbers
+    rows = []
+    for k, f in enumerate(folds):
+        for j, c in enumerate(feature_cols):
+            s = sd[f][f"_sd_{c}"]
+            rows.append((f, c, float(coef[k * d + j] / s) if s else 0.0))
+    return examples.sparkSession.createDataFrame(rows, f"{fold_col} string, feature string, weight double")
 
 
 def score_linear(features: DataFrame, weights: DataFrame, feature_cols: Sequence[str],

@@ -94,18 +94,33 @@ class BM25Parts:
     qterm_bound: int
 
 
+DOC_MARK = ""  # term value of the one per-document row that carries dl (tokens are never empty)
+
+
 def bm25_parts(docs: DataFrame, topics: DataFrame, text_col: str = "text",
                query_col: str = "query", qterm_bound: int | None = None) -> BM25Parts:
+    """One pass over the corpus feeds every statistic.
+
+    Each document's token array is prefixed with a marker element, exploded and
+    semi-joined with the (broadcast) query vocabulary plus the marker, then
+    counted per (docid, dl, term).  That single aggregate gives tf (query terms),
+    df (rows per term) and, from the marker rows, N and avgdl; all consumers read
+    the same shuffle, so the corpus is tokenized once.
+    """
     if qterm_bound is None:
         qterm_bound = query_term_bound(topics, query_col)
     tok = docs.select("docid", tokenize(text_col).alias("tokens"))
-    coll = tok.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    n_docs, avgdl = coll.select("n").scalar(), coll.select("avgdl").scalar()
     qt = query_terms(topics, query_col)
-    vocab = broadcast_bounded(qt.select("term").distinct(), qterm_bound)
-    tf = (explode_terms(tok, "docid", F.size("tokens").alias("dl"))
-          .join(vocab, "term", "left_semi")
-          .groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    vocab = qt.select("term").distinct().unionByName(
+        qt.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term")))
+    marked = F.concat(F.array(F.lit(DOC_MARK)), F.col("tokens"))
+    counted = (explode_terms(tok, "docid", F.size("tokens").alias("dl"), tokens=marked)
+               .join(broadcast_bounded(vocab, qterm_bound + 1), "term", "left_semi")
+               .groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    docrows = counted.filter(F.col("term") == DOC_MARK)
+    coll = docrows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("c")).scalar()
+    n_docs, avgdl = coll.getField("n"), coll.getField("avgdl")
+    tf = counted.filter(F.col("term") != DOC_MARK)
     dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qw = (qt.join(dfs, "term")
           .select("qid", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw")))

@@ -1,8 +1,14 @@
-"""The standard experiment on one data directory, built lazily.
+"""The standard experiment on one data directory.
 
-Every registered query starts from these DataFrames, so the whole chain
-(corpus -> BM25 run -> cut -> passages -> scores -> metrics) is one Spark plan
-per query, over the whole tables.
+Every registered query starts from these DataFrames: corpus -> BM25 run -> cut
+-> passages -> scores -> metrics, over the whole tables.
+
+Intermediates that one plan consumes from several branches (the qrels, the
+first-stage run, the reranked runs) are materialized once with a reliable
+``checkpoint`` in the shared checkpoint folder.  Column pruning gives every
+consumer a different subtree, so Spark would otherwise recompute them per
+branch; the checkpoint also cuts their lineage, so a lost executor re-reads
+files instead of re-running the corpus scan.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from ..functions.text import tokenize
 from ..operators import rerank as K
 from ..operators.retrieve import SEARCH_DEPTH, bm25, bm25_parts
 from ..operators.sizing import row_bound
+from ..session import checkpoint
 from ..sources import testbed
 
 # Fixed values of the standard experiment (reference config).
@@ -25,9 +32,14 @@ SEED = 42
 
 
 class Experiment:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
+        self._reranked: dict = {}
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        return checkpoint(df) if self.materialize else df
 
     # -- inputs -------------------------------------------------------------
     @cached_property
@@ -48,7 +60,7 @@ class Experiment:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        return testbed.qrels(self.spark, self.sf_dir)
+        return self._shared(testbed.qrels(self.spark, self.sf_dir))
 
     def folds(self, n: int = N_FOLDS) -> DataFrame:
         return testbed.folds(self.spark, self.sf_dir, n)
@@ -83,7 +95,7 @@ class Experiment:
 
     @cached_property
     def search_run(self) -> DataFrame:
-        return bm25(None, None, k=SEARCH_DEPTH, parts=self.parts)
+        return self._shared(bm25(None, None, k=SEARCH_DEPTH, parts=self.parts))
 
     @cached_property
     def cut(self) -> DataFrame:
@@ -109,5 +121,8 @@ class Experiment:
         return K.aggregate_scores(self.passage_scores(scorer))
 
     def reranked(self, how: str = "max", scorer: str = "bm25_passage") -> DataFrame:
-        agg = K.aggregate_scores(self.passage_scores(scorer), how)
-        return K.rerank(agg)
+        key = (how, scorer)
+        if key not in self._reranked:
+            agg = K.aggregate_scores(self.passage_scores(scorer), how)
+            self._reranked[key] = self._shared(K.rerank(agg))
+        return self._reranked[key]

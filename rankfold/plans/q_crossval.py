@@ -177,7 +177,7 @@ def q_interpolate(spark, sf_dir):
     x = X(spark, sf_dir)
     sampled = B.sample_shallow(x.qrels, SAMPLE_RATE, SEED)
     out = CV.interpolate(x.search_run, x.reranked("max"), x.folds(5), sampled, x.qrels,
-                         folds_bound=_folds_bound(x))
+                         folds_bound=_folds_bound(x), q_bound=x.n_topics)
     return out.select("fold", "weight", r6("dev_value").alias("dev_value"), "metric", r6("value").alias("value"))
 
 

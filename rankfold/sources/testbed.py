@@ -58,26 +58,28 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgments from term overlap; an equi-join on term, no nested loop.
 
     The topic side (distinct desc terms of every topic) is bounded by the topic
-    table and is broadcast behind that bound; document terms stream through.
+    table and is broadcast behind that bound; document terms stream through and
+    the (doc, topic) hit counts are aggregated on long keys in the same stage.
     """
     b = table(spark, sf_dir, "benchmark")
     n_topics = row_bound(b)
-    tterms = b.select(F.col("item_id").cast("string").alias("qid"), "item_id",
-                      F.explode(F.array_distinct(tokenize("text"))).alias("term"))
-    tsize = tterms.groupBy("qid", "item_id").agg(F.count(F.lit(1)).alias("nt"))
+    tterms = b.select("item_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    tsize = tterms.groupBy("item_id").agg(F.count(F.lit(1)).alias("nt"))
     bound = b.select(F.sum(F.size(F.array_distinct(tokenize("text"))))).first()[0] or 0
     d = spread(table(spark, sf_dir, "documents"), "doc_id")
-    dterms = explode_terms(d, F.col("doc_id").cast("string").alias("docid"), "doc_id",
-                           tokens=F.array_distinct(tokenize("text")))
+    dterms = explode_terms(d, "doc_id", tokens=F.array_distinct(tokenize("text")))
     hits = (dterms.join(broadcast_bounded(tterms, int(bound)), "term")
-            .groupBy("qid", "item_id", "docid", "doc_id").agg(F.count(F.lit(1)).alias("nh")))
+            .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("nh")))
     r = F.col("nh") / F.col("nt")
     hi, mid, lo = QREL_CUTS
     mul, mod = QREL_ZERO_MOD
     rel = (F.when(r >= hi, 2).when(r >= mid, 1)
            .when((r >= lo) & (F.pmod(F.col("doc_id") * mul + F.col("item_id"), F.lit(mod)) == 0), 0))
-    return (hits.join(broadcast_bounded(tsize, n_topics), ["qid", "item_id"])
-            .select("qid", "docid", rel.alias("rel")).filter(F.col("rel").isNotNull()))
+    out = (hits.join(broadcast_bounded(tsize, n_topics), "item_id")
+           .select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docid"),
+                   rel.alias("rel"))
+           .filter(F.col("rel").isNotNull()))
+    return out
 
 
 def folds(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
