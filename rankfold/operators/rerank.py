@@ -184,17 +184,20 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
     """(g.., qid, docid, pidx, start, ptokens, <qside cols>) for every passage of
     every document in the cut run.
 
-    The cut run's (qid, docid) pairs are broadcast (bounded by topics x depth)
-    onto the streaming corpus, so only needed documents survive the scan and the
-    corpus is never shuffled; passages are cut in the task that read the
-    document, then the query side is attached by another bounded broadcast.
+    The cut run's document ids (bounded by topics x depth) are broadcast into a
+    semi join with the streaming corpus, so only needed documents survive the
+    scan and the corpus is never shuffled.  Each needed document is tokenized and
+    cut into passages once, in the task that read it; then the (qid, docid)
+    pairs and the query side are attached by bounded broadcast joins.  ``cut``
+    is read twice, so pass a materialized run.
     """
     g = list(group_cols)
     pairs = cut.select(*g, "qid", "docid")
-    d = (docs.join(broadcast_bounded(pairs, pair_bound), "docid")
-         .select(*g, "qid", "docid", tokenize("text").alias("tokens")))
-    p = passages(d, passagelen, stride, numpassages, keep_cols=(*g, "qid", "docid"))
-    return p.join(broadcast_bounded(qside, q_bound), "qid")
+    need = broadcast_bounded(pairs.select("docid").distinct(), pair_bound)
+    d = docs.join(need, "docid", "left_semi").select("docid", tokenize("text").alias("tokens"))
+    p = passages(d, passagelen, stride, numpassages)
+    return (p.join(broadcast_bounded(pairs, pair_bound), "docid")
+            .join(broadcast_bounded(qside, q_bound), "qid"))
 
 
 # --------------------------------------------------------------------- K7 / K8
