@@ -1,11 +1,14 @@
 """Ranking metrics (E1-E7): P@k, AP, nDCG@k, bpref, judged@k, all in one plan.
 
-Every metric only needs the *judged* retrieved rows, so the run is inner-joined
-with the qrels first and all windows run over judged rows of one query (bounded
-by the qrels of that query, never by the run length).  The ideal DCG comes from
-the qrels alone through a top-k window (planned as a WindowGroupLimit).  The
-query set of a mean is the queries present in both the run and the qrels; a
-query with no relevant document scores 0.
+For a run with ranks (``per_query``) every metric only needs the *judged*
+retrieved rows, so the run is inner-joined with the qrels first and all windows
+run over judged rows of one query (bounded by that query's judgments, never by
+the run length).  For a run given by scores (``per_query_scored``) ranks and
+running counts come from one window over the query's rows of a top-k run and
+every metric from one aggregate.  The ideal DCG comes from the qrels alone
+through a top-k window (planned as a WindowGroupLimit).  The query set of a
+mean is the queries present in both the run and the qrels; a query with no
+relevant document scores 0.
 
 Definitions (published):
   AP      = 1/R * sum over relevant retrieved d of (#relevant ranked <= rank(d)) / rank(d)
@@ -26,7 +29,6 @@ from pyspark.sql import functions as F
 
 # The metric names kept by the reference's validation log.
 DEFAULT_METRICS = ("map", "bpref", "P_20", "ndcg_cut_20", "judged_10", "judged_20", "judged_200")
-LN2 = 0.6931471805599453
 
 
 def _log2(c: Column) -> Column:

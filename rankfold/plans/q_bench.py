@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import benchmark as B
-from ..operators import crossval as CV
 from ..operators import metrics as E
 from ..operators.retrieve import bm25_sweep, best_run_per_fold
 from . import oracle as O
@@ -244,5 +243,3 @@ def q_topics_desc(spark, sf_dir):
     """The description variant of the topics."""
     return X(spark, sf_dir).desc.select("qid", "query")
 
-
-__all__ = ["folds_sql", "deep_sql", "shallow_sql", "md5key", "CV"]

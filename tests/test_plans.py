@@ -26,18 +26,26 @@ def test_no_cartesian_no_python(spark, name):
         assert bad not in p, f"{name}: {bad}"
 
 
+def _bm25_plan(spark):
+    from rankfold.operators.retrieve import bm25
+    from rankfold.sources import testbed
+
+    docs = testbed.docs(spark, SF)
+    title = testbed.topics(spark, SF, "title")
+    return plan(bm25(docs, title, k=1000))
+
+
 def test_topk_limited_before_shuffle(spark):
-    p = plan(ENTRY.queries()["bm25_top"](spark, SF))
+    p = _bm25_plan(spark)
     assert "WindowGroupLimit" in p
 
 
-def test_scan_pruned(spark):
-    p = plan(ENTRY.queries()["bm25_top"](spark, SF))
-    schemas = [l for l in p.splitlines() if "ReadSchema" in l and "documents" not in l]
-    doc_scans = [l for l in p.splitlines() if l.strip().startswith("ReadSchema: struct<doc_id:bigint,text:string>")]
-    assert doc_scans, p
-    assert all("lang" not in l and "source" not in l for l in p.splitlines() if "ReadSchema" in l)
-    assert schemas is not None
+def test_scan_pruned_and_vocabulary_broadcast(spark):
+    p = _bm25_plan(spark)
+    reads = [l.strip() for l in p.splitlines() if l.strip().startswith("ReadSchema")]
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in reads
+    assert all("lang" not in l and "source" not in l and "n_chars" not in l for l in reads)
+    assert "BroadcastHashJoin LeftSemi" in p          # tokens meet the query vocabulary map-side
 
 
 def test_every_query_has_an_oracle():
