@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..operators import rerank as K
 from ..operators.retrieve import SEARCH_DEPTH, bm25, bm25_parts
-from ..operators.sizing import row_bound
 from ..session import checkpoint
 from ..sources import testbed
 
@@ -67,13 +66,19 @@ class Experiment:
 
     # -- size bounds of the query side (checked on the small topic table) -----
     @cached_property
+    def _topic_sizes(self) -> tuple[int, int, int]:
+        """(topics, total title length, longest title) in one pass over the small topic table."""
+        n = F.size(tokenize("query"))
+        r = self.title.select(F.count(F.lit(1)), F.sum(n), F.max(n)).first()
+        return int(r[0] or 0), int(r[1] or 0), int(r[2] or 0)
+
+    @property
     def n_topics(self) -> int:
-        return row_bound(testbed.table(self.spark, self.sf_dir, "benchmark"))
+        return self._topic_sizes[0]
 
-    @cached_property
+    @property
     def _title_sizes(self) -> tuple[int, int]:
-        r = self.title.select(F.sum(F.size(tokenize("query"))), F.max(F.size(tokenize("query")))).first()
-        return int(r[0] or 0), int(r[1] or 0)
+        return self._topic_sizes[1], self._topic_sizes[2]
 
     @property
     def title_bound(self) -> int:
