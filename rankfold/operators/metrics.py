@@ -173,10 +173,17 @@ def per_query_scored(scored: DataFrame, qrels: DataFrame | None, metrics: Sequen
     w = Window.partitionBy(*g, "qid").orderBy(key.desc(), F.col("docid").desc())
     run_w = w.rowsBetween(Window.unboundedPreceding, 0)
     is_rel = F.when(F.col("rel") >= level, 1).otherwise(0)
-    df = (df.withColumn("rank", F.row_number().over(w))
-          .withColumn("pos_j", F.sum(F.when(F.col("rel").isNotNull(), 1).otherwise(0)).over(run_w))
-          .withColumn("pos_r", F.sum(is_rel).over(run_w))
-          .withColumn("is_rel", is_rel))
+    if all(kind in ("P", "ndcg_cut", "judged") for _, kind, _ in spec):
+        # Cutoff metrics only need ranks <= max k: row_number() <= k is planned as a
+        # WindowGroupLimit, so each task keeps at most k rows per group before the shuffle.
+        kmax = max(k for _, _, k in spec)
+        df = (df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax)
+              .withColumn("is_rel", is_rel))
+    else:
+        df = (df.withColumn("rank", F.row_number().over(w))
+              .withColumn("pos_j", F.sum(F.when(F.col("rel").isNotNull(), 1).otherwise(0)).over(run_w))
+              .withColumn("pos_r", F.sum(is_rel).over(run_w))
+              .withColumn("is_rel", is_rel))
     rank, R, N = F.col("rank"), F.col("R"), F.col("N")
     m = F.least(R, N)
     aggs = [F.first("R").alias("_R")] + [F.first(f"idcg_{k}").alias(f"_idcg_{k}") for k in ks]

@@ -68,7 +68,12 @@ def test_evaluators_match_brute_force(spark, c):
     from rankfold.operators.retrieve import rank_within
     got_rank = {r.qid: r.asDict() for r in E.per_query(rank_within(run), qrels, METRICS).collect()}
     got_score = {r.qid: r.asDict() for r in E.per_query_scored(run, qrels, METRICS).collect()}
-    assert set(got_rank) == set(want) == set(got_score)
+    cut_only = ["P_5", "ndcg_cut_5", "judged_5"]  # takes the top-k-limited path
+    got_cut = {r.qid: r.asDict() for r in E.per_query_scored(run, qrels, cut_only).collect()}
+    assert set(got_rank) == set(want) == set(got_score) == set(got_cut)
+    for q in want:
+        for m in cut_only:
+            assert got_cut[q][m] == pytest.approx(want[q][m], abs=1e-9), (q, m)
     for q in want:
         for m in METRICS:
             assert got_rank[q][m] == pytest.approx(want[q][m], abs=1e-9), (q, m)
