@@ -2,14 +2,17 @@
 
 Plan shape of ``bm25``:
 
-    docs ─ tokenize ─ explode ─ ⋉ broadcast(query vocabulary)      (map side, no shuffle)
-         ─ groupBy(docid, dl, term) count = tf                      (partial agg, shuffle 1)
-         ─ ⋈ broadcast(query-term weights)  ─ groupBy(qid, docid)   (partial agg, shuffle 2)
-         ─ row_number() <= k per qid                                (WindowGroupLimit before shuffle 3)
-
-Only tokens of query terms ever reach a shuffle.  Document frequency is counted
-from the same ``tf`` aggregate (the exchange is reused), and N / avgdl are scalar
-subqueries, so no global value goes through the driver.
+    docs ─ tokenize ─ explode (+1 marker row per doc carrying dl)
+         ─ ⋉ broadcast(query vocabulary + marker)                 (map side, no shuffle)
+         ─ groupBy(docid, dl, term) count                          (partial agg; no shuffle
+                                                                    when the corpus is hashed by docid)
+         ├ marker rows ─ agg ─ N, avgdl                            (scalar subquery)
+         ├ groupBy(term) ─ df ─ ⋈ query terms ─ qw = qtf * idf     (small, broadcast)
+         └ ⋈ broadcast(qw) ─ groupBy(qid, docid) sum               (partial agg, shuffle)
+         ─ row_number() <= k per qid                               (WindowGroupLimit before the shuffle)
+
+Only tokens of query terms (and one row per document) ever reach a shuffle, and
+no global value goes through the driver.
 """
 
 from __future__ import annotations

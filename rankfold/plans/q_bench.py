@@ -140,7 +140,7 @@ SELECT f.fold, f.split, r.qid, r.docid, r.rank FROM run r JOIN folds5 f ON r.qid
 """, "run", "folds5"))
 def q_split_run(spark, sf_dir):
     """Every run row tagged once per fold with the query's split."""
-    x = X(spark, sf_dir)
+    x = X(spark, sf_dir, False)
     return B.split_run(x.search_run, x.folds(5), x.n_topics * 5).select("fold", "split", "qid", "docid", "rank")
 
 

@@ -47,7 +47,7 @@ def q_tokens_count(spark, sf_dir):
 # =============================================================== R2 / R3
 @register("bm25_top", O.sql("SELECT qid, docid, rank, round(score, 6) AS score FROM run", "run"))
 def q_bm25_top(spark, sf_dir):
-    run = X(spark, sf_dir).search_run
+    run = X(spark, sf_dir, False).search_run
     return run.select("qid", "docid", "rank", r6("score").alias("score"))
 
 

@@ -127,7 +127,7 @@ FROM cut r JOIN folds5 f ON r.qid = f.qid WHERE f.split IN ('dev', 'test')
 """, "cut", "folds5"))
 def q_assemble_runs(spark, sf_dir):
     """The searcher's cut run serves as every fold's dev and test run."""
-    x = X(spark, sf_dir)
+    x = X(spark, sf_dir, False)
     a = CV.assemble_runs(x.cut, x.folds(5), ("dev", "test"), _folds_bound(x))
     return a.select("fold", "split", "qid", "docid", "rank", r6("score").alias("score"))
 

@@ -69,7 +69,7 @@ SELECT '{RUN_ID}' AS run_id, qid, docid, rank, round(score, 6) AS score, true AS
 def q_io_run(spark, sf_dir):
     """S6 + S7 + S8: the BM25 run as a trec run file, read back with the parameter guard."""
     path = scratch_dir(spark, "run")
-    S.write_run(X(spark, sf_dir).search_run, path, RUN_ID)
+    S.write_run(X(spark, sf_dir, False).search_run, path, RUN_ID)
     r = S.read_run(spark, path, expect={"k1": 0.9, "b": 0.4})
     return r.select("run_id", "qid", "docid", "rank", r6("score").alias("score"), "params_ok")
 

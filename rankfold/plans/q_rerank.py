@@ -20,7 +20,7 @@ PER_POSITIVE = 2
 @register("cut_run", O.sql("SELECT qid, docid, rank, round(score, 6) AS score FROM cut", "cut"))
 def q_cut_run(spark, sf_dir):
     """K1: the first 100 documents of every query, in run order."""
-    return X(spark, sf_dir).cut.select("qid", "docid", "rank", r6("score").alias("score"))
+    return X(spark, sf_dir, False).cut.select("qid", "docid", "rank", r6("score").alias("score"))
 
 
 @register("pred_pairs", O.sql("""

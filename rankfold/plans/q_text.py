@@ -78,7 +78,7 @@ def q_docid_parts(spark, sf_dir):
 @register("run_docids", O.sql("SELECT DISTINCT docid FROM run", "run"))
 def q_run_docids(spark, sf_dir):
     """L1: every document the BM25 run needs."""
-    return C.run_docids(X(spark, sf_dir).search_run)
+    return C.run_docids(X(spark, sf_dir, False).search_run)
 
 
 @register("fetch_docs", O.sql("""

@@ -35,5 +35,7 @@ def r6(c) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), 6)
 
 
-def X(spark: SparkSession, sf_dir: str) -> Experiment:
-    return Experiment(spark, sf_dir)
+def X(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Experiment:
+    """The standard experiment; ``materialize=False`` for queries that read each
+    shared intermediate only once (no checkpoint needed)."""
+    return Experiment(spark, sf_dir, materialize)
