@@ -32,7 +32,7 @@ def assemble_runs(run: DataFrame, folds: DataFrame, splits: Sequence[str] = ("de
 def fold_metrics(runs: DataFrame, folds: DataFrame, sampled_qrels: DataFrame, full_qrels: DataFrame,
                  metrics: Sequence[str] = E.DEFAULT_METRICS, level: int = 1,
                  dev_qrels: str = "sampled", group_cols: Sequence[str] = (),
-                 folds_bound: int | None = None) -> DataFrame:
+                 folds_bound: int | None = None, q_bound: int | None = None) -> DataFrame:
     """Mean metrics per (g.., fold, split) for dev and test.
 
     Dev is judged by the sampled qrels (``dev_qrels='full'`` for the inference
@@ -47,8 +47,8 @@ def fold_metrics(runs: DataFrame, folds: DataFrame, sampled_qrels: DataFrame, fu
         tagged = assemble_runs(runs, folds, folds_bound=folds_bound)
     keys = [*g, "fold", "split"]
     dev = E.eval_run(tagged.filter(F.col("split") == "dev"),
-                     full_qrels if dev_qrels == "full" else sampled_qrels, metrics, level, keys)
-    test = E.eval_run(tagged.filter(F.col("split") == "test"), full_qrels, metrics, level, keys)
+                     full_qrels if dev_qrels == "full" else sampled_qrels, metrics, level, keys, q_bound)
+    test = E.eval_run(tagged.filter(F.col("split") == "test"), full_qrels, metrics, level, keys, q_bound)
     return E.mean_metrics(dev.unionByName(test), keys)
 
 
@@ -80,14 +80,15 @@ def union_test(runs: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 
 def cv_metrics(runs: DataFrame, folds: DataFrame, full_qrels: DataFrame,
                metrics: Sequence[str] = E.DEFAULT_METRICS, level: int = 1,
-               group_cols: Sequence[str] = (), folds_bound: int | None = None) -> DataFrame:
+               group_cols: Sequence[str] = (), folds_bound: int | None = None,
+               q_bound: int | None = None) -> DataFrame:
     """Cross-validated means over the union of own-test predictions (full qrels).
 
     ``runs`` = (g.., fold, split, qid, docid, score) with per-fold test runs.
     """
     t = restrict_to_test(runs.filter(F.col("split") == "test"), folds, folds_bound)
     u = union_test(t, group_cols)
-    return E.mean_metrics(E.eval_run(u, full_qrels, metrics, level, group_cols), group_cols)
+    return E.mean_metrics(E.eval_run(u, full_qrels, metrics, level, group_cols, q_bound), group_cols)
 
 
 def minmax(df: DataFrame, keys: Sequence[str], col: str, out: str,

@@ -54,17 +54,20 @@ def binarize(qrels: DataFrame, level: int = 1) -> DataFrame:
 
 
 def judge(run: DataFrame, qrels: DataFrame, level: int = 1,
-          group_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+          group_cols: Sequence[str] = (), q_bound: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(judged retrieved rows with per-query constants, query set).
 
     Returns ``judged`` = (g.., qid, docid, rank, rel, R, N) and ``qset`` =
-    (g.., qid, R, N) for the queries present in both inputs.
+    (g.., qid, R, N) for the queries present in both inputs.  The per-query
+    constants are broadcast behind ``q_bound`` (the number of topics).
     """
+    from .sizing import broadcast_bounded
+
     g = list(group_cols)
     q = qrels.select("qid", "docid", "rel")
-    qstats = q.groupBy("qid").agg(
+    qstats = broadcast_bounded(q.groupBy("qid").agg(
         F.sum(F.when(F.col("rel") >= level, 1).otherwise(0)).alias("R"),
-        F.sum(F.when(F.col("rel") < level, 1).otherwise(0)).alias("N"))
+        F.sum(F.when(F.col("rel") < level, 1).otherwise(0)).alias("N")), q_bound)
     qset = run.select(*g, "qid").distinct().join(qstats, "qid")
     judged = (run.select(*g, "qid", "docid", "rank").join(q, ["qid", "docid"])
               .join(qstats, "qid"))
@@ -85,11 +88,13 @@ def ideal_dcg(qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = DEFAULT_METRICS,
-              level: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
+              level: int = 1, group_cols: Sequence[str] = (), q_bound: int | None = None) -> DataFrame:
     """E1-E5 per query, wide: (g.., qid, <metric>...).  ``run`` needs qid, docid, rank."""
+    from .sizing import broadcast_bounded
+
     g = list(group_cols)
     spec = _parse(metrics)
-    judged, qset = judge(run, qrels, level, g)
+    judged, qset = judge(run, qrels, level, g, q_bound)
     w = Window.partitionBy(*g, "qid").orderBy("rank", "docid")
     is_rel = (F.col("rel") >= level).cast("int")
     j = (judged.withColumn("is_rel", is_rel)
@@ -116,7 +121,8 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = DEFAULT
     per = j.groupBy(*g, "qid").agg(*aggs)
     out = qset.join(per, [*g, "qid"], "left")
     if ndcg_ks:
-        out = out.join(ideal_dcg(qrels.select("qid", "docid", "rel"), ndcg_ks), "qid", "left")
+        out = out.join(broadcast_bounded(ideal_dcg(qrels.select("qid", "docid", "rel"), ndcg_ks), q_bound),
+                       "qid", "left")
     R = F.col("R")
     cols = []
     for name, kind, k in spec:
@@ -226,9 +232,9 @@ def to_long(wide: DataFrame, id_cols: Sequence[str], metrics: Sequence[str]) ->
 
 
 def eval_run(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = DEFAULT_METRICS,
-             level: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
+             level: int = 1, group_cols: Sequence[str] = (), q_bound: int | None = None) -> DataFrame:
     """Per-query metrics in long form (g.., qid, metric, value)."""
-    wide = per_query(run, qrels, metrics, level, group_cols)
+    wide = per_query(run, qrels, metrics, level, group_cols, q_bound)
     return to_long(wide, [*group_cols, "qid"], metrics)
 
 

@@ -112,7 +112,7 @@ def q_best_run_per_fold(spark, sf_dir):
     run = bm25_sweep(x.docs, x.title, SWEEP_GRID, qterm_bound=x.title_bound)
     folds = x.folds(5)
     tagged = B.split_run(run, folds, x.n_topics * 5, ("dev",))
-    means = E.mean_metrics(E.eval_run(tagged, x.qrels, ["ndcg_cut_20"], 1, ["run_id", "fold", "split"]),
+    means = E.mean_metrics(E.eval_run(tagged, x.qrels, ["ndcg_cut_20"], 1, ["run_id", "fold", "split"], x.n_topics),
                            ["run_id", "fold", "split"])
     best = best_run_per_fold(means, "ndcg_cut_20", "dev")
     return best.select("fold", "run_id", "metric", r6("value").alias("value"))

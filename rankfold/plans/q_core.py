@@ -102,7 +102,7 @@ def _metric_query(cols: list[str], run: str = "search"):
     def q(spark, sf_dir):
         x = X(spark, sf_dir)
         r = x.search_run if run == "search" else x.reranked("max")
-        wide = E.per_query(r, x.qrels, E.DEFAULT_METRICS)
+        wide = E.per_query(r, x.qrels, E.DEFAULT_METRICS, q_bound=x.n_topics)
         return wide.select("qid", *[r6(c).alias(c) for c in cols])
     return q
 
@@ -126,7 +126,7 @@ GROUP BY metric
 """, "run", "qrels"))
 def q_eval_run(spark, sf_dir):
     x = X(spark, sf_dir)
-    m = E.mean_metrics(E.eval_run(x.search_run, x.qrels))
+    m = E.mean_metrics(E.eval_run(x.search_run, x.qrels, q_bound=x.n_topics))
     return m.select("metric", r6("value").alias("value"), "n_queries")
 
 

@@ -50,7 +50,8 @@ def q_fold_metrics(spark, sf_dir):
     """Dev (sampled qrels) and test (full qrels) means of MaxP in every fold."""
     x = X(spark, sf_dir)
     sampled = B.sample_shallow(x.qrels, SAMPLE_RATE, SEED)
-    m = CV.fold_metrics(x.reranked("max"), x.folds(5), sampled, x.qrels, folds_bound=_folds_bound(x))
+    m = CV.fold_metrics(x.reranked("max"), x.folds(5), sampled, x.qrels, folds_bound=_folds_bound(x),
+                        q_bound=x.n_topics)
     return m.select("fold", "split", "metric", r6("value").alias("value"), "n_queries")
 
 
@@ -117,7 +118,7 @@ def q_union_test(spark, sf_dir):
 def q_cv_metrics(spark, sf_dir):
     """Cross-validated means over the union (full qrels)."""
     x = X(spark, sf_dir)
-    m = CV.cv_metrics(_test_runs(x), x.folds(5), x.qrels, folds_bound=_folds_bound(x))
+    m = CV.cv_metrics(_test_runs(x), x.folds(5), x.qrels, folds_bound=_folds_bound(x), q_bound=x.n_topics)
     return m.select(F.lit("cv").alias("scope"), "metric", r6("value").alias("value"), "n_queries")
 
 
@@ -206,7 +207,7 @@ def q_experiment_matrix(spark, sf_dir):
     x = X(spark, sf_dir)
     runs = B.split_run(all_reranked(x), x.folds(5), _folds_bound(x), ("test",))
     keys = ["scorer", "agg", "fold"]
-    means = E.mean_metrics(E.eval_run(runs, x.qrels, E.DEFAULT_METRICS, 1, keys), keys)
+    means = E.mean_metrics(E.eval_run(runs, x.qrels, E.DEFAULT_METRICS, 1, keys, x.n_topics), keys)
     m = CV.experiment_matrix(means, keys, E.DEFAULT_METRICS, subtotals=True)
     return m.select(*keys, F.col("level").cast("int").alias("level"),
                     *[r6(c).alias(c) for c in E.DEFAULT_METRICS])

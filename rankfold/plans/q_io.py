@@ -84,7 +84,7 @@ def q_io_metrics(spark, sf_dir):
     """Metric rows appended to a partitioned parquet table and read back."""
     x = X(spark, sf_dir)
     path = scratch_dir(spark, "metrics")
-    m = E.mean_metrics(E.eval_run(x.search_run, x.qrels)).withColumn("run_id", F.lit(RUN_ID))
+    m = E.mean_metrics(E.eval_run(x.search_run, x.qrels, q_bound=x.n_topics)).withColumn("run_id", F.lit(RUN_ID))
     S.write_metrics(m, path)
     back = spark.read.parquet(path)
     return back.select("run_id", "metric", r6("value").alias("value"), "n_queries")

@@ -150,5 +150,5 @@ def q_scorer_compare(spark, sf_dir):
     """MaxP runs of the BM25-passage and overlap scorers side by side."""
     x = X(spark, sf_dir)
     runs = all_reranked(x).filter(F.col("agg") == "max")
-    m = E.mean_metrics(E.eval_run(runs, x.qrels, E.DEFAULT_METRICS, 1, ["scorer"]), ["scorer"])
+    m = E.mean_metrics(E.eval_run(runs, x.qrels, E.DEFAULT_METRICS, 1, ["scorer"], x.n_topics), ["scorer"])
     return m.select("scorer", "metric", r6("value").alias("value"), "n_queries")
