@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fit_budget, sample_order, tokenize, uniform
+from .ordering import sequence_number
 from .retrieve import BM25_B, BM25_K1, BM25Parts, rank_within
 from .sizing import broadcast_bounded
 
@@ -58,7 +59,8 @@ def triplets(run: DataFrame, qrels: DataFrame, level: int = 1, per_positive: int
     """K3: (g.., qid, pos_docid, neg_docid) from the run's own documents.
 
     Negatives (judged non-relevant or unjudged) of a query get dense numbers
-    0..n-1 in md5 order; positive p takes the ``min(per_positive, n)`` numbers
+    0..n-1 in md5 order (range-partitioned numbering, no per-query task);
+    positive p takes the ``min(per_positive, n)`` numbers
     starting at md5(p) mod n.  This is an equi-join on (qid, number), so exactly
     min(k, n) rows per positive are produced and the pos x neg product of a
     query is never built.
@@ -68,8 +70,11 @@ def triplets(run: DataFrame, qrels: DataFrame, level: int = 1, per_positive: int
     is_pos = F.col("rel") >= level
     pos = lab.filter(is_pos).select(*g, "qid", F.col("docid").alias("pos_docid"))
     neg = lab.filter(~is_pos | F.col("rel").isNull()).select(*g, "qid", F.col("docid").alias("neg_docid"))
-    w = Window.partitionBy(*g, "qid").orderBy(sample_order(seed, "qid", "neg_docid"))
-    negn = neg.withColumn("j", F.row_number().over(w) - 1)
+    # Dense numbers in md5 order per query, from a range-partitioned sort: a query
+    # with a very deep run is numbered by many tasks, not one.
+    negn = (sequence_number(neg.withColumn("_o", sample_order(seed, "qid", "neg_docid")),
+                            [*g, "qid"], ["_o", "neg_docid"], "j")
+            .withColumn("j", F.col("j") - 1).drop("_o"))
     nneg = neg.groupBy(*g, "qid").agg(F.count(F.lit(1)).alias("n_neg"))
     start = F.pmod(F.conv(F.substring(sample_order(seed, "qid", "pos_docid"), 1, 8), 16, 10)
                    .cast("long"), F.col("n_neg"))
