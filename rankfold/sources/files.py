@@ -40,12 +40,14 @@ def read_trecweb(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("lineSep", DOC_END).option("recursiveFileLookup", "true")
            .text(path)
            .select(F.col("_metadata.file_path").alias("path"),
+                   F.col("_metadata.file_block_start").alias("_blk"),
                    F.regexp_replace("value", "�", "").alias("value"),
                    F.monotonically_increasing_id().alias("_mid")))
     rec = raw.filter(F.col("value").contains("<DOC>")).select(
-        "path", "_mid", F.regexp_replace("value", r"(?s)^.*?<DOC>", "<DOC>").alias("record"))
-    w = Window.partitionBy("path").orderBy("_mid")
-    rec = spread(rec.withColumn("rec_no", F.row_number().over(w) - 1).drop("_mid"), "path", "rec_no")
+        "path", "_blk", "_mid", F.regexp_replace("value", r"(?s)^.*?<DOC>", "<DOC>").alias("record"))
+    # file order: split start offset, then position inside the split
+    w = Window.partitionBy("path").orderBy("_blk", "_mid")
+    rec = spread(rec.withColumn("rec_no", F.row_number().over(w) - 1).drop("_blk", "_mid"), "path", "rec_no")
     docid, html, err = parse_trecweb(F.col("record"))
     parsed = rec.select("path", "rec_no", docid.alias("docid"), html.alias("html"), err.alias("parse_error"))
     last = Window.partitionBy("docid").orderBy(F.col("path").desc(), F.col("rec_no").desc())
