@@ -19,7 +19,8 @@ def brute(run, qrels):
         if q not in qrels:
             continue
         j = qrels[q]
-        ranked = sorted(docs, key=lambda d: (-round(d[1], 6), tuple(-ord(c) for c in d[0])))
+        # score desc, ties by docid desc as a string (stable two-pass sort)
+        ranked = sorted(sorted(docs, key=lambda d: d[0], reverse=True), key=lambda d: -round(d[1], 6))
         R = sum(1 for r in j.values() if r >= 1)
         N = sum(1 for r in j.values() if r < 1)
         rel_seen = nonrel_seen = 0
@@ -79,3 +80,42 @@ def test_evaluators_match_brute_force(spark, c):
             assert got_rank[q][m] == pytest.approx(want[q][m], abs=1e-9), (q, m)
             assert got_score[q][m] == pytest.approx(want[q][m], abs=1e-9), (q, m)
             assert 0.0 <= got_rank[q][m] <= 1.0
+
+
+def test_passages_cover_every_length(spark):
+    """Lengths 0..2000: count = max(1, ceil((n-150)/75)+1), windows start at 75*i,
+    the last one ends at n, and the 30 cap only drops windows."""
+    from pyspark.sql import functions as F
+
+    from rankfold.operators import rerank as K
+
+    sizes = list(range(0, 400)) + list(range(400, 2001, 37))
+    docs = spark.createDataFrame([(f"d{n}", n) for n in sizes], "docid string, n int").select(
+        "docid", "n", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("w"), i.cast("string")))
+        .alias("tokens"))
+    docs = docs.withColumn("tokens", F.when(F.col("n") == 0, F.array().cast("array<string>")).otherwise(F.col("tokens")))
+    full = K.passages(docs, keep_cols=("docid", "n"))
+    got = {r.docid: r for r in full.groupBy("docid", "n").agg(
+        F.count("*").alias("c"), F.max(F.col("start") + F.size("ptokens")).alias("end"),
+        F.max("start").alias("last")).collect()}
+    capped = {r.docid: r.c for r in K.passages(docs, numpassages=30).groupBy("docid").agg(F.count("*").alias("c")).collect()}
+    for n in sizes:
+        want = max(1, math.ceil((n - 150) / 75) + 1)
+        r = got[f"d{n}"]
+        assert r.c == want and r.end == n and r.last == 75 * (want - 1), n
+        assert capped[f"d{n}"] == min(30, want)
+
+
+def test_shallow_sampling_exact_counts(spark):
+    from pyspark.sql import functions as F
+
+    from rankfold.operators import benchmark as B
+
+    rows = [(f"q{q}", f"d{d}", d % 3) for q in range(1, 30) for d in range(q * 7 % 23 + 1)]
+    qrels = spark.createDataFrame(rows, "qid string, docid string, rel int")
+    sizes = {}
+    for q, _, _ in rows:
+        sizes[q] = sizes.get(q, 0) + 1
+    for rate in (0.1, 0.3, 0.5, 0.7, 0.9):
+        got = {r.qid: r.c for r in B.sample_shallow(qrels, rate, 7).groupBy("qid").agg(F.count("*").alias("c")).collect()}
+        assert got == {q: max(1, int(math.floor(rate * n + 0.5))) for q, n in sizes.items()}, rate
