@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_tokens
+from . import q_select, q_tokens
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_tokens,)
+MODULES = (q_tokens, q_select)
 
 
 def queries() -> dict[str, QueryFn]:
