@@ -40,8 +40,11 @@ PRETOKEN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MAX_VOCAB_BYTES = 64 << 20
 # Words, and pre-tokens, kept per Python worker (a cache is emptied when full: about
 # 200 bytes an entry), and the longest kept string.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 CACHE_CHARS = 64
+# Rows worked on at a time, so that ids and texts of a whole Arrow batch never lie in
+# memory together.
+SLICE_ROWS = 1_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,6 +57,34 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+def read_vocabulary(d: dict) -> tuple[dict[bytes, int], list[bytes]]:
+    """(token bytes -> id, id -> bytes with added tokens) of a vocabulary file's JSON."""
+    alphabet = byte_alphabet()
+    vocab = {bytes(alphabet[c] for c in t): i for t, i in d["model"]["vocab"].items()}
+    of_id = [b""] * (1 + max([*vocab.values(), *(a["id"] for a in d["added_tokens"])]))
+    for t, i in vocab.items():
+        of_id[i] = t
+    for a in d["added_tokens"]:
+        of_id[a["id"]] = a["content"].encode()
+    return vocab, of_id
+
+
+class Decoder:
+    """The bytes of all tokens in one blob, and the offset of each."""
+
+    def __init__(self, spec: bytes):
+        of_id = read_vocabulary(json.loads(spec))[1]
+        self.size = len(of_id)
+        self.offsets, self.blob = offset_table(of_id)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids give nothing."""
+        ids = np.asarray(ids, dtype=np.int64)
+        known = (ids >= 0) & (ids < self.size)
+        got = gather(ids if known.all() else ids[known], self.offsets, self.blob)
+        return got.decode("utf-8", "replace")
+
+
 class BpeModel:
     """Tables of one vocabulary, built from the JSON text of a byte-level BPE file."""
 
@@ -66,11 +97,8 @@ class BpeModel:
                 or m.get("continuing_subword_prefix") or m.get("end_of_word_suffix")):
             raise ValueError("only plain byte-level BPE vocabularies are supported")
         alphabet = byte_alphabet()
-        vocab = {bytes(alphabet[c] for c in t): i for t, i in m["vocab"].items()}
-        self.size = 1 + max([*vocab.values(), *(a["id"] for a in d["added_tokens"])])
-        self.bytes: list[bytes] = [b""] * self.size
-        for t, i in vocab.items():
-            self.bytes[i] = t
+        vocab, of_id = read_vocabulary(d)
+        self.size = len(of_id)
         # merges: pair -> merged id (ids must ascend with the merge order), merged id -> its halves
         self.pair: dict[tuple[int, int], int] = {}
         self.left, self.right = list(range(self.size)), list(range(self.size))
@@ -94,16 +122,13 @@ class BpeModel:
             self.automaton.add_word(t.decode("latin-1"), i)
             self.shorter[i] = next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1)
         self.automaton.make_automaton()
-        self.lengths = [len(t) for t in self.bytes]
+        self.lengths = [len(t) for t in of_id]
         # added tokens: looked for in the raw text first (earliest, then longest)
         self.added = {a["content"]: a["id"] for a in d["added_tokens"]}
         if any(a.get(k) for a in d["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that strip or need word borders are not supported")
         alts = sorted((k for k in self.added if k), key=len, reverse=True)
         self.added_re = regex.compile("(" + "|".join(map(regex.escape, alts)) + ")") if alts else None
-        for c, i in self.added.items():
-            self.bytes[i] = c.encode()
-        self.offsets, self.blob = offset_table(self.bytes)
         self.pre = regex.compile(PRETOKEN)
         self.words: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
@@ -192,16 +217,6 @@ class BpeModel:
             got = array("i", [i for p in self.pre.findall(literal(word)) for i in self.encode_piece(p.encode())]).tobytes()
         return remember(self.words, word, got)
 
-    # -- decoding ----------------------------------------------------------------------
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        ids = np.asarray(ids, dtype=np.int64)
-        known = (ids >= 0) & (ids < self.size)
-        return gather(ids if known.all() else ids[known], self.offsets, self.blob)
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids give nothing."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
-
 
 # A symbol right before a full stop or comma: the two are one pre-token.
 _SYMBOLS = re.compile(r"(?:[^\w\s]|_)[.,]")
@@ -239,13 +254,13 @@ def remember(cache: dict, word: str, value):
     return value
 
 
-def encode_words(text: str | None, cache: dict, learn, whole) -> np.ndarray:
+def encode_words(text: str | None, cache: dict, learn, whole, words: list[str] | None = None) -> np.ndarray:
     """Ids of ``text`` from cached words; ``learn(word)`` gives the ids of a new word as
     bytes, or None if the text must be encoded by ``whole``: white space touches white
     space or a full stop, or there is an added token."""
     if not text:
         return np.empty(0, dtype="<i4")
-    words = cut_words(text)
+    words = words or cut_words(text)
     if words is None or joined_word(words[0]):
         return np.frombuffer(whole(text), dtype="<i4")
     first, rest = words[0], words[1:]
@@ -277,17 +292,23 @@ def gather(ids: np.ndarray, offsets: np.ndarray, blob: np.ndarray) -> bytes:
 
 
 # -- Spark side --------------------------------------------------------------------------
-_MODELS: dict[str, BpeModel] = {}
+_MODELS: dict = {}
 
 
-def model_of(spec: bytes) -> BpeModel:
-    """One model per Python process and vocabulary."""
-    key = hashlib.sha256(spec).hexdigest()
+def model_of(kind: type, spec: bytes):
+    """One BpeModel or Decoder per Python process and vocabulary."""
+    key = kind, hashlib.sha256(spec).hexdigest()
     if key not in _MODELS:
-        _MODELS[key] = BpeModel(spec)
+        _MODELS[key] = kind(spec)
     return _MODELS[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file, read once on the driver, its size checked, broadcast."""
     with open(path, "rb") as f:
@@ -320,8 +341,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "token_i
     spec = broadcast_vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(spec.value)
-        for b in batches:
+        model = model_of(BpeModel, spec.value)
+        for b in slices(batches):
             ids = [model.encode(t) for t in _text_column(b, text_col)]
             ends = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
@@ -339,11 +360,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", out: str = "dec
     spec = broadcast_vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(spec.value)
-        for b in batches:
+        model = model_of(Decoder, spec.value)
+        for b in slices(batches):
             col = b.column(b.schema.get_field_index(ids_col))
-            flat = col.values.fill_null(-1).to_numpy(zero_copy_only=False)
             at = col.offsets.to_numpy()
+            flat = col.values.slice(at[0], at[-1] - at[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = at - at[0]
             ok = col.is_valid().to_numpy(zero_copy_only=False)
             texts = [model.decode(flat[s:e]) if v else "" for s, e, v in zip(at[:-1], at[1:], ok)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())],

@@ -21,8 +21,8 @@ protocol makes lost or repeated tasks harmless.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import broadcast_vocabulary, encode_words, joined_word, literal, remember
+from .bpe import broadcast_vocabulary, cut_words, encode_words, joined_word, literal, model_of, remember, slices
 
 BLOCK_TOKENS = 65_536
 # Shard offsets are broadcast: one row per shard, refused above this many.
@@ -75,8 +75,8 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 # -- encoding with the tokenizers library ---------------------------------------------------
 class LibraryEncoder:
-    """The tokenizers library behind a cache of words: new words of a batch are encoded
-    by one library call, texts that cannot be cut into words are encoded whole."""
+    """The tokenizers library behind a cache of words: the new words of many texts are
+    encoded by one library call, texts that cannot be cut into words are encoded whole."""
 
     def __init__(self, spec: bytes):
         import os
@@ -91,25 +91,31 @@ class LibraryEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        return self._ids([text])[0]
 
     def _learn(self, word: str) -> bytes | None:
-        got = None if joined_word(word) or any(a in word for a in self.added) else self._whole(literal(word))
-        return remember(self.words, word, got)
+        """A word that has left the cache since ``encode_many`` put it there."""
+        return None if self._unfit(word) else self._whole(literal(word))
+
+    def _unfit(self, word: str) -> bool:
+        return joined_word(word) or any(a in word for a in self.added)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [cut_words(t) if t else None for t in texts]
+        new = set().union(*(w[1:] for w in cut if w)).difference(self.words)
+        fit = [w for w in new if not self._unfit(w)]
+        for w, ids in zip(fit, self._ids([literal(w) for w in fit])):
+            remember(self.words, w, ids)
+        for w in new.difference(fit):
+            remember(self.words, w, None)
+        return [encode_words(t, self.words, self._learn, self._whole, w) for t, w in zip(texts, cut)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return encode_words(text, self.words, self._learn, self._whole)
-
-
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
-def encoder_of(spec: bytes) -> LibraryEncoder:
-    key = hashlib.sha256(spec).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = LibraryEncoder(spec)
-    return _ENCODERS[key]
+        return self.encode_many([text])[0]
 
 
 # -- writing and reading --------------------------------------------------------------------
@@ -124,7 +130,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
     spec = broadcast_vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(spec.value)
+        enc = model_of(LibraryEncoder, spec.value)
         bits = bits_for(max(enc.size, (end_id or 0) + 1))
         shard = TaskContext.get().partitionId()
         end = np.array([] if end_id is None else [end_id], dtype="<i4")
@@ -138,9 +144,8 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _ARROW)],
                                               schema=_ARROW)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = enc.encode(text)
+        for b in slices(batches):
+            for doc, got in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
                 n = len(got) + len(end)
                 if ids and offset[-1] + n > block_tokens:
                     yield flush()
