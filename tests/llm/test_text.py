@@ -1,0 +1,117 @@
+"""Operators 5 and 7 against brute force, held-out accuracy and edge tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from rankfold.llm import langid, q_text, secrets
+from rankfold.llm.q_tokens import documents
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string"
+
+
+# -- 5 ---------------------------------------------------------------------------------------
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                         text, re.I | re.A):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_base_spans_equal_matching_and_dropping():
+    rng = random.Random(1)
+    parts = ["token", "Secret", "api_key", "APIKEY", "password", "=", ":", " ", '"', "'", "abc", "deadbeef00", "AKIA",
+             "ABCDEFGH12", "x", "é", "ſecret", "/", ".", "0123456789abcdef", "\n", "-"]
+    for _ in range(6000):
+        s = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert secrets.base_spans(s) == brute_base(s), s
+
+
+def test_op5_query_keeps_all_base_spans(spark):
+    rows = {r.doc_id: r for r in q_text.op5_secrets(spark, DIR).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents(spark, DIR).collect()}
+    assert rows.keys() == texts.keys()
+    for doc, text in texts.items():
+        base = brute_base(text)
+        said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        r = rows[doc]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_markov_models_part_random_strings_from_identifiers(spark):
+    ratio = secrets.fit(documents(spark, "/root/testdata/sf0.01"))
+    rng = random.Random(2)
+    secret = ["".join(rng.choices(secrets.ALPHABET[:64], k=32)) for _ in range(300)]
+    plain = re.findall(r"[a-z]{4,}", " ".join(r.text or "" for r in documents(spark, DIR).collect()))
+    names = ["".join(rng.choices(plain, k=8))[:40] for _ in range(300)]
+    caught = sum(bool(secrets.scan_text(f"see {s} here", ratio)) for s in secret)
+    wrong = sum(bool(secrets.scan_text(f"see {s} here", ratio)) for s in names)
+    assert caught >= 285 and wrong <= 3
+
+
+def test_op5_edges(spark):
+    rows = [(1, None, None), (2, "", None), (None, "token = abcdefghijklmnop", "x"), (3, "é token: 0123456789abcdef", None),
+            (3, "é token: 0123456789abcdef", None), (4, "w " * 60_000 + "AKIA" + "A" * 20, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = secrets.scan(df, secrets.fit(df)).collect()
+    assert len(got) == 6
+    by = {r.doc_id: [(s.start, s.end, s.kind) for s in r.secrets] for r in got}
+    assert by[1] == by[2] == [] and by[4] == [(120_000, 120_024, "access")]
+    assert by[3] == [(2, 25, "assign"), (9, 25, "hex")]
+    none = spark.createDataFrame([], SCHEMA)
+    assert secrets.scan(none, secrets.fit(none)).count() == 0
+    with pytest.raises(ValueError):
+        secrets.scan(df.withColumnRenamed("lang", "secrets"), np.zeros(1))
+
+
+# -- 7 ---------------------------------------------------------------------------------------
+def test_op7_held_out_accuracy_and_split(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in q_text.op7_langid(spark, d).collect()}
+    docs = documents(spark, d).collect()
+    assert len(rows) == len(docs)
+    for r in docs:
+        assert rows[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    test = [r for r in docs if rows[r.doc_id].held_out]
+    right = sum(rows[r.doc_id].lang_pred == r.lang for r in test)
+    assert right >= 0.97 * len(test)
+    assert all(0 <= r.score <= 1 for r in rows.values())
+
+
+def test_op7_never_learns_from_held_out_rows(spark):
+    docs = documents(spark, DIR)
+    a = langid.fit(docs)
+    spoiled = docs.withColumn("lang", q_text.F.when(langid.held_out(docs.doc_id), "zz").otherwise(docs.lang))
+    b = langid.fit(spoiled)
+    assert a.langs == b.langs and np.array_equal(a.w, b.w)
+
+
+def test_op7_whole_texts_count(spark):
+    model = langid.fit(documents(spark, DIR))
+    text = {r.lang: r.text for r in documents(spark, DIR).collect() if len(r.text or "") > 1500}
+    p = model.texts([text["en"][:1500] + text["fr"] * 20])
+    assert model.langs[p[0].argmax()] == "fr"
+
+
+def test_op7_edges(spark):
+    rows = [(1, None, "en"), (2, "", None), (3, "123 456", "en"), (None, "the and of", None), (4, "the and of", "en"),
+            (4, "the and of", "en"), (5, "de la " * 30_000, "fr"), (6, "le des et", "fr"), (7, "of the and", "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert len(got) == len(rows) and got[0].score == 0
+    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
+    assert langid.fit(spark.createDataFrame([], SCHEMA)) is None
+    assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        langid.predict(df.withColumnRenamed("lang", "Score"), None)
