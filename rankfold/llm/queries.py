@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_select, q_text, q_tokens, q_vectors
+from . import q_near, q_select, q_text, q_tokens, q_vectors
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_tokens, q_select, q_text, q_vectors)
+MODULES = (q_tokens, q_select, q_text, q_vectors, q_near)
 
 
 def queries() -> dict[str, QueryFn]:
