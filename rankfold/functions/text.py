@@ -7,32 +7,25 @@ rows are; no Python runs per row.
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values (must stay exactly as written for equal results across engines)
 # ---------------------------------------------------------------------------
-# Blocks removed first (comments, scripts, styles, embedded objects, meta tags).
+# Blocks removed first, each up to its own closing tag (or the end, if it is never
+# closed): comments, scripts, styles, embedded objects; then meta, embed and link tags.
 HTML_BLOCKS_RE = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
-    r"|<(?:style|noscript|object|applet|iframe)\b.*?</(?:style|noscript|object|applet|iframe)\s*>"
-    r"|<(?:meta|embed|link)\b[^>]*>"
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style|object|applet|iframe)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+    r"|<(?:meta|embed|link)\b[^>]*+>"
 )
-# Any remaining tag.
-HTML_TAG_RE = r"(?s)<[^>]*>"
-# Entities decoded after tag removal, in this order; "&amp;" is decoded last so
-# that "&amp;lt;" becomes the text "&lt;" and not "<".
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# Any remaining tag: a name, "/", "!" or "?" must follow "<"; a ">" inside a quoted
+# attribute does not end it (unless the quote is never closed).
+HTML_TAG_RE = r"""(?s)<[A-Za-z/!?](?:(?:"[^"]*+"|'[^']*+'|[^'">])*+>|[^>]*+>)"""
+# A character reference, up to its semicolon.
+ENTITY_RE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Whitespace class spelled out so that the JVM and other engines agree
 # (tab, newline, vertical tab, form feed, carriage return, space, no-break space).
 WS_RE = r"[\t\n\x{0B}\f\r \x{00A0}]+"
@@ -53,14 +46,40 @@ def squash_ws(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), WS_RE, " "))
 
 
+def _named_entities() -> Column:
+    """Map of the named character references (the public HTML table of the standard library)."""
+    names = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+
+def _entity_value(name: Column) -> Column:
+    """The character of a reference's name (``#8217``, ``#x2019``, ``rsquo``), null if unknown."""
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(
+        F.substring(name, 2, 8)).try_cast("long")
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(F.startswith(name, F.lit("#")), F.when(real, char)).otherwise(F.try_element_at(_named_entities(), name))
+
+
+def decode_entities(col) -> Column:
+    """Numeric and named character references, each decoded once (``&amp;lt;`` gives
+    ``&lt;``); what is no known reference stays."""
+    def one(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, ENTITY_RE, 1)
+        known = F.concat(F.coalesce(_entity_value(name), F.concat(F.lit("&"), name, F.lit(";"))),
+                         F.substring(part, F.length(name) + 2, F.length(part)))
+        return F.when(i == 0, part).when(name == "", F.concat(F.lit("&"), part)).otherwise(known)
+
+    c = _c(col)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&", -1), one), "")).otherwise(c)
+
+
 def html_to_text(col) -> Column:
-    """Drop comments/scripts/styles/objects/meta, then all tags, decode a
-    fixed entity list and squash whitespace."""
+    """Drop comments, scripts, styles, embedded objects and meta tags, then all tags;
+    decode character references and squash whitespace.  Other text stays."""
     c = F.regexp_replace(_c(col), HTML_BLOCKS_RE, " ")
     c = F.regexp_replace(c, HTML_TAG_RE, " ")
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return squash_ws(c)
+    return squash_ws(decode_entities(c))
 
 
 def has_marker(col) -> Column:
@@ -108,14 +127,15 @@ def parse_trecweb(record) -> tuple[Column, Column, Column]:
     """(docid, html, parse_error) of one ``<DOC>...</DOC>`` record.
 
     The record must start (after the ``<DOC>`` tag) with ``<DOCNO>``; the id is
-    between the DOCNO tags; the body is everything after ``</DOCHDR>``.  Errors
-    are reported in a column instead of failing the job.
+    between the DOCNO tags; the body is everything after the first ``</DOCHDR>``, without
+    later ``</DOCHDR>`` and ``</DOC>`` tags.  Errors are reported in a column instead of
+    failing the job.
     """
     body = F.trim(F.regexp_replace(_c(record), r"(?s)^\s*<DOC>\s*|\s*</DOC>\s*$", ""))
     docno_e = F.locate("</DOCNO>", body)
     hdr_s = F.locate("<DOCHDR>", body)
     hdr_e = F.locate("</DOCHDR>", body)
-    docid = F.trim(F.substring_index(F.substring_index(body, "</DOCNO>", 1), "<DOCNO>", -1))
+    docid = F.trim(F.replace(F.substring_index(body, "</DOCNO>", 1), F.lit("<DOCNO>"), F.lit("")))
     err = (
         F.when(~body.startswith("<DOCNO>"), F.lit("record does not start with <DOCNO>"))
         .when(docno_e == 0, F.lit("missing </DOCNO>"))
@@ -123,10 +143,13 @@ def parse_trecweb(record) -> tuple[Column, Column, Column]:
         .when(hdr_e == 0, F.lit("missing </DOCHDR>"))
         .when(hdr_e < hdr_s, F.lit("</DOCHDR> before <DOCHDR>"))
     )
-    html = F.regexp_replace(F.substring_index(body, "</DOCHDR>", -1), r"^\s+", "")
+    rest = F.substring(body, hdr_e + len("</DOCHDR>"), F.length(body))
+    for tag in ("</DOCHDR>", "</DOC>"):
+        rest = F.replace(rest, F.lit(tag), F.lit(""))
+    page = F.regexp_replace(rest, r"^\s+|\s+$", "")
     return (
         F.when(body.startswith("<DOCNO>") & (docno_e > 0), docid),
-        F.when(err.isNull(), html),
+        F.when(err.isNull(), page),
         err,
     )
 

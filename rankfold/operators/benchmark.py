@@ -8,11 +8,13 @@ engine and on any retry.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sample_order
+from .ordering import sequence_number
 from .sizing import broadcast_bounded
 
 # The reference's sampling grid and modes.
@@ -75,16 +77,21 @@ def sample_deep(folds: DataFrame, rate: float, seed: int = 42) -> DataFrame:
     return f.filter(keep).drop("_r", "_n")
 
 
-def sample_shallow(qrels: DataFrame, rate: float, seed: int = 42) -> DataFrame:
-    """Keep ``max(1, round(rate * n))`` judgments of every query (md5 order); folds untouched.
+def numbered_judgments(qrels: DataFrame, seed: int = 42) -> DataFrame:
+    """(qid, docid, rel, _r, _n): every judgment's place in the md5 order of its query, and
+    the query's judgments.
 
-    The window is per query over its judgments (bounded by the qrels of one topic).
-    """
+    A query's judgments grow with the corpus, so they are numbered by a range-partitioned
+    sort and counted with map-side sums: no task holds a query."""
+    q = sequence_number(qrels.withColumn("_o", sample_order(seed, "qid", "docid")), ["qid"], ["_o", "docid"], "_r").drop("_o")
+    return q.join(qrels.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")), "qid")
+
+
+def sample_shallow(qrels: DataFrame, rate: float, seed: int = 42) -> DataFrame:
+    """Keep ``max(1, round(rate * n))`` judgments of every query (md5 order); folds untouched."""
     if rate >= 1:
         return qrels
-    w = Window.partitionBy("qid").orderBy(sample_order(seed, "qid", "docid"))
-    wn = Window.partitionBy("qid")
-    q = qrels.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(wn))
+    q = numbered_judgments(qrels, seed)
     return q.filter(F.col("_r") <= _keep_count(F.col("_n"), rate)).drop("_r", "_n")
 
 
@@ -96,22 +103,29 @@ def rate_name(mode: str, rate: float) -> str:
 def sample_grid(qrels: DataFrame, folds: DataFrame, rates: Sequence[float] = RATES,
                 modes: Sequence[str] = MODES, seed: int = 42) -> DataFrame:
     """(mode, rate, set_name, fold, split, qid, docid, rel) judgments every
-    train/dev list sees, for the whole grid, in one union."""
+    train/dev list sees, for the whole grid.
+
+    Queries and judgments are numbered once; the rates are exploded and filtered."""
+    f = folds.filter(F.col("split") != "test")
+    order = Window.partitionBy("fold", "split").orderBy(sample_order(seed, "fold", "split", "qid"))
+    lists = (f.withColumn("_r", F.row_number().over(order))
+             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("fold", "split"))))
+
+    def cells(mode: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(float(r)).alias("rate"),
+                                            F.lit(rate_name(mode, r)).alias("set_name")) for r in rates])).alias("cell")
+
+    keep = (F.col("cell.rate") >= 1) | (F.col("_r") <= F.greatest(
+        F.lit(1), F.round(F.col("cell.rate") * F.col("_n")).cast("long")))
+    columns = ["cell.mode", "cell.rate", "cell.set_name", "fold", "split", "qid", "docid", "rel"]
     parts = []
-    for mode in modes:
-        for rate in rates:
-            if mode == "deep":
-                f, q = sample_deep(folds, rate, seed), qrels
-            else:
-                f, q = folds, sample_shallow(qrels, rate, seed)
-            j = f.filter(F.col("split") != "test").join(q, "qid")
-            parts.append(j.select(F.lit(mode).alias("mode"), F.lit(float(rate)).alias("rate"),
-                                  F.lit(rate_name(mode, rate)).alias("set_name"),
-                                  "fold", "split", "qid", "docid", "rel"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if "deep" in modes:
+        deep = lists.select("*", cells("deep")).filter(keep).drop("_r", "_n")
+        parts.append(deep.join(qrels, "qid").select(*columns))
+    if "shallow" in modes:
+        shallow = numbered_judgments(qrels, seed).select("*", cells("shallow")).filter(keep).drop("_r", "_n")
+        parts.append(f.join(shallow, "qid").select(*columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def qrels_for_split(tagged: DataFrame, sampled: DataFrame, full: DataFrame,

@@ -1,9 +1,7 @@
 """Corpus statistics and document lookup.
 
-Term statistics come from one explode of the token arrays.  Map-side partial
-aggregation collapses a document's repeated terms before the shuffle, and a hot
-term (a stop word in most documents) is pre-counted per partition, so neither
-``groupBy`` skews.
+A document's terms are counted inside its row (``doc_terms``); per-term sums are
+pre-aggregated per task, so a hot term (a stop word in most documents) does not skew.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_terms, tokenize
+from ..functions.text import tokenize
 from .sizing import broadcast_bounded
 
 
@@ -22,6 +20,30 @@ def with_tokens(docs: DataFrame, text_col: str = "text", out: str = "tokens") ->
     return docs.withColumn(out, tokenize(text_col))
 
 
+DOC_MARK = ""  # term of the one row per document that carries its length (tokens are never empty)
+
+
+def doc_terms(docs: DataFrame, text_col: str = "text", mark: bool = False) -> DataFrame:
+    """(docid, dl, term, tf): one row per distinct term of every document, counted inside
+    the row, so nothing is shuffled.
+
+    The sorted tokens of a text are runs of equal terms; a run's length is the term's
+    count.  ``mark`` adds a row with the term ``DOC_MARK`` for every document.
+    """
+    s, starts = F.col("_sorted"), F.col("_starts")
+    sorted_ = docs.select("docid", F.sort_array(tokenize(text_col)).alias("_sorted"))
+    new = F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i))
+    sorted_ = sorted_.withColumn("_starts", F.filter(new, lambda i: i.isNotNull()))
+    runs = F.transform(starts, lambda p, k: F.struct(
+        F.get(s, p).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - p).cast("long").alias("tf")))
+    if mark:
+        one = F.struct(F.lit(DOC_MARK).alias("term"), F.lit(0).cast("long").alias("tf"))
+        runs = F.concat(F.array(one), runs)
+    # explode_outer: a plain explode would infer a filter on the array and compute it twice
+    out = sorted_.select("docid", F.size(s).alias("dl"), F.explode_outer(runs).alias("t"))
+    return out.filter(F.col("t").isNotNull()).select("docid", "dl", "t.term", "t.tf")
+
+
 @dataclass
 class TermStats:
     """Postings (docid, dl, term, tf), terms (term, df, cf), doc_len (docid, dl)
@@ -35,13 +57,9 @@ class TermStats:
 
 
 def term_stats(docs: DataFrame, text_col: str = "text") -> TermStats:
-    tok = docs.select("docid", tokenize(text_col).alias("tokens"))
-    doc_len = tok.select("docid", F.size("tokens").alias("dl"))
-    postings = (
-        explode_terms(tok, "docid", F.size("tokens").alias("dl"))
-        .groupBy("docid", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Only per-term partial sums are shuffled: a document's terms are counted in its row."""
+    doc_len = docs.select("docid", F.size(tokenize(text_col)).alias("dl"))
+    postings = doc_terms(docs, text_col)
     terms = postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     coll = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -64,5 +82,10 @@ def fetch_docs(docs: DataFrame, ids: DataFrame, ids_bound: int | None = None) ->
 
 
 def missing_docs(docs: DataFrame, ids: DataFrame, ids_bound: int | None = None) -> DataFrame:
-    """L2 check: asked ids that the corpus does not have (should be empty)."""
-    return ids.select("docid").distinct().join(docs.select("docid"), "docid", "left_anti")
+    """L2 check: asked ids that the corpus does not have.
+
+    The corpus is cut to the asked ids first (map-side below the bound), so only small
+    sides meet in the anti join."""
+    asked = ids.select("docid").distinct()
+    found = fetch_docs(docs.select("docid"), asked, ids_bound)
+    return asked.join(found.distinct(), "docid", "left_anti")

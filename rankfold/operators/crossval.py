@@ -52,14 +52,19 @@ def fold_metrics(runs: DataFrame, folds: DataFrame, sampled_qrels: DataFrame, fu
     return E.mean_metrics(dev.unionByName(test), keys)
 
 
-def cv_ready(runs: DataFrame, folds: DataFrame) -> DataFrame:
-    """``runs`` unchanged when every fold of ``folds`` has a run, else empty.
+def cv_ready(runs: DataFrame, folds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The rows of every run (``group_cols``) that has all folds of ``folds``; a run
+    that lacks one gives no rows.
 
-    Both counts are scalar subqueries evaluated in the plan.
+    The folds needed are a scalar subquery; the gate is one row per run, broadcast
+    behind its count only if the caller's groups are small enough for Spark to choose so.
     """
-    have = runs.select(F.count_distinct("fold")).scalar()
+    g = list(group_cols)
     need = folds.select(F.count_distinct("fold")).scalar()
-    return runs.filter(have == need)
+    if not g:
+        return runs.filter(runs.select(F.count_distinct("fold")).scalar() == need)
+    whole = runs.groupBy(*g).agg(F.count_distinct("fold").alias("_have")).filter(F.col("_have") == need)
+    return runs.join(whole.select(*g), g, "left_semi")
 
 
 def restrict_to_test(runs: DataFrame, folds: DataFrame, folds_bound: int | None = None) -> DataFrame:
@@ -84,8 +89,10 @@ def cv_metrics(runs: DataFrame, folds: DataFrame, full_qrels: DataFrame,
                q_bound: int | None = None) -> DataFrame:
     """Cross-validated means over the union of own-test predictions (full qrels).
 
-    ``runs`` = (g.., fold, split, qid, docid, score) with per-fold test runs.
+    ``runs`` = (g.., fold, split, qid, docid, score) with per-fold test runs.  The gate
+    (X2) comes first: a run without every fold has no cross-validated result.
     """
+    runs = cv_ready(runs, folds, group_cols)
     t = restrict_to_test(runs.filter(F.col("split") == "test"), folds, folds_bound)
     u = union_test(t, group_cols)
     return E.mean_metrics(E.eval_run(u, full_qrels, metrics, level, group_cols, q_bound), group_cols)

@@ -16,8 +16,9 @@ Step 3's table has at most (#tasks + #groups) rows.  The numbering is exact
 
 The indexed rows are used twice (rows and per-task counts).  Range partition
 bounds come from a sample seeded per RDD, so two evaluations could cut the data
-differently; the indexed rows are therefore written once with a reliable
-``checkpoint`` (shared checkpoint folder) and both branches read that copy.
+differently; the indexed rows are therefore written once to a
+table in the shared folder and both branches read that copy; the small block table is
+written too, so that its size is known before it is broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .sizing import broadcast_bounded, row_bound
 
 
 def sequence_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
@@ -42,6 +44,7 @@ def sequence_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     blocks = s.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_li").alias("_lo"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (s.join(blocks.select("_pid", *g, "_off", "_lo"), ["_pid", *g])
+    blocks = checkpoint(blocks.select("_pid", *g, "_off", "_lo"))
+    return (s.join(broadcast_bounded(blocks, row_bound(blocks)), ["_pid", *g])
             .withColumn(out, F.col("_off") + F.col("_li") - F.col("_lo") + 1)
             .drop("_pid", "_li", "_off", "_lo"))

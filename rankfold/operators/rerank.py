@@ -124,21 +124,17 @@ def budget_tokens(pairs: DataFrame, max_len: int = MAX_SEQ_LEN) -> DataFrame:
 def query_weights(parts: BM25Parts) -> DataFrame:
     """(qid, qterms array<struct<term, qw>>), qw = qtf * corpus idf.
 
-    Built from the same term-statistics subplan as the first-stage BM25 run
-    (its exchanges are reused); one array per query, bounded by query length.
+    Built from the small statistics table of the first-stage run (the corpus is not read
+    again); one array per query, bounded by query length.
     """
     return parts.qw.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "qw"))).alias("qterms"))
 
 
-# Queries up to this many distinct terms are scored by an unrolled expression
-# (codegen, no lambda); longer ones by a higher-order ``aggregate``.
-UNROLL_MAX_TERMS = 64
-
-
 def bm25_passage_score(qterms: Column, ptokens: Column, k1: float = BM25_K1, b: float = BM25_B,
-                       avg_len: float = PASSAGE_LEN, max_terms: int | None = None) -> Column:
+                       avg_len: float = PASSAGE_LEN) -> Column:
     """BM25 of a passage: corpus idf, tf in the passage, length normalised by the
     nominal passage length (so a passage's score does not depend on the others).
+    A query without terms (null or empty ``qterms``) scores 0.
 
     tf of a term = size(p) - size(array_remove(p, term)): one native pass per
     query term.
@@ -150,12 +146,7 @@ def bm25_passage_score(qterms: Column, ptokens: Column, k1: float = BM25_K1, b:
         tf = (pl - F.size(F.array_remove(ptokens, t["term"]))).cast("double")
         return t["qw"] * (tf / (tf + norm))
 
-    if max_terms is not None and max_terms <= UNROLL_MAX_TERMS:
-        s = F.lit(0.0)
-        for i in range(1, max_terms + 1):
-            s = s + F.coalesce(contrib(F.try_element_at(qterms, F.lit(i))), F.lit(0.0))
-        return s
-    return F.aggregate(qterms, F.lit(0.0), lambda acc, t: acc + contrib(t))
+    return F.coalesce(F.aggregate(qterms, F.lit(0.0), lambda acc, t: acc + contrib(t)), F.lit(0.0))
 
 
 def overlap_score(qtokens: Column, ptokens: Column) -> Column:
@@ -189,20 +180,19 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
     """(g.., qid, docid, pidx, start, ptokens, <qside cols>) for every passage of
     every document in the cut run.
 
-    The cut run's document ids (bounded by topics x depth) are broadcast into a
-    semi join with the streaming corpus, so only needed documents survive the
-    scan and the corpus is never shuffled.  Each needed document is tokenized and
-    cut into passages once, in the task that read it; then the (qid, docid)
-    pairs and the query side are attached by bounded broadcast joins.  ``cut``
-    is read twice, so pass a materialized run.
+    The pairs, gathered per document (bounded by topics x depth), are broadcast onto the
+    streaming corpus, so only needed documents survive the scan and the corpus is never
+    shuffled.  A document is tokenized and cut once; its passages are multiplied by its
+    queries last, when the query side joins.
     """
     g = list(group_cols)
-    pairs = cut.select(*g, "qid", "docid")
-    need = broadcast_bounded(pairs.select("docid").distinct(), pair_bound)
-    d = docs.join(need, "docid", "left_semi").select("docid", tokenize("text").alias("tokens"))
-    p = passages(d, passagelen, stride, numpassages)
-    return (p.join(broadcast_bounded(pairs, pair_bound), "docid")
-            .join(broadcast_bounded(qside, q_bound), "qid"))
+    pairs = (cut.select(*g, "qid", "docid").groupBy("docid")
+             .agg(F.collect_list(F.struct(*g, "qid")).alias("_for")))
+    d = docs.join(broadcast_bounded(pairs, pair_bound), "docid").select("docid", "_for", tokenize("text").alias("tokens"))
+    p = passages(d, passagelen, stride, numpassages, keep_cols=("docid", "_for"))
+    p = p.select("docid", "pidx", "start", "ptokens", F.explode("_for").alias("_f")).select("docid", "pidx", "start",
+                                                                                          "ptokens", "_f.*")
+    return p.join(broadcast_bounded(qside, q_bound), "qid")
 
 
 # --------------------------------------------------------------------- K7 / K8

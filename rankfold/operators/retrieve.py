@@ -1,18 +1,15 @@
 """First-stage retrieval: BM25 (R2), top-k (R3), parameter sweep (R4), best run.
 
-Plan shape of ``bm25``:
-
-    docs ─ tokenize ─ explode (+1 marker row per doc carrying dl)
-         ─ ⋉ broadcast(query vocabulary + marker)                 (map side, no shuffle)
-         ─ groupBy(docid, dl, term) count                          (partial agg; no shuffle
-                                                                    when the corpus is hashed by docid)
-         ├ marker rows ─ agg ─ N, avgdl                            (scalar subquery)
-         ├ groupBy(term) ─ df ─ ⋈ query terms ─ qw = qtf * idf     (small, broadcast)
-         └ ⋈ broadcast(qw) ─ groupBy(qid, docid) sum               (partial agg, shuffle)
-         ─ row_number() <= k per qid                               (WindowGroupLimit before the shuffle)
-
-Only tokens of query terms (and one row per document) ever reach a shuffle, and
-no global value goes through the driver.
+Two scans of the corpus, a statistics one and a scoring one; both count a document's
+terms inside its row (``corpus.doc_terms``):
+
+    (1) docs - terms - semi join broadcast(query vocabulary + marker)      map side
+             - groupBy(term) df, sum(dl)                                   vocabulary-sized shuffle
+             - small table in the shared folder: df, N, avgdl -> qw = qtf * idf
+    (2) docs - terms - join broadcast(qw) - groupBy(qid, docid) sum        one row per pair
+             - row_number() <= k per qid                                   WindowGroupLimit
+
+The statistics are computed once and also feed the passage scorer.
 """
 
 from __future__ import annotations
@@ -23,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_terms, tokenize
+from ..functions.text import tokenize
+from ..session import checkpoint
+from .corpus import DOC_MARK, doc_terms
 from .sizing import broadcast_bounded
 
 # BM25 parameters of the reference's large-collection runs and depths.
@@ -31,6 +30,7 @@ BM25_K1 = 0.9
 BM25_B = 0.4
 SEARCH_DEPTH = 1000
 RANK_DIGITS = 6
+MEAN_DIGITS = 9
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str] = ("qid",), score_col: str = "score",
@@ -86,53 +86,39 @@ def bm25_tf_part(tf: Column, dl: Column, avgdl: Column, k1, b) -> Column:
 class BM25Parts:
     """Shared pieces of BM25 over one corpus and one topic set.
 
-    tf: (docid, dl, term, tf) for query-vocabulary terms only;
-    qw: (qid, term, qw) with qw = qtf * idf; n_docs / avgdl: scalar subqueries.
+    terms: (docid, dl, term, tf) of the corpus, lazily; stats: small table (term, df, dl)
+    of the query vocabulary; qw: (qid, term, qw) with qw = qtf * idf; n_docs / avgdl.
     """
 
-    tf: DataFrame
+    terms: DataFrame
     qw: DataFrame
-    n_docs: Column
-    avgdl: Column
+    n_docs: int
+    avgdl: float
     qterm_bound: int
 
 
-DOC_MARK = ""  # term value of the one per-document row that carries dl (tokens are never empty)
-
-
 def bm25_parts(docs: DataFrame, topics: DataFrame, text_col: str = "text",
                query_col: str = "query", qterm_bound: int | None = None) -> BM25Parts:
-    """One pass over the corpus feeds every statistic.
-
-    Each document's token array is prefixed with a marker element, exploded and
-    semi-joined with the (broadcast) query vocabulary plus the marker, then
-    counted per (docid, dl, term).  That single aggregate gives tf (query terms),
-    df (rows per term) and, from the marker rows, N and avgdl; all consumers read
-    the same shuffle, so the corpus is tokenized once.
-    """
+    """One scan gives df of the query terms and, from the marker rows, N and avgdl; the
+    table (at most one row per vocabulary term) is written once."""
     if qterm_bound is None:
         qterm_bound = query_term_bound(topics, query_col)
-    tok = docs.select("docid", tokenize(text_col).alias("tokens"))
     qt = query_terms(topics, query_col)
     vocab = qt.select("term").distinct().unionByName(
         qt.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term")))
-    marked = F.concat(F.array(F.lit(DOC_MARK)), F.col("tokens"))
-    counted = (explode_terms(tok, "docid", F.size("tokens").alias("dl"), tokens=marked)
-               .join(broadcast_bounded(vocab, qterm_bound + 1), "term", "left_semi")
-               .groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    docrows = counted.filter(F.col("term") == DOC_MARK)
-    coll = docrows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("c")).scalar()
-    n_docs, avgdl = coll.getField("n"), coll.getField("avgdl")
-    tf = counted.filter(F.col("term") != DOC_MARK)
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qw = (qt.join(dfs, "term")
-          .select("qid", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw")))
-    return BM25Parts(tf, qw, n_docs, avgdl, qterm_bound)
+    stats = checkpoint(doc_terms(docs, text_col, mark=True)
+                       .join(broadcast_bounded(vocab, qterm_bound + 1), "term", "left_semi")
+                       .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
+    total = stats.filter(F.col("term") == DOC_MARK).first()
+    n_docs, avgdl = (total.df, total.dl / total.df) if total else (0, 0.0)
+    qw = (qt.join(broadcast_bounded(stats.filter(F.col("term") != DOC_MARK), qterm_bound), "term")
+          .select("qid", "term", (F.col("qtf") * idf(F.lit(n_docs), F.col("df"))).alias("qw")))
+    return BM25Parts(doc_terms(docs, text_col), qw, n_docs, avgdl, qterm_bound)
 
 
 def bm25_hits(parts: BM25Parts) -> DataFrame:
     """(qid, docid, dl, tf, qw) for every (query term, document) hit."""
-    return (parts.tf.join(broadcast_bounded(parts.qw, parts.qterm_bound), "term")
+    return (parts.terms.join(broadcast_bounded(parts.qw, parts.qterm_bound), "term")
             .select("qid", "docid", "dl", "tf", "qw"))
 
 
@@ -142,31 +128,27 @@ def bm25(docs: DataFrame | None, topics: DataFrame | None, k1: float = BM25_K1,
     """R2 + R3: BM25 run (qid, docid, score, rank), best k per query."""
     parts = parts or bm25_parts(docs, topics, text_col, query_col, qterm_bound)
     run = (bm25_hits(parts).select(
-        "qid", "docid", (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), parts.avgdl, k1, b)).alias("w"))
+        "qid", "docid", (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), F.lit(parts.avgdl), k1, b)).alias("w"))
         .groupBy("qid", "docid").agg(F.sum("w").alias("score")))
     return rank_within(run, ("qid",), "score", k=k)
 
 
-def sweep_grid(grid: Sequence[tuple[float, float]]) -> Column:
-    """Literal array of (run_id, k1, b) structs; exploded per row, never cross-joined."""
-    return F.array(*[
-        F.struct(F.lit(f"bm25_k1={k1:.2f}_b={b:.2f}").alias("run_id"),
-                 F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
-        for k1, b in grid])
-
-
 def bm25_sweep(docs: DataFrame, topics: DataFrame, grid: Sequence[tuple[float, float]],
                k: int | None = SEARCH_DEPTH, text_col: str = "text", query_col: str = "query",
-               qterm_bound: int | None = None) -> DataFrame:
-    """One BM25 run per (k1, b); the hits are computed once and multiplied by
-    the grid with ``explode`` (a Generate, not a join)."""
-    parts = bm25_parts(docs, topics, text_col, query_col, qterm_bound)
-    hits, avgdl = bm25_hits(parts), parts.avgdl
-    g = hits.select("qid", "docid", "dl", "tf", "qw", F.explode(sweep_grid(grid)).alias("p"))
-    run = (g.select(F.col("p.run_id").alias("run_id"), "qid", "docid",
-                    (F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), avgdl,
-                                                F.col("p.k1"), F.col("p.b"))).alias("w"))
-           .groupBy("run_id", "qid", "docid").agg(F.sum("w").alias("score")))
+               qterm_bound: int | None = None, parts: BM25Parts | None = None) -> DataFrame:
+    """One BM25 run per (k1, b).
+
+    One aggregate sums every grid point as a column of the (query, document) row; the
+    runs are exploded after it, so the grid multiplies no shuffled row before the top-k.
+    """
+    parts = parts or bm25_parts(docs, topics, text_col, query_col, qterm_bound)
+    avgdl = F.lit(parts.avgdl)
+    sums = [F.sum(F.col("qw") * bm25_tf_part(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias(f"s{i}")
+            for i, (k1, b) in enumerate(grid)]
+    points = F.array(*[F.struct(F.lit(f"bm25_k1={k1:.2f}_b={b:.2f}").alias("run_id"), F.col(f"s{i}").alias("score"))
+                       for i, (k1, b) in enumerate(grid)])
+    run = (bm25_hits(parts).groupBy("qid", "docid").agg(*sums)
+           .select("qid", "docid", F.explode(points).alias("p")).select("p.run_id", "qid", "docid", "p.score"))
     return rank_within(run, ("run_id", "qid"), "score", k=k)
 
 
@@ -175,9 +157,10 @@ def best_run_per_fold(fold_means: DataFrame, metric: str = "ndcg_cut_20",
     """Per fold, the run with the best mean ``metric`` on ``split``.
 
     ``fold_means`` is (run_id, fold, split, metric, value) from
-    ``metrics.mean_metrics``; ties go to the smaller run_id.
+    ``metrics.mean_metrics``; values are compared after rounding to ``MEAN_DIGITS``, so
+    that equal runs tie whatever the order of summation; ties go to the smaller run_id.
     """
     cand = fold_means.filter((F.col("split") == split) & (F.col("metric") == metric))
-    w = Window.partitionBy("fold").orderBy(F.col("value").desc(), F.col("run_id").asc())
+    w = Window.partitionBy("fold").orderBy(F.round("value", MEAN_DIGITS).desc(), F.col("run_id").asc())
     return (cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
             .select("fold", "run_id", "metric", "value"))

@@ -1,25 +1,38 @@
 """Broadcast only behind a size check.
 
-A side is broadcast when a row bound that is *proven* from a cheap input (the
-topic set, a parameter grid) is under ``BROADCAST_MAX_ROWS``; otherwise the join
-is left to Spark (sort-merge join, AQE may still switch to a broadcast at
-runtime from measured shuffle sizes, and AQE skew-join splits hot keys).
-Corpus-sized tables (postings, runs, passages) are never hinted.
+A side is broadcast when a bound of its bytes, *proven* from a cheap input (the topic
+set, a parameter grid: rows times the width of a row), is under ``BROADCAST_MAX_BYTES``;
+otherwise the join is left to Spark (sort-merge join, AQE may still switch at runtime
+from measured sizes, and AQE skew-join splits hot keys).  Corpus-sized tables (postings,
+runs, passages) are never hinted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side holds at most this many rows (a few tens of MB of narrow rows).
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+# Assumed bytes of a string, and elements of an array whose length the caller does not give.
+STRING_BYTES = 48
+ARRAY_ITEMS = 64
 
 
-def broadcast_bounded(df: DataFrame, bound_rows: int | None,
-                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint ``broadcast`` iff ``bound_rows`` (an upper bound of ``df``'s rows) is known and small."""
-    if bound_rows is not None and bound_rows <= max_rows:
+def row_bytes(kind: T.DataType, array_items: int = ARRAY_ITEMS) -> int:
+    """Assumed bytes of one value of a type."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(row_bytes(f.dataType, array_items) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 + array_items * row_bytes(kind.elementType, array_items)
+    return STRING_BYTES if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def broadcast_bounded(df: DataFrame, bound_rows: int | None, max_bytes: int = BROADCAST_MAX_BYTES,
+                      array_items: int = ARRAY_ITEMS) -> DataFrame:
+    """Hint ``broadcast`` iff ``bound_rows`` (an upper bound of ``df``'s rows) is known and
+    that many rows are small; ``array_items`` bounds the elements of its arrays."""
+    if bound_rows is not None and bound_rows * row_bytes(df.schema, array_items) <= max_bytes:
         return F.broadcast(df)
     return df
 
@@ -31,17 +44,3 @@ def row_bound(df: DataFrame) -> int:
     the broadcast of tables derived from them safe.
     """
     return int(df.count())
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the
-    cluster runs tasks at once.
-
-    A corpus stored as a few large files (one parquet row group, unsplittable
-    gzip shards) would otherwise push all text work through a few tasks.  On a
-    large input with many splits this is a no-op, so no shuffle is added there.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -36,8 +36,9 @@ def epoch_of(step, itersize: int):
     return F.floor((F.col(step) - 1) / F.lit(itersize)).cast("int") + 1
 
 
-def epoch_loss(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | None = NITERS) -> DataFrame:
-    """G1: mean loss of every ``itersize`` steps; training stops after ``niters`` epochs.
+def epoch_loss(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | None = None) -> DataFrame:
+    """G1: mean loss of every ``itersize`` steps of the whole log, or of its first
+    ``niters`` epochs if a stop is asked for.
 
     (run_id, epoch, loss, n_steps) — the true mean of the epoch's steps.
     """
@@ -46,7 +47,7 @@ def epoch_loss(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | Non
             .groupBy("run_id", "epoch").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_steps")))
 
 
-def dev_log_from_train(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | None = NITERS) -> DataFrame:
+def dev_log_from_train(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | None = None) -> DataFrame:
     """Stand-in validation log per (run_id, epoch): ``map`` = mean loss value,
     ``P_20`` = max, ``bpref`` = min, ``judged_10`` = steps / itersize and
     ``loss_sum`` (a name outside the kept set)."""
@@ -71,7 +72,7 @@ def best_epoch(dev_log: DataFrame, metric: str, freq: int | None = VALIDATE_FREQ
     """
     d = dev_log if freq is None else validation_epochs(dev_log, freq)
     d = d.filter(F.col("metric") == metric)
-    w = Window.partitionBy("run_id").orderBy(F.col("value").desc(), F.col("epoch").asc())
+    w = Window.partitionBy("run_id").orderBy(F.round("value", 9).desc(), F.col("epoch").asc())
     return (d.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
             .select("run_id", "epoch", "metric", "value"))
 

@@ -78,7 +78,7 @@ FROM (SELECT docid, len(tokens) AS dl, unnest(tokens) AS term FROM dtok) GROUP B
 # -- topics -------------------------------------------------------------------
 cte("ttok", (), f"SELECT CAST(item_id AS VARCHAR) AS qid, item_id, text, {tok('text')} AS tokens FROM benchmark")
 cte("title", ("ttok",), """
-SELECT qid, item_id, array_to_string(tokens[1:8], ' ') AS query FROM ttok
+SELECT qid, item_id, array_to_string(tokens, ' ') AS query FROM ttok
 """)
 cte("qt", ("title",), f"""
 SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('query')}) AS term FROM title) GROUP BY qid, term
@@ -94,7 +94,7 @@ SELECT qid, docid, rel FROM (
   SELECT h.qid, h.docid,
          CASE WHEN h.nh / s.nt >= 0.95 THEN 2
               WHEN h.nh / s.nt >= 0.4 THEN 1
-              WHEN h.nh / s.nt >= 0.2 AND (h.doc_id * 31 + h.item_id) % 4 = 0 THEN 0 END AS rel
+              WHEN h.nh / s.nt >= 0.2 THEN 0 END AS rel
   FROM (SELECT t.qid, t.item_id, d.docid, d.doc_id, count(*) AS nh
         FROM dterms d JOIN tterms t ON d.term = t.term GROUP BY ALL) h
   JOIN tsize s ON h.qid = s.qid AND h.item_id = s.item_id

@@ -93,7 +93,7 @@ def _sweep_dev_sql() -> str:
     return f"""
 SELECT fold, run_id, 'ndcg_cut_20' AS metric, round(value, 6) AS value FROM (
   SELECT fold, run_id, value,
-         row_number() OVER (PARTITION BY fold ORDER BY value DESC, run_id ASC) AS r
+         row_number() OVER (PARTITION BY fold ORDER BY round(value, 9) DESC, run_id ASC) AS r
   FROM (SELECT run_id, fold, avg(ndcg_cut_20) AS value FROM {pq} pq GROUP BY run_id, fold))
 WHERE r = 1
 """

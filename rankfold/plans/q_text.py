@@ -6,17 +6,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
-from ..operators.sizing import spread
 from ..sources import testbed
 from . import oracle as O
 from .registry import X, register
 
 
 def _sql_html_to_text(col: str) -> str:
-    c = f"regexp_replace({col}, '{T.HTML_BLOCKS_RE}', ' ', 'g')"
-    c = f"regexp_replace({c}, '{T.HTML_TAG_RE}', ' ', 'g')"
-    for ent, ch in T.HTML_ENTITIES:
-        c = f"replace({c}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    """Written apart from the Spark patterns: one step per kind of block (RE2 has no back
+    references), and the references that the pages hold."""
+    c = f"regexp_replace({col}, '<!--(.|\\n)*?-->', ' ', 'g')"
+    for tag in ("script", "style", "object", "applet", "iframe"):
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)<(meta|embed|link)\\b[^>]*>', ' ', 'g')"
+    c = f"""regexp_replace({c}, '<[A-Za-z/!?]("[^"]*"|''[^'']*''|[^''">])*>', ' ', 'g')"""
+    c = f"regexp_replace({c}, '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"),
+                       ("middot", "·"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
     return _sql_squash(c)
 
 
@@ -25,7 +31,7 @@ def _sql_squash(c: str) -> str:
 
 
 def _pages(spark, sf_dir):
-    return spread(testbed.table(spark, sf_dir, "pages"), "page_id")
+    return testbed.table(spark, sf_dir, "pages")
 
 
 @register("html_to_text", O.sql(f"SELECT page_id, {_sql_html_to_text('html')} AS text FROM pages"))
@@ -37,7 +43,7 @@ def q_html_to_text(spark, sf_dir):
 @register("ws_squash", O.sql(f"SELECT doc_id, {_sql_squash('text')} AS text FROM documents"))
 def q_ws_squash(spark, sf_dir):
     """T3 over every document."""
-    d = spread(testbed.table(spark, sf_dir, "documents"), "doc_id")
+    d = testbed.table(spark, sf_dir, "documents")
     return d.select("doc_id", T.squash_ws("text").alias("text"))
 
 
@@ -82,14 +88,14 @@ def q_run_docids(spark, sf_dir):
 
 
 @register("fetch_docs", O.sql("""
-SELECT CAST(doc_id AS VARCHAR) AS docid, n_chars FROM documents
+SELECT CAST(doc_id AS VARCHAR) AS docid, n_chars, text FROM documents
 WHERE CAST(doc_id AS VARCHAR) IN (SELECT docid FROM cut)
 """, "cut"))
 def q_fetch_docs(spark, sf_dir):
     """L2: only the documents of the rerank cut (topics x 100, broadcast semi join)."""
     x = X(spark, sf_dir)
     d = testbed.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("docid"), "n_chars")
+        F.col("doc_id").cast("string").alias("docid"), "n_chars", "text")
     return C.fetch_docs(d, C.run_docids(x.cut), ids_bound=x.cut_bound)
 
 

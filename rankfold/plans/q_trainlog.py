@@ -10,7 +10,6 @@ from . import oracle as O
 from .registry import r6, register
 
 ITERSIZE = G.ITERSIZE
-NITERS = G.NITERS
 FREQ = G.VALIDATE_FREQ
 
 
@@ -25,7 +24,7 @@ FROM events
 """)
 O.cte("epochs", ("train_log",), f"""
 SELECT run_id, CAST(floor((step - 1) / {ITERSIZE}) AS INTEGER) + 1 AS epoch, loss
-FROM train_log WHERE step <= {NITERS * ITERSIZE}
+FROM train_log
 """)
 O.cte("dev_log", ("epochs",), f"""
 UNPIVOT (SELECT run_id, epoch, avg(loss) AS map, max(loss) AS P_20, min(loss) AS bpref,
@@ -41,12 +40,12 @@ FROM epochs GROUP BY run_id, epoch
 """, "epochs"))
 def q_epoch_loss(spark, sf_dir):
     """G1: mean loss per epoch of every run (steps numbered without a per-run sort task)."""
-    e = G.epoch_loss(_train_log(spark, sf_dir), ITERSIZE, NITERS)
+    e = G.epoch_loss(_train_log(spark, sf_dir), ITERSIZE)
     return e.select("run_id", "epoch", r6("loss").alias("loss"), "n_steps")
 
 
 def _dev_log(spark, sf_dir):
-    return G.dev_log_from_train(_train_log(spark, sf_dir), ITERSIZE, NITERS)
+    return G.dev_log_from_train(_train_log(spark, sf_dir), ITERSIZE)
 
 
 @register("validation_epochs", O.sql(f"""
@@ -60,7 +59,7 @@ def q_validation_epochs(spark, sf_dir):
 
 @register("best_epoch", O.sql(f"""
 SELECT run_id, epoch, metric, round(value, 6) AS value FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, epoch ASC) AS r
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(value, 9) DESC, epoch ASC) AS r
   FROM dev_log WHERE epoch % {FREQ} = 0 AND metric = 'map') WHERE r = 1
 """, "dev_log"))
 def q_best_epoch(spark, sf_dir):
@@ -98,8 +97,6 @@ def _features(x):
 
 
 def _fit_all(spark, sf_dir):
-    from pyspark import StorageLevel
-
     from ..operators import benchmark as B
     from ..operators import pairwise as P
     from ..operators import rerank as K
@@ -111,9 +108,8 @@ def _fit_all(spark, sf_dir):
     folds = x.folds(5)
     train = B.split_run(x.cut.select("qid", "docid"), folds, x.n_topics * 5, ("train",))
     trip = K.triplets(train.select("fold", "qid", "docid"), x.qrels, 1, 2, 42, ["fold"])
-    ex = checkpoint(P.pair_examples(trip, feats, FEATURES, ["fold"])).persist(StorageLevel.MEMORY_AND_DISK)
+    ex = checkpoint(P.pair_examples(trip, feats, FEATURES, ["fold"]))
     weights = checkpoint(P.fit_pairwise(ex, FEATURES))
-    ex.unpersist()
     return x, feats, folds, weights
 
 

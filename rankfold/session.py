@@ -34,7 +34,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "16g"
+    conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -47,8 +47,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) a fresh scratch folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``.  Without it a fresh scratch folder
+    is taken in local mode only: on a cluster a machine-local folder would lose data, so
+    that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="rankfold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
@@ -64,9 +67,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` to a Parquet table in the shared folder and read it
+    back.  It survives executor loss, and its readers keep column pruning, filter
+    pushdown and statistics."""
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import WS_RE, parse_trecweb
-from ..operators.sizing import spread
 
 # Fixed values of the formats.
 DOC_END = "\n</DOC>"
@@ -28,32 +27,36 @@ FOLDS_SCHEMA = T.MapType(T.StringType(), T.StructType([
 
 # ------------------------------------------------------------------ S1 / T1
 def read_trecweb(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + T1: (path, rec_no, docid, html, parse_error) from ``<DOC>...</DOC>`` records.
-
-    Records end at a line starting ``</DOC>`` (multi-character line separator, so
-    ``</DOC>`` inside a line does not split); shards are found recursively and
-    gzip is decoded by the reader (one task per shard), then rows are spread.
-    Undecodable bytes arrive as U+FFFD and are dropped; text before the first
-    ``<DOC>`` of a record (a shard's tail) is not a record.  A repeated docid
-    keeps the record with the greatest (path, rec_no).
+    """S1 + T1: (path, split_start, rec_no, docid, html, parse_error) from
+    ``<DOC>...</DOC>`` records.
+
+    Records start at a line starting ``<DOC>`` and end at a line starting ``</DOC>``
+    (multi-character line separator, so ``</DOC>`` inside a line does not split); shards
+    are found recursively and gzip is decoded by the reader (one task per shard).
+    Undecodable bytes arrive as U+FFFD and are dropped; text before the first ``<DOC>`` of
+    a record (a shard's tail) is not a record.
+
+    Records are ordered by (path, split_start, rec_no): the split's offset in the file and
+    a number that grows inside the split, so numbering needs no shuffle.  A repeated docid
+    keeps its last record; that is the only shuffle, and a map-side limit sends at most
+    one record per docid and task.  Nothing runs while the plan is built.
     """
     raw = (spark.read.option("lineSep", DOC_END).option("recursiveFileLookup", "true")
            .text(path)
            .select(F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_block_start").alias("_blk"),
-                   F.regexp_replace("value", "�", "").alias("value"),
-                   F.monotonically_increasing_id().alias("_mid")))
-    rec = raw.filter(F.col("value").contains("<DOC>")).select(
-        "path", "_blk", "_mid", F.regexp_replace("value", r"(?s)^.*?<DOC>", "<DOC>").alias("record"))
-    # file order: split start offset, then position inside the split
-    w = Window.partitionBy("path").orderBy("_blk", "_mid")
-    rec = spread(rec.withColumn("rec_no", F.row_number().over(w) - 1).drop("_blk", "_mid"), "path", "rec_no")
-    docid, html, err = parse_trecweb(F.col("record"))
-    parsed = rec.select("path", "rec_no", docid.alias("docid"), html.alias("html"), err.alias("parse_error"))
-    last = Window.partitionBy("docid").orderBy(F.col("path").desc(), F.col("rec_no").desc())
-    ok = parsed.filter(F.col("docid").isNotNull())
-    dedup = ok.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
-    return dedup.unionByName(parsed.filter(F.col("docid").isNull()))
+                   F.col("_metadata.file_block_start").alias("split_start"),
+                   F.regexp_replace("value", "\uFFFD", "").alias("value"),
+                   F.monotonically_increasing_id().alias("rec_no")))
+    rec = raw.filter(F.col("value").rlike(r"(?m)^<DOC>")).withColumn(
+        "value", F.regexp_replace("value", r"(?s)^(?:|.*?\n)<DOC>", "<DOC>"))
+    docid, html, err = parse_trecweb(F.col("value"))
+    where = ["path", "split_start", "rec_no"]
+    parsed = rec.select(*where, docid.alias("docid"), html.alias("html"), err.alias("parse_error"))
+    # a record without an id is its own group
+    group = F.coalesce(F.col("docid"), F.concat_ws("|", F.lit(""), *where))
+    last = Window.partitionBy("_g").orderBy(*[F.col(c).desc() for c in where])
+    return (parsed.withColumn("_g", group).withColumn("_k", F.row_number().over(last)).filter("_k = 1")
+            .drop("_g", "_k"))
 
 
 def write_trecweb(df: DataFrame, path: str, shard_col: str | None = None, header_col: str = "url") -> None:

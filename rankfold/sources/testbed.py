@@ -6,10 +6,10 @@ same shapes with Spark so that every query's work grows with the given tables.
 
 * docs    (docid string, doc_id long, text)           docid = doc_id as string
 * topics  (qid string, item_id long, query_type, query) desc = whole text,
-          title = first 8 tokens of it
+          title = all its tokens, joined by spaces
 * qrels   (qid, docid, rel)  r = share of the topic's distinct desc terms found
           in the document: rel 2 if r >= .95, 1 if .4 <= r < .95,
-          0 if .2 <= r < .4 and (doc_id*31 + item_id) % 4 = 0, else unjudged
+          0 if .2 <= r < .4, else unjudged
 * folds   (fold, split, qid) test bucket item_id % n + 1; dev of s_i is the test
           set of s_{i-1} (s1 takes the last); the rest is train
 """
@@ -21,12 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_terms, tokenize
 from ..operators.benchmark import make_folds
-from ..operators.sizing import broadcast_bounded, row_bound, spread
+from ..operators.sizing import broadcast_bounded, row_bound
 
 # Fixed values of the derivation.
-TITLE_TOKENS = 8
-QREL_CUTS = (0.95, 0.4, 0.2)  # rel 2, rel 1, rel 0 (with the modulo rule)
-QREL_ZERO_MOD = (31, 4)       # (doc_id * 31 + item_id) % 4 = 0
+QREL_CUTS = (0.95, 0.4, 0.2)  # rel 2, rel 1, rel 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return spread(d.select(F.col("doc_id").cast("string").alias("docid"), "doc_id", "text"), "docid")
+    return d.select(F.col("doc_id").cast("string").alias("docid"), "doc_id", "text")
 
 
 def topics(spark: SparkSession, sf_dir: str, query_type: str | None = None) -> DataFrame:
@@ -45,7 +43,7 @@ def topics(spark: SparkSession, sf_dir: str, query_type: str | None = None) -> D
         F.col("item_id").cast("string").alias("qid"), "item_id",
         F.explode(F.array(
             F.struct(F.lit("title").alias("query_type"),
-                     F.array_join(F.slice(tokenize("text"), 1, TITLE_TOKENS), " ").alias("query")),
+                     F.array_join(tokenize("text"), " ").alias("query")),
             F.struct(F.lit("desc").alias("query_type"), F.col("text").alias("query")),
         )).alias("t"),
     ).select("qid", "item_id", "t.query_type", "t.query")
@@ -66,15 +64,13 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tterms = b.select("item_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
     tsize = tterms.groupBy("item_id").agg(F.count(F.lit(1)).alias("nt"))
     bound = b.select(F.sum(F.size(F.array_distinct(tokenize("text"))))).first()[0] or 0
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     dterms = explode_terms(d, "doc_id", tokens=F.array_distinct(tokenize("text")))
     hits = (dterms.join(broadcast_bounded(tterms, int(bound)), "term")
             .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("nh")))
     r = F.col("nh") / F.col("nt")
     hi, mid, lo = QREL_CUTS
-    mul, mod = QREL_ZERO_MOD
-    rel = (F.when(r >= hi, 2).when(r >= mid, 1)
-           .when((r >= lo) & (F.pmod(F.col("doc_id") * mul + F.col("item_id"), F.lit(mod)) == 0), 0))
+    rel = F.when(r >= hi, 2).when(r >= mid, 1).when(r >= lo, 0)
     out = (hits.join(broadcast_bounded(tsize, n_topics), "item_id")
            .select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docid"),
                    rel.alias("rel"))

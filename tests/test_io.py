@@ -18,7 +18,7 @@ def test_trecweb_edge_cases(spark, tmpdir_path):
     got = {r.docid: r for r in S.read_trecweb(spark, tmpdir_path).collect()}
     assert set(got) == {"GX000-00-0000001", "GX000-00-0000002", "GX000-00-0000003"}
     assert got["GX000-00-0000001"].html == "second copy"          # repeated id: last record wins
-    assert got["GX000-00-0000002"].html == "<p>text </DOC> inside</p>"
+    assert got["GX000-00-0000002"].html == "<p>text  inside</p>"  # a tag inside a line is dropped, its text stays
     assert got["GX000-00-0000003"].parse_error == "missing </DOCHDR>"
 
 
@@ -66,3 +66,28 @@ def test_topics_file(spark, tmpdir_path):
                 "are minorities?\n<narr> Narrative:\nAnything.\n</top>\n")
     got = {r.query_type: r.query for r in S.read_topics(spark, p).collect()}
     assert got == {"title": "foreign minorities", "desc": "Which groups are minorities?"}
+
+
+def test_trecweb_record_start_and_later_header_ends(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "x.txt"), "w") as f:
+        f.write("noise <DOC> not a start\n<DOC>\n<DOCNO>A-1-1</DOCNO>\n<DOCHDR>\nh\n</DOCHDR>\n"
+                "keep this </DOCHDR> and that\n</DOC>\nmore <DOC> noise only\n</DOC>\n")
+    rows = S.read_trecweb(spark, tmpdir_path).collect()
+    assert [(r.docid, r.html, r.parse_error) for r in rows] == [("A-1-1", "keep this  and that", None)]
+
+
+def test_trecweb_reader_starts_no_job_and_keeps_order(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "x.txt"), "w") as f:
+        for i in range(500):
+            f.write(f"<DOC>\n<DOCNO>A-1-{i % 100}</DOCNO>\n<DOCHDR>\n</DOCHDR>\ncopy {i}\n</DOC>\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("reader", "reader")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = S.read_trecweb(spark, tmpdir_path)
+        assert len(sc.statusTracker().getJobIdsForGroup("reader")) == 0
+        got = {r.docid: r.html for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"A-1-{k}": f"copy {400 + k}" for k in range(100)}

@@ -11,15 +11,15 @@ def test_stream_matches_batch(spark, tmpdir_path):
     # two arrivals: first and second half of the steps
     log.filter("step <= 100").write.mode("append").parquet(tmpdir_path + "/log")
     ckpt = tmpdir_path + "/stream-ckpt"
-    q = start_epoch_loss(spark, tmpdir_path + "/log", "live_epochs", itersize=64, niters=36, available_now=True,
+    q = start_epoch_loss(spark, tmpdir_path + "/log", tmpdir_path + "/out", itersize=64, available_now=True,
                          checkpoint_location=ckpt)
     q.awaitTermination()
     # the restarted query resumes from its checkpoint: only the new files are read,
     # the aggregation state of the first run is kept
     log.filter("step > 100").write.mode("append").parquet(tmpdir_path + "/log")
-    q = start_epoch_loss(spark, tmpdir_path + "/log", "live_epochs", itersize=64, niters=36, available_now=True,
+    q = start_epoch_loss(spark, tmpdir_path + "/log", tmpdir_path + "/out", itersize=64, available_now=True,
                          checkpoint_location=ckpt)
     q.awaitTermination()
-    live = {(r.run_id, r.epoch): (round(r.loss, 9), r.n_steps) for r in spark.table("live_epochs").collect()}
-    batch = {(r.run_id, r.epoch): (round(r.loss, 9), r.n_steps) for r in G.epoch_loss(log, 64, 36).collect()}
+    live = {(r.run_id, r.epoch): (round(r.loss, 9), r.n_steps) for r in spark.read.parquet(tmpdir_path + "/out").collect()}
+    batch = {(r.run_id, r.epoch): (round(r.loss, 9), r.n_steps) for r in G.epoch_loss(log, 64).collect()}
     assert live == batch

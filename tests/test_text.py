@@ -24,6 +24,24 @@ def test_html_to_text(spark):
     assert one(spark, T.html_to_text("v"), html) == "Fish & chips <3 more text © &lt;"
 
 
+def test_html_keeps_plain_text(spark):
+    cases = {
+        "<p>3 < 4 and 5 > 2</p>": "3 < 4 and 5 > 2",
+        '<a title="x > y">in</a> <b class=\'a>b\'>bold</b>': "in bold",
+        '<a title="never closed>text</a>': "text",
+        "caf&eacute; &#8217; &ndash; &#x1F600; &amp;lt; &unknown; & x &#0;": "café ’ – 😀 &lt; &unknown; & x &#0;",
+        "a<noscript>shown</noscript>b": "a shown b",
+        "a<script>if (x < 1) y</style> hidden</script>b": "a b",
+        "a<script>never closed": "a",
+        "a<!-- x --> b <!-- never closed": "a b",
+        "<iframe src=x>inner</iframe>y<embed src=z>": "y",
+        "1 <2 and <3": "1 <2 and <3",
+    }
+    df = spark.createDataFrame(list(cases.items()), "html string, want string")
+    for r in df.select("html", "want", T.html_to_text("html").alias("got")).collect():
+        assert r.got == r.want, r.html
+
+
 def test_has_marker(spark):
     assert one(spark, T.has_marker("v"), "x <DOCNO> y")
     assert one(spark, T.has_marker("v"), "</dochdr>")
