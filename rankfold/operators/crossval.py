@@ -115,7 +115,8 @@ def minmax(df: DataFrame, keys: Sequence[str], col: str, out: str,
 def interpolate(search: DataFrame, rerank: DataFrame, folds: DataFrame, sampled_qrels: DataFrame,
                 full_qrels: DataFrame, optimize: str = "ndcg_cut_20",
                 metrics: Sequence[str] = E.DEFAULT_METRICS, weights: Sequence[float] = WEIGHTS,
-                level: int = 1, folds_bound: int | None = None, q_bound: int | None = None) -> DataFrame:
+                level: int = 1, folds_bound: int | None = None, q_bound: int | None = None,
+                pooled: bool = False) -> DataFrame:
     """Searcher (+) reranker fusion with the weight chosen per fold on dev.
 
     Inputs are (qid, docid, score) runs shared by all folds, so the per
@@ -125,7 +126,9 @@ def interpolate(search: DataFrame, rerank: DataFrame, folds: DataFrame, sampled_
     dev rows; every weight is evaluated on dev only, with ranks and metrics from
     one window and one aggregate.  The best weight per fold (ties: smaller w) is
     a small table broadcast back onto the test rows, fused once.  Output:
-    (fold, weight, dev_value, metric, value) with the chosen weight's test means.
+    (fold, weight, dev_value, metric, value) with the chosen weight's test means; with
+    ``pooled`` the cross-validated result instead: (metric, value, n_queries), means over
+    the test queries of all folds, each fused with its fold's weight.
     """
     s = minmax(search.select("qid", "docid", "score"), ["qid"], "score", "s_norm", q_bound).drop("score")
     r = minmax(rerank.select("qid", "docid", "score"), ["qid"], "score", "r_norm", q_bound).drop("score")
@@ -153,6 +156,8 @@ def interpolate(search: DataFrame, rerank: DataFrame, folds: DataFrame, sampled_
                     fused.alias("score")))
     test_pq = E.per_query_scored(test, None, metrics, level, ["fold", "weight", "dev_value"],
                                  consts=E.query_constants(full_qrels, _ndcg_ks(metrics), level), q_bound=q_bound)
+    if pooled:
+        return E.mean_metrics(E.to_long(test_pq, ["fold", "weight", "dev_value", "qid"], metrics))
     tm = E.mean_metrics(E.to_long(test_pq, ["fold", "weight", "dev_value", "qid"], metrics),
                         ["fold", "weight", "dev_value"])
     return tm.select("fold", "weight", "dev_value", "metric", "value")

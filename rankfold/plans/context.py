@@ -31,7 +31,8 @@ SEED = 42
 
 
 class Experiment:
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True, query_type: str = "title"):
+        self.query_type = query_type  # which variant of the topics is searched with
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.materialize = materialize
@@ -51,7 +52,7 @@ class Experiment:
 
     @cached_property
     def title(self) -> DataFrame:
-        return self.topics.filter(F.col("query_type") == "title").select("qid", "item_id", "query")
+        return self.topics.filter(F.col("query_type") == self.query_type).select("qid", "item_id", "query")
 
     @cached_property
     def desc(self) -> DataFrame:
@@ -114,6 +115,12 @@ class Experiment:
                                numpassages=numpassages, pair_bound=self.cut_bound,
                                q_bound=self.n_topics)
 
+    def maxp_of(self, cut: DataFrame, bound: int) -> DataFrame:
+        """(qid, docid, score): BM25 MaxP of the distinct pairs of any cut run."""
+        pairs = K.passage_pairs(cut.select("qid", "docid").distinct(), self.docs, self.qside,
+                                pair_bound=bound, q_bound=self.n_topics)
+        return K.aggregate_scores(K.score_passages(pairs), "max")
+
     def passage_scores(self, scorer: str = "bm25_passage") -> DataFrame:
         return K.score_passages(self.pairs(), scorer)
 

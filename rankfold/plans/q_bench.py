@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import benchmark as B
+from ..operators import crossval as CV
 from ..operators import metrics as E
-from ..operators.retrieve import bm25_sweep, best_run_per_fold
+from ..operators import rerank as K
+from ..operators.retrieve import best_run_per_fold, bm25_sweep, rank_within
+from ..operators.sizing import broadcast_bounded
+from ..session import checkpoint
 from . import oracle as O
 from .registry import X, r6, register
 
@@ -209,22 +213,52 @@ def q_qrels_duality(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ B8 / B9 / B10
-@register("benchmark_checks", O.sql("""
+def checks_sql(folds: str, qrels: str) -> str:
+    return f"""
 SELECT 'split_overlap' AS "check", fold, qid, array_to_string(list_sort(list(DISTINCT split)), ',') AS detail
-FROM folds5 GROUP BY fold, qid HAVING count(DISTINCT split) > 1
+FROM {folds} GROUP BY fold, qid HAVING count(DISTINCT split) > 1
 UNION ALL
 SELECT 'test_repeated', NULL, qid, array_to_string(list_sort(list(fold)), ',')
-FROM (SELECT DISTINCT fold, qid FROM folds5 WHERE split = 'test') GROUP BY qid HAVING count(*) > 1
+FROM (SELECT DISTINCT fold, qid FROM {folds} WHERE split = 'test') GROUP BY qid HAVING count(*) > 1
 UNION ALL
 SELECT 'test_missing', NULL, qid, NULL FROM (SELECT DISTINCT qid FROM title)
-WHERE qid NOT IN (SELECT qid FROM folds5 WHERE split = 'test')
+WHERE qid NOT IN (SELECT qid FROM {folds} WHERE split = 'test')
 UNION ALL
 SELECT 'unjudged_topic', NULL, qid, NULL FROM (SELECT DISTINCT qid FROM title)
-WHERE qid NOT IN (SELECT qid FROM qrels)
+WHERE qid NOT IN (SELECT qid FROM {qrels})
 UNION ALL
-SELECT 'unknown_qrels_qid', NULL, qid, NULL FROM (SELECT DISTINCT qid FROM qrels)
+SELECT 'unknown_qrels_qid', NULL, qid, NULL FROM (SELECT DISTINCT qid FROM {qrels})
 WHERE qid NOT IN (SELECT qid FROM title)
-""", "folds5", "title", "qrels"))
+"""
+
+
+# Faults put into the derived benchmark: topics whose id is divisible by 7 leave their test
+# set, those divisible by 11 enter the test set of s1, those divisible by 13 lose their
+# judgments, and judgments of those divisible by 3 are repeated under an unknown id.
+O.cte("faulty_folds", ("folds5",), """
+SELECT * FROM folds5 WHERE NOT (split = 'test' AND CAST(qid AS BIGINT) % 7 = 0)
+UNION ALL SELECT DISTINCT 's1', 'test', qid FROM folds5 WHERE CAST(qid AS BIGINT) % 11 = 0
+""")
+O.cte("faulty_qrels", ("qrels",), """
+SELECT qid, docid, rel FROM qrels WHERE CAST(qid AS BIGINT) % 13 <> 0
+UNION ALL SELECT 'no-' || qid, docid, rel FROM qrels WHERE CAST(qid AS BIGINT) % 3 = 0
+""")
+
+
+@register("benchmark_faults", O.sql(checks_sql("faulty_folds", "faulty_qrels"), "faulty_folds", "faulty_qrels", "title"))
+def q_benchmark_faults(spark, sf_dir):
+    """B8 on a benchmark with faults of all five kinds."""
+    x = X(spark, sf_dir)
+    n = F.col("qid").cast("long")
+    folds, qrels = x.folds(5), x.qrels
+    folds = folds.filter(~((F.col("split") == "test") & (n % 7 == 0))).unionByName(
+        folds.filter(n % 11 == 0).select(F.lit("s1").alias("fold"), F.lit("test").alias("split"), "qid").distinct())
+    qrels = qrels.filter(n % 13 != 0).unionByName(
+        qrels.filter(n % 3 == 0).withColumn("qid", F.concat(F.lit("no-"), "qid")))
+    return B.check_benchmark(folds, qrels, x.title)
+
+
+@register("benchmark_checks", O.sql(checks_sql("folds5", "qrels"), "folds5", "title", "qrels"))
 def q_benchmark_checks(spark, sf_dir):
     x = X(spark, sf_dir)
     return B.check_benchmark(x.folds(5), x.qrels, x.title)
@@ -243,3 +277,62 @@ def q_topics_desc(spark, sf_dir):
     """The description variant of the topics."""
     return X(spark, sf_dir).desc.select("qid", "query")
 
+
+
+# ------------------------------------------------------------------ R5 -> K1 -> K4-K8 -> X1
+def _fold_best_sql() -> str:
+    g = ("fold", "split")
+    dev = O.per_query_sql("(SELECT * FROM fold_maxp WHERE split = 'dev')", "shallow50", group=g)
+    test = O.per_query_sql("(SELECT * FROM fold_maxp WHERE split = 'test')", "qrels", group=g)
+    return f"""
+SELECT fold, split, metric, round(avg(value), 6) AS value, CAST(count(*) AS BIGINT) AS n_queries FROM (
+  UNPIVOT (SELECT * FROM (SELECT * FROM {dev} d UNION ALL SELECT * FROM {test} t) pq)
+  ON map, bpref, P_20, ndcg_cut_20, judged_10, judged_20, judged_200 INTO NAME metric VALUE value)
+GROUP BY fold, split, metric
+"""
+
+
+O.cte("fold_cut", ("sweep", "sweep_dev", "folds5", "qrels"), f"""
+SELECT f.fold, f.split, s.qid, s.docid
+FROM sweep s JOIN ({_sweep_dev_sql()}) b ON b.run_id = s.run_id
+JOIN folds5 f ON f.fold = b.fold AND f.qid = s.qid AND f.split IN ('dev', 'test')
+WHERE s.rank <= 100
+""")
+O.cte("fold_docs", ("fold_cut", "dtok"), "SELECT docid, tokens FROM dtok WHERE docid IN (SELECT docid FROM fold_cut)")
+O.cte("fold_pass", ("fold_docs",), O.passages_of("fold_docs"))
+O.cte("fold_scores", ("fold_cut", "fold_pass", "qw"), """
+SELECT qid, docid, max(score) AS score FROM (
+  SELECT qid, docid, pidx,
+         coalesce(sum(qw * (tfp / (tfp + CAST(0.9 AS DOUBLE) * (CAST(0.6 AS DOUBLE) + CAST(0.4 AS DOUBLE) * pl / CAST(150.0 AS DOUBLE))))), 0.0) AS score
+  FROM (SELECT p.qid, p.docid, p.pidx, len(p.ptokens) AS pl, w.qw,
+               CAST(len(list_filter(p.ptokens, lambda x: x = w.term)) AS DOUBLE) AS tfp
+        FROM (SELECT c.qid, f.* FROM (SELECT DISTINCT qid, docid FROM fold_cut) c JOIN fold_pass f USING (docid)) p
+        LEFT JOIN qw w ON w.qid = p.qid)
+  GROUP BY qid, docid, pidx)
+GROUP BY qid, docid
+""")
+O.cte("fold_maxp", ("fold_cut", "fold_scores"), """
+SELECT fold, split, qid, docid, score,
+       CAST(row_number() OVER (PARTITION BY fold, split, qid ORDER BY round(score, 6) DESC, docid DESC) AS INTEGER) AS rank
+FROM fold_cut JOIN fold_scores USING (qid, docid)
+""")
+
+
+@register("fold_best_rerank", O.sql(_fold_best_sql(), "fold_maxp", "shallow50", "qrels"))
+def q_fold_best_rerank(spark, sf_dir):
+    """Per fold: the sweep run that is best on dev (R5), its cut (K1), MaxP reranked, and
+    the dev and test means (X1).  Pairs that several folds share are scored once."""
+    x = X(spark, sf_dir)
+    folds = x.folds(5)
+    run = checkpoint(bm25_sweep(None, None, SWEEP_GRID, parts=x.parts))
+    dev = B.split_run(run, folds, x.n_topics * 5, ("dev",))
+    keys = ["run_id", "fold", "split"]
+    best = best_run_per_fold(E.mean_metrics(E.eval_run(dev, x.qrels, ["ndcg_cut_20"], 1, keys, x.n_topics), keys))
+    chosen = K.cut_run(run).join(broadcast_bounded(best.select("fold", "run_id"), 5), "run_id")
+    mine = folds.filter(F.col("split").isin("dev", "test")).select("fold", "qid")
+    cut = checkpoint(chosen.join(broadcast_bounded(mine, x.n_topics * 5), ["fold", "qid"]).select("fold", "qid", "docid"))
+    scored = cut.join(x.maxp_of(cut, x.cut_bound * len(SWEEP_GRID)), ["qid", "docid"])
+    ranked = checkpoint(rank_within(scored, ["fold", "qid"], "score"))
+    sampled = B.sample_shallow(x.qrels, SAMPLE_RATE, SEED)
+    m = CV.fold_metrics(ranked, folds, sampled, x.qrels, folds_bound=x.n_topics * 5, q_bound=x.n_topics)
+    return m.select("fold", "split", "metric", r6("value").alias("value"), "n_queries")

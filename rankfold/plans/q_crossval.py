@@ -55,6 +55,33 @@ def q_fold_metrics(spark, sf_dir):
     return m.select("fold", "split", "metric", r6("value").alias("value"), "n_queries")
 
 
+def _fold_metrics_inference_sql() -> str:
+    pq = O.per_query_sql("maxp_tagged", "qrels", group=("fold", "split"))
+    return _means_sql(pq, "fold, split")
+
+
+@register("fold_metrics_inference", O.sql(_fold_metrics_inference_sql(), "maxp_tagged", "qrels"))
+def q_fold_metrics_inference(spark, sf_dir):
+    """X1 on the inference path: dev is judged by the full qrels too."""
+    x = X(spark, sf_dir)
+    m = CV.fold_metrics(x.reranked("max"), x.folds(5), x.qrels, x.qrels, dev_qrels="full",
+                        folds_bound=_folds_bound(x), q_bound=x.n_topics)
+    return m.select("fold", "split", "metric", r6("value").alias("value"), "n_queries")
+
+
+@register("cv_gate", O.sql("""
+SELECT 'whole' AS run_id, fold, CAST(count(*) AS BIGINT) AS n_rows FROM maxp_tagged WHERE split = 'test' GROUP BY fold
+""", "maxp_tagged"))
+def q_cv_gate(spark, sf_dir):
+    """X2 per run: of a run with all folds and one without s2, only the first passes."""
+    x = X(spark, sf_dir)
+    runs = _test_runs(x)
+    both = runs.withColumn("run_id", F.lit("whole")).unionByName(
+        runs.filter(F.col("fold") != "s2").withColumn("run_id", F.lit("part")))
+    g = CV.cv_ready(both, x.folds(5), ["run_id"])
+    return g.groupBy("run_id", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("cv_ready", O.sql("""
 SELECT fold, CAST(count(*) AS BIGINT) AS n_rows FROM maxp_tagged
 WHERE split = 'test' AND (SELECT count(DISTINCT fold) FROM maxp_tagged WHERE split = 'test')
@@ -134,7 +161,7 @@ def q_assemble_runs(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ X6 interpolation
-def _interp_sql() -> str:
+def _interp_sql(pooled: bool = False) -> str:
     w_list = ", ".join(f"CAST({w} AS DOUBLE)" for w in CV.WEIGHTS)
     keys = "fold, split, qid"
     norm = lambda src, c: f"""
@@ -147,6 +174,11 @@ FROM (SELECT f.fold, f.split, r.qid, r.docid, r.score FROM {src} r JOIN folds5 f
       WHERE f.split IN ('dev', 'test'))"""
     dev_pq = O.per_query_sql("dev_ranked", "shallow50", ks_p=(), ks_judged=(), group=("fold", "weight"))
     test_pq = O.per_query_sql("test_ranked", "qrels", group=("fold", "weight", "dev_value"))
+    if pooled:
+        out, by = "metric, round(avg(value), 6) AS value, CAST(count(*) AS BIGINT) AS n_queries", "metric"
+    else:
+        out = "fold, weight, round(dev_value, 6) AS dev_value, metric, round(avg(value), 6) AS value"
+        by = "fold, weight, dev_value, metric"
     return f"""
 SELECT * FROM (
 WITH s AS ({norm('run', 's')}),
@@ -165,9 +197,9 @@ test AS (SELECT b.fold, b.qid, b.docid, c.weight, c.dev_value,
                 c.weight * b.s + (CAST(1.0 AS DOUBLE) - c.weight) * b.r AS score
          FROM both_ b JOIN chosen c ON b.fold = c.fold WHERE b.split = 'test'),
 test_ranked AS (SELECT *, row_number() OVER (PARTITION BY fold, qid ORDER BY round(score, 6) DESC, docid DESC) AS rank FROM test)
-SELECT fold, weight, round(dev_value, 6) AS dev_value, metric, round(avg(value), 6) AS value FROM (
+SELECT {out} FROM (
   UNPIVOT (SELECT * FROM {test_pq} p) ON {METRIC_COLS} INTO NAME metric VALUE value)
-GROUP BY fold, weight, dev_value, metric)
+GROUP BY {by})
 """
 
 
@@ -182,6 +214,16 @@ def q_interpolate(spark, sf_dir):
     return out.select("fold", "weight", r6("dev_value").alias("dev_value"), "metric", r6("value").alias("value"))
 
 
+@register("interpolate_cv", O.sql(_interp_sql(pooled=True), "run", "maxp", "folds5", "shallow50", "qrels"))
+def q_interpolate_cv(spark, sf_dir):
+    """X6 cross-validated: every query fused with its own fold's weight, means over all."""
+    x = X(spark, sf_dir)
+    sampled = B.sample_shallow(x.qrels, SAMPLE_RATE, SEED)
+    out = CV.interpolate(x.search_run, x.reranked("max"), x.folds(5), sampled, x.qrels,
+                         folds_bound=_folds_bound(x), q_bound=x.n_topics, pooled=True)
+    return out.select("metric", r6("value").alias("value"), "n_queries")
+
+
 # ------------------------------------------------------------------ X8 experiment matrix
 def _matrix_sql() -> str:
     pq = O.per_query_sql("(SELECT a.*, f.fold FROM all_reranked a JOIN folds5 f ON a.qid = f.qid WHERE f.split = 'test')",

@@ -109,3 +109,15 @@ def q_missing_docs(spark, sf_dir):
     asked = C.run_docids(x.search_run).unionByName(
         testbed.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("docid")))
     return C.missing_docs(x.docs.select("docid"), asked)
+
+
+@register("missing_docs_absent", O.sql("""
+SELECT DISTINCT 'new-' || doc_id AS docid FROM labels WHERE quality = 0
+"""))
+def q_missing_docs_absent(spark, sf_dir):
+    """L2 check with ids that the corpus does not have: exactly those come out."""
+    x = X(spark, sf_dir)
+    labels = testbed.table(spark, sf_dir, "labels")
+    asked = labels.select(F.col("doc_id").cast("string").alias("docid")).unionByName(
+        labels.filter("quality = 0").select(F.concat(F.lit("new-"), F.col("doc_id").cast("string")).alias("docid")))
+    return C.missing_docs(x.docs.select("docid"), asked)
