@@ -17,6 +17,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import broadcast_bounded, row_bound
+
 
 def pair_examples(triplets: DataFrame, features: DataFrame, feature_cols: Sequence[str],
                   group_cols: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +53,7 @@ def fit_pairwise(examples: DataFrame, feature_cols: Sequence[str], reg: float =
     stats = examples.groupBy(fold_col).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.stddev(f"d_{c}").alias(f"_sd_{c}") for c in feature_cols])
-    ex = examples.join(F.broadcast(stats), fold_col)  # one row per fold
+    ex = examples.join(broadcast_bounded(stats, len(folds)), fold_col)
     scaled = [F.when(F.col(f"_sd_{c}") > 0, F.col(f"d_{c}") / F.col(f"_sd_{c}")).otherwise(F.lit(0.0))
               for c in feature_cols]
     block_cols = []
@@ -86,4 +88,4 @@ def score_linear(features: DataFrame, weights: DataFrame, feature_cols: Sequence
     s: Column = F.lit(0.0)
     for c in feature_cols:
         s = s + F.col(f"w_{c}") * F.col(c)
-    return features.join(F.broadcast(wide), list(key_cols)).withColumn("score", s)
+    return features.join(broadcast_bounded(wide, row_bound(wide)), list(key_cols)).withColumn("score", s)

@@ -133,3 +133,56 @@ def q_pairwise_eval(spark, sf_dir):
     scored = rank_within(P.score_linear(test, weights, FEATURES), ["fold", "qid"], "score")
     m = E.mean_metrics(E.eval_run(scored, x.qrels, E.DEFAULT_METRICS, 1, ["fold"]), ["fold"])
     return m.select("fold", "metric", r6("value").alias("value"), "n_queries")
+
+
+# K9 without the fit: the examples it is fitted on, and the scorer with fixed weights.
+FIXED_WEIGHTS = {"f_bm25": 0.25, "f_maxp": 2.0}
+O.cte("pair_features", ("cut", "agg_bm25"), """
+SELECT c.qid, c.docid, c.score AS f_bm25, a.score_max AS f_maxp FROM cut c JOIN agg_bm25 a ON a.qid = c.qid AND a.docid = c.docid
+""")
+
+
+def _pair_features(x):
+    bm = x.doc_scores("bm25_passage").select("qid", "docid", F.col("score_max").alias("f_maxp"))
+    return x.cut.select("qid", "docid", F.col("score").alias("f_bm25")).join(bm, ["qid", "docid"])
+
+
+@register("pairwise_examples", O.sql("""
+SELECT fold, CAST(label AS DOUBLE) AS label, round(sign_ * (p.f_bm25 - n.f_bm25), 6) AS d_bm25,
+       round(sign_ * (p.f_maxp - n.f_maxp), 6) AS d_maxp
+FROM trip t JOIN pair_features p ON p.qid = t.qid AND p.docid = t.pos_docid
+JOIN pair_features n ON n.qid = t.qid AND n.docid = t.neg_docid,
+(VALUES (1, 1.0), (0, -1.0)) s(label, sign_)
+""", "trip", "pair_features"))
+def q_pairwise_examples(spark, sf_dir):
+    """K9: the difference examples of every fold's triplets, both signs."""
+    from ..operators import benchmark as B
+    from ..operators import pairwise as P
+    from ..operators import rerank as K
+    from .q_rerank import PER_POSITIVE, SEED
+    from .registry import X
+
+    x = X(spark, sf_dir)
+    train = B.split_run(x.search_run.select("qid", "docid"), x.folds(5), x.n_topics * 5, ("train",))
+    trip = K.triplets(train.select("fold", "qid", "docid"), x.qrels, 1, PER_POSITIVE, SEED, ["fold"])
+    e = P.pair_examples(trip, _pair_features(x), list(FIXED_WEIGHTS), ["fold"])
+    return e.select("fold", "label", r6("d_f_bm25").alias("d_bm25"), r6("d_f_maxp").alias("d_maxp"))
+
+
+@register("pairwise_linear", O.sql("""
+SELECT f.fold, p.qid, p.docid, round(0.25 * p.f_bm25 + 2.0 * p.f_maxp, 6) AS score
+FROM pair_features p JOIN folds5 f ON f.qid = p.qid AND f.split = 'test'
+""", "pair_features", "folds5"))
+def q_pairwise_linear(spark, sf_dir):
+    """K6 ``linear`` scorer with fixed weights on every fold's test queries."""
+    from ..operators import benchmark as B
+    from ..operators import pairwise as P
+    from .registry import X
+
+    x = X(spark, sf_dir)
+    test = B.split_run(_pair_features(x), x.folds(5), x.n_topics * 5, ("test",))
+    weights = x.folds(5).select("fold").distinct().select("fold", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("feature"), F.lit(v).alias("weight")) for k, v in FIXED_WEIGHTS.items()])).alias("w")).select(
+            "fold", "w.*")
+    s = P.score_linear(test, weights, list(FIXED_WEIGHTS))
+    return s.select("fold", "qid", "docid", r6("score").alias("score"))
