@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The pre-token pattern of byte-level BPE vocabularies (public).  The
@@ -254,13 +255,13 @@ def remember(cache: dict, word: str, value):
     return value
 
 
-def encode_words(text: str | None, cache: dict, learn, whole, words: list[str] | None = None) -> np.ndarray:
+def encode_words(text: str | None, cache: dict, learn, whole) -> np.ndarray:
     """Ids of ``text`` from cached words; ``learn(word)`` gives the ids of a new word as
     bytes, or None if the text must be encoded by ``whole``: white space touches white
     space or a full stop, or there is an added token."""
     if not text:
         return np.empty(0, dtype="<i4")
-    words = words or cut_words(text)
+    words = cut_words(text)
     if words is None or joined_word(words[0]):
         return np.frombuffer(whole(text), dtype="<i4")
     first, rest = words[0], words[1:]
@@ -318,12 +319,15 @@ def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(spec)
 
 
-def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    """Schema of ``df`` with ``name`` added at the end; a clash of names is an error here,
-    before any job runs."""
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {name!r}; pass another output name")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def with_fields(df: DataFrame, source: str, **fields: T.DataType) -> tuple[DataFrame, T.StructType]:
+    """(``df`` without columns named like the new ones, its schema with them at the end):
+    as with ``withColumn``, a new column replaces one of the same name.  The column that
+    is read cannot be replaced."""
+    names = {n.lower() for n in fields}
+    if source.lower() in names:
+        raise ValueError(f"the result cannot replace the column {source!r} it is made from")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    return df, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields.items())])
 
 
 def _text_column(batch: pa.RecordBatch, name: str) -> list:
@@ -334,10 +338,10 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "token_i
     """Add ``out`` (array of int): the ids of the whole text.
 
     Null and empty texts give an empty array.  All other columns pass through; a
-    column already named ``out`` is an error.  Rows are independent: repeated rows give
+    column already named ``out`` is replaced.  Rows are independent: repeated rows give
     repeated results, an empty table an empty one.
     """
-    schema = with_field(df, out, T.ArrayType(T.IntegerType(), False))
+    df, schema = with_fields(df, text_col, **{out: T.ArrayType(T.IntegerType(), False)})
     spec = broadcast_vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +359,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "token_i
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` (string): the text of the ids in ``ids_col`` (null: empty), special
-    tokens included.  Ids that the vocabulary lacks, and null ids, give nothing."""
-    schema = with_field(df, out, T.StringType())
+    tokens included.  Ids that the vocabulary lacks, and null ids, give nothing.  A column
+    already named ``out`` is replaced."""
+    df, schema = with_fields(df, ids_col, **{out: T.StringType()})
     spec = broadcast_vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,9 +96,10 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: i
     marks = groups(df, id_col, text_col, salts).filter("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")).distinct()
     text = F.col(text_col)
-    marked = df.withColumns({"_id": F.col(id_col).cast("long"), "_sha": sha256(normalise(text)),
-                             "_n": F.length(F.coalesce(text, F.lit("")))}).alias("d")
+    # the row goes along as one column, so that no working column clashes with its names
+    marked = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"),
+                       sha256(normalise(text)).alias("_sha"), F.length(F.coalesce(text, F.lit(""))).alias("_n")).alias("d")
     m = marks.alias("m")
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("_id", "_sha", "_n")]
     kept = marked.join(m, on[0] & on[1] & on[2], "left_semi")
-    return kept.dropDuplicates(["_id", "_sha", "_n"]).drop("_id", "_sha", "_n")
+    return kept.dropDuplicates(["_id", "_sha", "_n"]).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
+from .bpe import slices, with_fields
 from .sample import unit_hash
 
 WINDOW = 256
@@ -183,12 +183,9 @@ def predict(df: DataFrame, model: ByteCnn | None, text_col: str = "text", pred:
 
     Texts that are null or hold no letter get ``und`` and 0, as does everything when the
     model is None.  Other columns pass through, repeated rows too; a column already named
-    ``pred`` or ``score`` is an error; an empty table gives an empty one.
+    ``pred`` or ``score`` is replaced; an empty table gives an empty one.
     """
-    clash = {c.lower() for c in df.columns} & {pred.lower(), score.lower()}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
-    schema = T.StructType([*df.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    df, schema = with_fields(df, text_col, **{pred: T.StringType(), score: T.DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):

@@ -133,10 +133,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     copies = (taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
               .agg(F.sort_array(F.collect_list("words_before")).alias("_places"),
                    F.countDistinct("uid").alias("_rows")))
-    keyed = df.withColumns({"_id0": F.col(id_col).cast("long"), "_size0": n_words(F.col(text_col))})
+    # the row goes along as one column, so that no working column clashes with its names
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id0"),
+                      n_words(F.col(text_col)).alias("_size0"), F.xxhash64(text_col).alias("_h"))
     out = keyed.join(copies, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size")))
     # the i-th of the rows with one id and size takes every _rows-th place
-    i = F.row_number().over(Window.partitionBy("_id0", "_size0").orderBy(F.xxhash64(text_col)))
+    i = F.row_number().over(Window.partitionBy("_id0", "_size0").orderBy("_h"))
     mine = F.filter("_places", lambda _, k: k % F.col("_rows") == F.col("_i") - 1)
     out = out.withColumn("_i", i).withColumn("_place", F.explode(mine))
-    return out.repartitionByRange("_place").sortWithinPartitions("_place").select(*df.columns)
+    return out.repartitionByRange("_place").sortWithinPartitions("_place").select("row.*")

@@ -402,6 +402,8 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     """The rows of ``df`` that stay, with all their columns: one of each class."""
     marks = classes(df, id_col, text_col, least).filter("kept").select(
         F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct().alias("m")
-    keyed = df.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(text_col)}).alias("d")
+    # the row goes along as one column, so that no working column clashes with its names
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"),
+                      F.xxhash64(text_col).alias("_h")).alias("d")
     on: Column = F.col("d._h").eqNullSafe(F.col("m._h")) & F.col("d._id").eqNullSafe(F.col("m._id"))
-    return keyed.join(marks, on, "left_semi").dropDuplicates(["_id", "_h"]).drop("_id", "_h")
+    return keyed.join(marks, on, "left_semi").dropDuplicates(["_id", "_h"]).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
+from .bpe import slices, with_fields
 from .sample import about
 
 # The base patterns.
@@ -124,19 +124,16 @@ def scan_text(text: str | None, ratio: np.ndarray) -> list[tuple[int, int, int]]
     return sorted(out)
 
 
-SPAN = "array<struct<start:int,end:int,kind:string>>"
-
-
 def scan(df: DataFrame, ratio: np.ndarray, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Add ``out``: the spans (code points, end exclusive) of every whole text, by start,
     then kind.
 
     Null and empty texts have none.  Other columns pass through, repeated rows too; a
-    column already named ``out`` is an error; an empty table gives an empty one.
+    column already named ``out`` is replaced; an empty table gives an empty one.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has a column {out!r}")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(SPAN))])
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                         T.StructField("kind", T.StringType())])
+    df, schema = with_fields(df, text_col, **{out: T.ArrayType(span)})
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

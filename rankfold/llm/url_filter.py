@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import with_fields
+
 # The trie is broadcast: more rule text than this is refused.
 MAX_RULE_CHARS = 64_000_000
 
@@ -102,18 +104,15 @@ def judge(df: DataFrame, rules: Iterable[Rule], default: str = "allow", url_col:
 
     All rows stay, repeated ones too; a null url, or one without '://', has an empty
     host and path.  Other columns pass through; a column that already has one of the
-    four names is an error (pass ``prefix``).  An empty table gives an empty result, no
+    four names is replaced (or pass ``prefix``).  An empty table gives an empty result, no
     rules give ``default`` everywhere.
     """
     names = [prefix + n for n in ("host", "path", "rule", "verdict")]
-    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}; pass a prefix")
+    df, schema = with_fields(df, url_col, **{n: T.StringType() for n in names})
     rules = list(rules)
     if sum(len(r.name) for r in rules) > MAX_RULE_CHARS:
         raise ValueError("too many rules to broadcast")
     trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = trie.value.find

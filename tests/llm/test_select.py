@@ -54,6 +54,8 @@ def test_exact_keep_returns_one_row_per_group(spark):
     df = spark.createDataFrame(EDGE, SCHEMA)
     kept = exact_dedup.keep(df)
     assert kept.columns == df.columns
+    clash = exact_dedup.keep(df.withColumn("_id", F.lit(7)).withColumn("row", F.lit("r")))
+    assert {(r["_id"], r["row"]) for r in clash.collect()} == {(7, "r")}
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 6]
     assert exact_dedup.keep(spark.createDataFrame([], SCHEMA)).count() == 0
     assert exact_dedup.groups(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -145,5 +147,5 @@ def test_trie_equals_a_scan_of_all_rules(spark):
         assert (r.rule, r.verdict) == ((best.name, best.action) if best else (None, "none")), r.url
     assert url_filter.judge(df.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
-    with pytest.raises(ValueError):
-        url_filter.judge(df.withColumnRenamed("extra", "Host"), rules)
+    clash = url_filter.judge(df.withColumnRenamed("extra", "Host"), rules)
+    assert clash.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and clash.count() == len(urls)
