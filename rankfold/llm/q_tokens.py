@@ -35,7 +35,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write_tokens(documents(spark, sf_dir), path, vocabulary_path(), end_id=END_ID)
-    return token_files.read_documents(spark, path).drop("token_ids")
+    return token_files.read_documents(spark, path, ids=False)
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files}

@@ -31,9 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import broadcast_vocabulary, cut_words, encode_words, joined_word, literal, model_of, remember, slices
+from .bpe import CACHE_CHARS, broadcast_vocabulary, byte_alphabet, cut_words, joined_word, literal, model_of, slices
 
 BLOCK_TOKENS = 65_536
+# Words a Python worker keeps (about 200 bytes each; all are dropped when full).
+MAX_WORDS = 1_000_000
 # Shard offsets are broadcast: one row per shard, refused above this many.
 MAX_SHARDS = 1_000_000
 BLOCK_SCHEMA = ("shard int, block int, shard_start long, n_tokens long, bits int, "
@@ -74,9 +76,29 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 # -- encoding with the tokenizers library ---------------------------------------------------
+class Joined(Exception):
+    """A word that cannot be encoded on its own."""
+
+
+class Words(dict):
+    """Word -> ids as bytes; a new word is learned when it is asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class LibraryEncoder:
-    """The tokenizers library behind a cache of words: the new words of many texts are
-    encoded by one library call, texts that cannot be cut into words are encoded whole."""
+    """The tokenizers library behind a cache of words.  A word of letters is one pre-token
+    and goes to the library's BPE model at once; other words, and texts that cannot be
+    cut into words, go through its whole pipeline."""
 
     def __init__(self, spec: bytes):
         import os
@@ -87,35 +109,42 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_buffer(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = Words(self._learn)
+        # bytes (as Latin-1 characters) to the characters of the vocabulary
+        self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
 
     def _whole(self, text: str) -> bytes:
-        return self._ids([text])[0]
-
-    def _learn(self, word: str) -> bytes | None:
-        """A word that has left the cache since ``encode_many`` put it there."""
-        return None if self._unfit(word) else self._whole(literal(word))
-
-    def _unfit(self, word: str) -> bool:
-        return joined_word(word) or any(a in word for a in self.added)
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [cut_words(t) if t else None for t in texts]
-        new = set().union(*(w[1:] for w in cut if w)).difference(self.words)
-        fit = [w for w in new if not self._unfit(w)]
-        for w, ids in zip(fit, self._ids([literal(w) for w in fit])):
-            remember(self.words, w, ids)
-        for w in new.difference(fit):
-            remember(self.words, w, None)
-        return [encode_words(t, self.words, self._learn, self._whole, w) for t, w in zip(texts, cut)]
+        return array("i", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of one pre-token: letters, perhaps after a space."""
+        said = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("i", [t.id for t in self.model.tokenize(said)]).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        if joined_word(word) or any(a in word for a in self.added):
+            raise Joined
+        if word.isalpha():
+            return self._letters(" " + word)
+        if word[0] in "\n.," and word[1:].isalpha():
+            return self._whole(word[0]) + self._letters(word[1:])
+        return self._whole(literal(word))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_many([text])[0]
+        if not text:
+            return np.empty(0, dtype="<i4")
+        words = cut_words(text)
+        try:
+            if words is None or joined_word(words[0]):
+                raise Joined
+            first = words.pop(0)
+            ids = self._whole(first) + b"".join(map(self.words.__getitem__, words))
+        except Joined:
+            ids = self._whole(text)
+        return np.frombuffer(ids, dtype="<i4")
 
 
 # -- writing and reading --------------------------------------------------------------------
@@ -145,7 +174,8 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
                                               schema=_ARROW)
 
         for b in slices(batches):
-            for doc, got in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist())):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = enc.encode(text)
                 n = len(got) + len(end)
                 if ids and offset[-1] + n > block_tokens:
                     yield flush()
@@ -179,11 +209,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("start", F.col("shard_offset") + F.col("shard_start")).drop("shard_offset"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, token_ids (array of long), ids_crc32 (of the
-    ids as little-endian unsigned 32-bit integers)."""
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                     ("token_ids", pa.list_(pa.int64())), ("ids_crc32", pa.int64())])
+def read_documents(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Per document: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian
+    unsigned 32-bit integers) and, if asked for, token_ids (array of long)."""
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()),
+                     *([("token_ids", pa.list_(pa.int64()))] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,10 +221,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 at = np.array(r["offset"], dtype=np.int64)
                 flat = unpack(r["payload"], r["bits"], 0, r["n_tokens"])
                 crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_id"], type=pa.int64()), pa.array(r["start"] + at[:-1]),
-                     pa.array(np.diff(at)), lists, pa.array(crc, type=pa.int64())], schema=out)
+                columns = [pa.array(r["doc_id"], type=pa.int64()), pa.array(r["start"] + at[:-1]), pa.array(np.diff(at)),
+                           pa.array(crc, type=pa.int64())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return read_blocks(spark, path).select("start", "n_tokens", "bits", "doc_id", "offset", "payload").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, token_ids array<long>, ids_crc32 long")
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<long>" * ids)
