@@ -164,13 +164,16 @@ def score_passages(pairs: DataFrame, scorer: str | Callable[[DataFrame], Column]
     """
     if callable(scorer):
         return pairs.withColumn("score", scorer(pairs))
+    return pairs.withColumn("score", scorer_column(scorer, **kw))
+
+
+def scorer_column(scorer: str, **kw) -> Column:
+    """The native expression of a registered scorer."""
     if scorer == "bm25_passage":
-        s = bm25_passage_score(F.col("qterms"), F.col("ptokens"), **kw)
-    elif scorer == "overlap":
-        s = overlap_score(F.col("qtokens"), F.col("ptokens"))
-    else:
-        raise ValueError(f"unknown scorer {scorer!r}")
-    return pairs.withColumn("score", s.cast("double"))
+        return bm25_passage_score(F.col("qterms"), F.col("ptokens"), **kw).cast("double")
+    if scorer == "overlap":
+        return overlap_score(F.col("qtokens"), F.col("ptokens")).cast("double")
+    raise ValueError(f"unknown scorer {scorer!r}")
 
 
 def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen: int = PASSAGE_LEN,
@@ -196,6 +199,25 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
 
 
 # --------------------------------------------------------------------- K7 / K8
+def aggregations(score: str) -> dict[str, Column]:
+    """The four aggregations of a passage score column, by name."""
+    return {"max": F.max(score), "first": F.min_by(score, "pidx"), "sum": F.sum(score), "avg": F.avg(score)}
+
+
+def compare_scorers(pairs: DataFrame, scorers: Sequence[str]) -> DataFrame:
+    """(scorer, agg, qid, docid, score, rank) of every scorer and aggregation.
+
+    All scorers are columns of one pass over the passages, and all aggregations one
+    partial-aggregated groupBy; rows are multiplied after it."""
+    scored = pairs.select("qid", "docid", "pidx", *[scorer_column(s).alias(f"_s{i}") for i, s in enumerate(scorers)])
+    wide = scored.groupBy("qid", "docid").agg(*[
+        a.alias(f"_{how}{i}") for i in range(len(scorers)) for how, a in aggregations(f"_s{i}").items()])
+    runs = F.array(*[F.struct(F.lit(s).alias("scorer"), F.lit(how).alias("agg"), F.col(f"_{how}{i}").alias("score"))
+                     for i, s in enumerate(scorers) for how in AGGREGATIONS])
+    long = wide.select("qid", "docid", F.explode(runs).alias("r")).select("r.scorer", "r.agg", "qid", "docid", "r.score")
+    return rerank(long, "score", ["scorer", "agg"])
+
+
 def aggregate_scores(scored: DataFrame, how: str | None = None,
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """K7: passage scores -> document scores.
@@ -204,12 +226,7 @@ def aggregate_scores(scored: DataFrame, how: str | None = None,
     (score_max, score_first, score_sum, score_avg); with a name, one ``score``.
     """
     keys = [*group_cols, "qid", "docid"]
-    aggs = {
-        "max": F.max("score"),
-        "first": F.min_by("score", "pidx"),
-        "sum": F.sum("score"),
-        "avg": F.avg("score"),
-    }
+    aggs = aggregations("score")
     if how is None:
         return scored.groupBy(*keys).agg(*[aggs[a].alias(f"score_{a}") for a in AGGREGATIONS])
     if how not in aggs:

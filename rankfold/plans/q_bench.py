@@ -161,7 +161,7 @@ def q_shallow_sample(spark, sf_dir):
     return B.sample_shallow(X(spark, sf_dir).qrels, SAMPLE_RATE, SEED)
 
 
-def _grid_sql() -> str:
+def grid_union_sql() -> str:
     parts = []
     for mode in B.MODES:
         for rate in B.RATES:
@@ -173,7 +173,11 @@ def _grid_sql() -> str:
 SELECT '{mode}' AS mode, CAST({rate} AS DOUBLE) AS rate, '{B.rate_name(mode, rate)}' AS set_name,
        f.fold, f.split, f.qid, q.docid, q.rel
 FROM {f} f JOIN {q} q ON f.qid = q.qid WHERE f.split <> 'test'""")
-    g = "\nUNION ALL\n".join(parts)
+    return "\nUNION ALL\n".join(parts)
+
+
+def _grid_sql() -> str:
+    g = grid_union_sql()
     return f"""
 SELECT mode, rate, set_name, fold, split, CAST(count(DISTINCT qid) AS BIGINT) AS n_qids,
        CAST(count(*) AS BIGINT) AS n_judged, CAST(sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_rel

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import benchmark as B
 from ..operators import crossval as CV
 from ..operators import metrics as E
+from ..operators.sizing import broadcast_bounded
+from ..session import checkpoint
 from . import oracle as O
-from .q_bench import SAMPLE_RATE, SEED
+from .q_bench import SAMPLE_RATE, SEED, grid_union_sql
 from .q_rerank import all_reranked
 from .registry import X, r6, register
 
@@ -253,3 +255,39 @@ def q_experiment_matrix(spark, sf_dir):
     m = CV.experiment_matrix(means, keys, E.DEFAULT_METRICS, subtotals=True)
     return m.select(*keys, F.col("level").cast("int").alias("level"),
                     *[r6(c).alias(c) for c in E.DEFAULT_METRICS])
+
+
+# ------------------------------------------------------------------ X8 over the sampling grid
+SAMPLING_METRICS = ("map", "ndcg_cut_20")
+# a query of one sampled set is a query of its own, so that each set judges by its own labels
+O.cte("grid_dev", ("folds5", "qrels"), f"""
+SELECT mode, rate, fold, qid AS topic, mode || '|' || set_name || '|' || fold || '|' || qid AS qid, docid, rel
+FROM ({grid_union_sql()}) WHERE split = 'dev'
+""")
+O.cte("grid_runs", ("grid_dev", "all_reranked"), """
+SELECT g.mode, g.rate, g.fold, a.scorer, a.agg, g.qid, a.docid, a.rank
+FROM (SELECT DISTINCT mode, rate, fold, topic, qid FROM grid_dev) g JOIN all_reranked a ON a.qid = g.topic
+""")
+
+
+def _sampling_matrix_sql() -> str:
+    keys = "mode, rate, scorer, agg, fold"
+    pq = O.per_query_sql("grid_runs", "grid_dev", ks_p=(), ks_judged=(), group=tuple(keys.split(", ")))
+    cols = ", ".join(f"round(avg({m}), 6) AS {m}" for m in SAMPLING_METRICS)
+    return f"SELECT {keys}, {cols}, CAST(count(*) AS BIGINT) AS n_queries FROM {pq} p GROUP BY {keys}"
+
+
+@register("sampling_matrix", O.sql(_sampling_matrix_sql(), "grid_runs", "grid_dev"))
+def q_sampling_matrix(spark, sf_dir):
+    """X8 with the sampling experiment: dev means over mode x rate x scorer x aggregation x
+    fold, each cell judged by its own sampled set."""
+    x = X(spark, sf_dir)
+    g = B.sample_grid(x.qrels, x.folds(5), B.RATES, B.MODES, SEED).filter(F.col("split") == "dev")
+    g = checkpoint(g.select("mode", "rate", "fold", F.col("qid").alias("topic"),
+                            F.concat_ws("|", "mode", "set_name", "fold", "qid").alias("qid"), "docid", "rel"))
+    sets = g.select("mode", "rate", "fold", "topic", "qid").distinct()
+    bound = x.n_topics * len(B.RATES) * len(B.MODES)  # every topic is dev in one fold
+    runs = (all_reranked(x).withColumnRenamed("qid", "topic").join(broadcast_bounded(sets, bound), "topic").drop("topic"))
+    keys = ["mode", "rate", "scorer", "agg", "fold"]
+    wide = E.per_query(runs, g.select("qid", "docid", "rel"), SAMPLING_METRICS, 1, keys, bound)
+    return wide.groupBy(*keys).agg(*[r6(F.avg(m)).alias(m) for m in SAMPLING_METRICS], F.count(F.lit(1)).alias("n_queries"))

@@ -127,17 +127,8 @@ O.cte("all_reranked", ("agg_bm25", "agg_overlap"), all_reranked_sql())
 
 
 def all_reranked(x, scorers=("bm25_passage", "overlap")):
-    """Every (scorer, aggregation) run: one scoring pass per scorer, the four
-    aggregations from one partial-aggregated groupBy, then ranks per
-    (scorer, agg, qid)."""
-    out = None
-    for sc in scorers:
-        agg = x.doc_scores(sc)
-        long = agg.select("qid", "docid", F.explode(F.array(*[
-            F.struct(F.lit(h).alias("agg"), F.col(f"score_{h}").alias("score")) for h in K.AGGREGATIONS
-        ])).alias("a")).select(F.lit(sc).alias("scorer"), "a.agg", "qid", "docid", "a.score")
-        out = long if out is None else out.unionByName(long)
-    return K.rerank(out, "score", ["scorer", "agg"])
+    """Every (scorer, aggregation) run from one passage pass."""
+    return K.compare_scorers(x.pairs(), scorers)
 
 
 @register("scorer_compare", O.sql(f"""
