@@ -70,8 +70,8 @@ def _scans(spark, build) -> int:
 def test_corpus_scans_on_many_files(spark, many_files):
     from rankfold.plans.context import Experiment
 
-    assert _scans(spark, lambda: Experiment(spark, many_files, False).search_run) <= 2
-    assert _scans(spark, lambda: Experiment(spark, many_files).doc_scores()) <= 3
+    assert 1 <= _scans(spark, lambda: Experiment(spark, many_files, False).search_run) <= 2
+    assert 1 <= _scans(spark, lambda: Experiment(spark, many_files).doc_scores()) <= 3
 
 
 def test_no_exchange_by_document_and_term(spark, many_files):
