@@ -20,13 +20,14 @@ def test_stages_in_order():
     assert ops == set(range(1, 11))
 
 
-def test_each_stage_equals_brute_force(spark):
+def test_each_stage_equals_brute_force(spark, tmpdir_path):
     docs = q_tokens.documents(spark, DIR)
     junk = spark.createDataFrame([(10 ** 6, None, None, "src0", None), (10 ** 6 + 1, "12 34", "en", "src0", 5)], docs.schema)
     stages = dict(corpus_pipeline.STAGES)
     rows = docs.collect()
 
-    named = stages["language_id"](spark, docs.union(junk), DIR).cache()
+    docs.union(junk).write.parquet(f"{tmpdir_path}/with_junk")  # a stage reads a written table
+    named = stages["language_id"](spark, spark.read.parquet(f"{tmpdir_path}/with_junk"), DIR).cache()
     assert named.columns == docs.columns
     assert {r.doc_id for r in named.collect()} == {r.doc_id for r in rows if re.search(r"[^\W\d_]", r.text or "")}
 
