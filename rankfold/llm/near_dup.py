@@ -387,15 +387,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     comps = _read(components(links, f"{folder}/components2"), f"{folder}/comps2")
     named = nodes.select("node", "digest").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     rows = _read(signed.select("doc_id", "h", "uid", "digest").join(named, "digest").drop("digest"), f"{folder}/named")
-    best = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
-                                    F.min(F.when(F.col("doc_id").isNull(), F.col("uid"))).alias("null_uid"))
-    # of several texts with the smallest id, the first row's stays
-    out = rows.join(best, "comp")
-    first = (out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("uid").alias("kept_uid")))
-    kept_h = rows.join(first, F.col("uid") == F.col("kept_uid"), "left_semi").select("comp", F.col("h").alias("kept_h"))
-    return (out.join(kept_h, "comp")
-            .select("doc_id", "class_id", "class_size",
-                    (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("h").eqNullSafe(F.col("kept_h"))).alias("kept"), "h"))
+    # the smallest id of each class (nulls last); of several texts with it, the first row's.
+    # Counted per task before the shuffle; the join back has no aggregation above it, so a
+    # hot class is split.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", "h")
+    best = (rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+            .select("comp", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("kept_h")))
+    return rows.join(best, "comp").select(
+        "doc_id", "class_id", "class_size",
+        (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("h").eqNullSafe(F.col("kept_h"))).alias("kept"), "h")
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
