@@ -184,14 +184,17 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
     every document in the cut run.
 
     The pairs, gathered per document (bounded by topics x depth), are broadcast onto the
-    streaming corpus, so only needed documents survive the scan and the corpus is never
-    shuffled.  A document is tokenized and cut once; its passages are multiplied by its
+    streaming corpus, so only needed documents survive the scan and are shuffled, never the
+    corpus.  A document is tokenized and cut once; its passages are multiplied by its
     queries last, when the query side joins.
     """
     g = list(group_cols)
     pairs = (cut.select(*g, "qid", "docid").groupBy("docid")
              .agg(F.collect_list(F.struct(*g, "qid")).alias("_for")))
-    d = docs.join(broadcast_bounded(pairs, pair_bound), "docid").select("docid", "_for", tokenize("text").alias("tokens"))
+    # scoring costs far more than reading: the few needed documents are spread over all tasks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = docs.join(broadcast_bounded(pairs, pair_bound), "docid").select("docid", "_for", "text").repartition(n, "docid")
+    d = need.select("docid", "_for", tokenize("text").alias("tokens"))
     p = passages(d, passagelen, stride, numpassages, keep_cols=("docid", "_for"))
     p = p.select("docid", "pidx", "start", "ptokens", F.explode("_for").alias("_f")).select("docid", "pidx", "start",
                                                                                           "ptokens", "_f.*")
