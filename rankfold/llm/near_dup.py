@@ -388,11 +388,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     named = nodes.select("node", "digest").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     rows = _read(signed.select("doc_id", "h", "uid", "digest").join(named, "digest").drop("digest"), f"{folder}/named")
     # the smallest id of each class (nulls last); of several texts with it, the first row's.
-    # Counted per task before the shuffle; the join back has no aggregation above it, so a
-    # hot class is split.
+    # Counted per task before the shuffle, and written, so that the join back is a plain one
+    # whose hot classes Spark can split.
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", "h")
-    best = (rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
-            .select("comp", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("kept_h")))
+    best = _read(rows.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
+                 .select("comp", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("kept_h")),
+                 f"{folder}/classes")
     return rows.join(best, "comp").select(
         "doc_id", "class_id", "class_size",
         (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("h").eqNullSafe(F.col("kept_h"))).alias("kept"), "h")
