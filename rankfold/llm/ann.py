@@ -160,7 +160,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def classes(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(cls, vector, ids): equal vectors together, with their k + 1 smallest ids.
+    """(cls, vector, ids): equal vectors together, with their k + 1 smallest ids; ``cls`` is
+    unique once the table is written (an id can be in several classes).
 
     Null vectors and ids, empty and zero vectors, and vectors that hold a null, NaN or
     infinite component take no part.  The ids are cut by a window limit, which Spark
@@ -172,7 +173,7 @@ def classes(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     w = Window.partitionBy("vector").orderBy("vec_id")
     return (good.dropDuplicates(["vector", "vec_id"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1)
             .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-            .withColumn("cls", F.element_at("ids", 1)))
+            .withColumn("cls", F.monotonically_increasing_id()))
 
 
 def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
@@ -190,8 +191,8 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
     path = scratch_dir(spark, "ann")
     classes(df, id_col, vector_col, k).write.parquet(f"{path}/classes")
     cls = spark.read.parquet(f"{path}/classes")
-    sample = about(cls, "cls", sample_rows).select("cls", "vector").toArrow()
-    order = np.argsort(sample["cls"].to_numpy(), kind="stable")
+    sample = about(cls, "vector", sample_rows).select(F.xxhash64("vector").alias("hash"), "vector").toArrow()
+    order = np.argsort(sample["hash"].to_numpy(), kind="stable")
     vectors = unit(_matrix(sample["vector"].combine_chunks())[order]) if len(order) else np.empty((0, 1), np.float32)
     grown = Forest(vectors, trees, leaf)
     budget = calibrate(grown, vectors, k, recall)
@@ -213,8 +214,8 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
             found = forest.value.leaves(unit(_matrix(b.column(1))))
             row = np.repeat(np.arange(b.num_rows), found.shape[1])
             flat = found.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat % blocks), pa.array(flat), b.column(0).take(row),
-                                              b.column(1).take(row)], names=["block", "leaf", "cls", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat % blocks), pa.array(flat), *[c.take(row) for c in b.columns]],
+                                             names=["block", "leaf", "cls", "vector", "ids"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -231,40 +232,52 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
                 names=["block", "q", "qv", "leaves"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k + 1 classes of each query within one block."""
-        out_q, out_c, out_s = [], [], []
+        """The best k + 1 ids of each query within one block, each with its best score."""
+        out_q, out_i, out_s = [], [], []
         if left.num_rows and right.num_rows:
             leaf_of, cls_of = left["leaf"].to_numpy(), left["cls"].to_numpy()
-            y = _matrix(left["vector"].combine_chunks())
+            y, members = _matrix(left["vector"].combine_chunks()), left["ids"].combine_chunks()
+            n_ids = members.value_lengths().to_numpy(zero_copy_only=False)
+            ids, first_id = members.flatten().to_numpy(zero_copy_only=False), np.cumsum(n_ids) - n_ids
             order = np.argsort(leaf_of, kind="stable")
-            leaf_of, cls_of, y = leaf_of[order], cls_of[order], y[order]
+            leaf_of, cls_of, y, n_ids, first_id = leaf_of[order], cls_of[order], y[order], n_ids[order], first_id[order]
             y_norm = np.sqrt((y * y).sum(axis=1))
             for q, x, wanted in zip(right["q"].to_pylist(), _matrix(right["qv"].combine_chunks()),
                                     right["leaves"].to_pylist()):
                 start, stop = np.searchsorted(leaf_of, wanted), np.searchsorted(leaf_of, wanted, side="right")
                 at = np.concatenate([np.arange(s, e) for s, e in zip(start, stop)])
-                c, first = np.unique(cls_of[at], return_index=True)
-                at = at[first]
+                at = at[np.unique(cls_of[at], return_index=True)[1]]
                 cos = (x * y[at]).sum(axis=1) / (np.sqrt((x * x).sum()) * y_norm[at])
-                best = np.lexsort((c, -cos))[: k + 1]
+                # the nearest classes, ties included, until they hold k + 1 different ids
+                take = k + 1
+                while True:
+                    top = cos >= -np.partition(-cos, take - 1)[take - 1] if take < len(cos) else np.full(len(cos), True)
+                    near = np.flatnonzero(top)[np.argsort(-cos[top], kind="stable")]
+                    n = n_ids[at[near]]
+                    flat = np.repeat(first_id[at[near]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    i, first = np.unique(ids[flat], return_index=True)
+                    if len(i) > k or take >= len(cos):
+                        break
+                    take *= 4
+                score = np.repeat(cos[near], n)[first]
+                best = np.lexsort((i, -score))[: k + 1]
                 out_q += [q] * len(best)
-                out_c += c[best].tolist()
-                out_s += cos[best].tolist()
-        return pa.table({"q": pa.array(out_q, type=pa.int64()), "cls": pa.array(out_c, type=pa.int64()),
+                out_i += i[best].tolist()
+                out_s += score[best].tolist()
+        return pa.table({"q": pa.array(out_q, type=pa.int64()), "vec_id": pa.array(out_i, type=pa.int64()),
                          "score": pa.array(out_s, type=pa.float64())})
 
-    index = cls.select("cls", "vector").mapInArrow(place, "block long, leaf long, cls long, vector array<double>")
+    index = cls.select("cls", "vector", "ids").mapInArrow(
+        place, "block long, leaf long, cls long, vector array<double>, ids array<long>")
     reached = asked.select("cls", "vector").mapInArrow(walk, "block long, q long, qv array<double>, leaves array<long>")
     scored = (index.groupBy("block").cogroup(reached.groupBy("block"))
-              .applyInArrow(rerank, "q long, cls long, score double").dropDuplicates(["q", "cls"]))
-    # k + 1 classes are enough: one of them may hold nothing but the query itself
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
-    top = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-    members = top.join(cls.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
-    few = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    members = members.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= 2 * k + 2).drop("n")
+              .applyInArrow(rerank, "q long, vec_id long, score double")
+              .groupBy("q", "vec_id").agg(F.max("score").alias("score")))
+    # k + 1 ids are enough: one of them may be the query itself
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    top = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (queries.join(members, "q").filter(F.col("vec_id") != F.col("query_id"))
+    return (queries.join(top, "q").filter(F.col("vec_id") != F.col("query_id"))
             .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

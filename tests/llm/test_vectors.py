@@ -73,3 +73,17 @@ def test_op9_small_and_empty_tables(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(two, two.select("vec_id").limit(1)).collect()] == [(0, 1, 3)]
     none = spark.createDataFrame([], schema)
     assert ann.nearest(none, none.select("vec_id")).count() == 0
+
+
+def test_op9_one_id_with_many_vectors(spark):
+    rng = np.random.default_rng(5)
+    # id 7 owns a third of the rows, all of them near the queries; others share its vectors
+    rows = [(7, [1.0, 0.01 * i, 0.0]) for i in range(1, 101)] + [(7, [0.0, 1.0, 0.0]), (50, [1.0, 0.0, 0.0])]
+    rows += [(100 + i, [1.0, 0.01 * (i + 1), 0.0]) for i in range(3)]
+    rows += [(200 + i, rng.normal(size=3).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = df.filter(F.col("vec_id").isin(7, 50, 100, 250, 300)).select("vec_id").distinct()
+    want = brute(rows, sorted({r.vec_id for r in queries.collect()}))
+    got = found(ann.nearest(df, queries))
+    assert all(len(v) == 5 for v in got.values())
+    assert got == want
