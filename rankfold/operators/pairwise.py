@@ -22,17 +22,24 @@ from .sizing import broadcast_bounded, row_bound
 
 def pair_examples(triplets: DataFrame, features: DataFrame, feature_cols: Sequence[str],
                   group_cols: Sequence[str] = ()) -> DataFrame:
-    """(g.., label, d_<f>...) rows: +diff with label 1 and -diff with label 0."""
+    """(g.., label, d_<f>...) rows: +diff with label 1 and -diff with label 0.
+
+    Every triplet gives its two rows; one without features of either side is an error."""
     g = list(group_cols)
-    fp = features.select("qid", F.col("docid").alias("pos_docid"), *[F.col(c).alias(f"p_{c}") for c in feature_cols])
-    fn = features.select("qid", F.col("docid").alias("neg_docid"), *[F.col(c).alias(f"n_{c}") for c in feature_cols])
-    t = triplets.join(fp, ["qid", "pos_docid"]).join(fn, ["qid", "neg_docid"])
+    fp = features.select("qid", F.col("docid").alias("pos_docid"), F.lit(True).alias("_p"),
+                         *[F.col(c).alias(f"p_{c}") for c in feature_cols])
+    fn = features.select("qid", F.col("docid").alias("neg_docid"), F.lit(True).alias("_n"),
+                         *[F.col(c).alias(f"n_{c}") for c in feature_cols])
+    t = triplets.join(fp, ["qid", "pos_docid"], "left").join(fn, ["qid", "neg_docid"], "left")
     diffs = [(F.col(f"p_{c}") - F.col(f"n_{c}")) for c in feature_cols]
     both = F.array(
         F.struct(F.lit(1.0).alias("label"), *[d.alias(f"d_{c}") for d, c in zip(diffs, feature_cols)]),
         F.struct(F.lit(0.0).alias("label"), *[(-d).alias(f"d_{c}") for d, c in zip(diffs, feature_cols)]),
     )
-    return t.select(*g, F.explode(both).alias("e")).select(*g, "e.*")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no features for triplet"), "qid", "pos_docid", "neg_docid"))
+    whole = F.when(F.col("_p") & F.col("_n"), both).otherwise(lost)
+    # (explode would infer a filter on the array, which turns the left joins into inner ones)
+    return t.select(*g, F.explode_outer(whole).alias("e")).select(*g, "e.*")
 
 
 def fit_pairwise(examples: DataFrame, feature_cols: Sequence[str], reg: float = 0.01,

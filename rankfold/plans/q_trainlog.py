@@ -155,17 +155,24 @@ JOIN pair_features n ON n.qid = t.qid AND n.docid = t.neg_docid,
 (VALUES (1, 1.0), (0, -1.0)) s(label, sign_)
 """, "trip", "pair_features"))
 def q_pairwise_examples(spark, sf_dir):
-    """K9: the difference examples of every fold's triplets, both signs."""
+    """K9: the difference examples of every fold's triplets, both signs.  Triplets are drawn
+    from the whole search run, so features are computed for all documents they hold, not
+    for the cut only.  The SQL still joins them with the features of the cut (fewer rows)."""
     from ..operators import benchmark as B
     from ..operators import pairwise as P
     from ..operators import rerank as K
+    from ..operators.retrieve import SEARCH_DEPTH
+    from ..session import checkpoint
     from .q_rerank import PER_POSITIVE, SEED
     from .registry import X
 
     x = X(spark, sf_dir)
     train = B.split_run(x.search_run.select("qid", "docid"), x.folds(5), x.n_topics * 5, ("train",))
-    trip = K.triplets(train.select("fold", "qid", "docid"), x.qrels, 1, PER_POSITIVE, SEED, ["fold"])
-    e = P.pair_examples(trip, _pair_features(x), list(FIXED_WEIGHTS), ["fold"])
+    trip = checkpoint(K.triplets(train.select("fold", "qid", "docid"), x.qrels, 1, PER_POSITIVE, SEED, ["fold"]))
+    held = trip.select("qid", F.explode(F.array("pos_docid", "neg_docid")).alias("docid")).distinct()
+    maxp = x.maxp_of(held, x.n_topics * SEARCH_DEPTH).select("qid", "docid", F.col("score").alias("f_maxp"))
+    feats = x.search_run.select("qid", "docid", F.col("score").alias("f_bm25")).join(maxp, ["qid", "docid"])
+    e = P.pair_examples(trip, feats, list(FIXED_WEIGHTS), ["fold"])
     return e.select("fold", "label", r6("d_f_bm25").alias("d_bm25"), r6("d_f_maxp").alias("d_maxp"))
 
 

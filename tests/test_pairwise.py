@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -39,3 +40,22 @@ def test_joint_fit_reaches_each_folds_optimum(spark):
         assert got <= sep * (1 + 1e-3)
         # the learned direction ranks like the true one
         assert np.sign(joint[(fold, "a")]) == np.sign({"s1": 2.0, "s2": 0.5}[fold])
+
+
+def test_a_triplet_without_features_is_an_error(spark):
+    trip = spark.createDataFrame([("1", "a", "b"), ("1", "a", "c")], "qid string, pos_docid string, neg_docid string")
+    feats = spark.createDataFrame([("1", "a", 3.0), ("1", "b", 1.0)], "qid string, docid string, f double")
+    got = P.pair_examples(trip.limit(1), feats, ["f"]).collect()
+    assert sorted(tuple(r) for r in got) == [(0.0, -2.0), (1.0, 2.0)]
+    with pytest.raises(Exception, match="no features for triplet 1 a c"):
+        P.pair_examples(trip, feats, ["f"]).collect()
+
+
+def test_pairwise_examples_hold_every_triplet(spark):
+    from rankfold.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    per_fold = {r.fold: r["count"] for r in QUERIES["triplets"](spark, sf).groupBy("fold").count().collect()}
+    got = {(r.fold, r.label): r["count"]
+           for r in QUERIES["pairwise_examples"](spark, sf).groupBy("fold", "label").count().collect()}
+    assert got == {(f, label): n for f, n in per_fold.items() for label in (0.0, 1.0)}
