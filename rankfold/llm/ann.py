@@ -8,12 +8,15 @@ whose margin to the query is best, until the leaves it has reached hold enough s
 rows.  How many are enough is measured: sample queries are compared with brute force over
 the sample, and the smallest budget with a recall of ``RECALL`` is taken (data without
 clusters needs a large share of all rows, clustered data a small one).  Leaves are dealt
-into blocks; a block's vectors and the queries that reached it meet in one task, which
-reranks by exact cosine and returns each query's best.
+into blocks, a block's rows into sub-blocks of about ``BLOCK_ROWS`` (also if they are of
+one leaf) and the queries into chunks of about ``CHUNK_QUERIES``; a sub-block and the
+queries of a chunk that reached it meet in one Python call, which reranks by exact cosine
+and returns each query's best.
 
 Equal vectors are one *class*: leaves hold classes, so a vector that a third of all rows
 share is one candidate.  Of a class only the ``k + 1`` smallest ids can be in a result
-(ties go to the smaller id, and one may be the query itself), which is exact.
+(ties go to the smaller id, and one may be the query itself), which is exact.  Scaled
+copies of a vector are classes of their own: their cosines can differ in the last digit.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ TREES = 16
 LEAF = 48
 RECALL = 0.96
 MIN_CANDIDATES = 1_000
-# Index rows that meet in one task.
+# Index rows and queries that meet in one Python call, in expectation.
 BLOCK_ROWS = 50_000
+CHUNK_QUERIES = 10_000
 K = 5
 SEED = 42
 
@@ -159,6 +163,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def sub_blocks(leaf_rows: np.ndarray, blocks: int, rows: int) -> np.ndarray:
+    """Into how many sub-blocks of about ``rows`` rows every block is split; leaf n is in
+    block n % blocks and holds ``leaf_rows[n]`` rows in expectation."""
+    held = np.bincount(np.arange(len(leaf_rows)) % blocks, weights=leaf_rows, minlength=blocks)
+    return np.maximum(1, np.ceil(held / rows)).astype(np.int64)
+
+
 def classes(df: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """(cls, vector, ids): equal vectors together, with their k + 1 smallest ids; ``cls`` is
     unique once the table is written (an id can be in several classes).
@@ -196,7 +207,10 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
     vectors = unit(_matrix(sample["vector"].combine_chunks())[order]) if len(order) else np.empty((0, 1), np.float32)
     grown = Forest(vectors, trees, leaf)
     budget = calibrate(grown, vectors, k, recall)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cls.count() * trees // BLOCK_ROWS))
+    n_cls = cls.count()
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_cls * trees // BLOCK_ROWS))
+    # the sample is chosen by a hash, so leaves hold rows as they hold sample rows
+    subs = sub_blocks(np.array(grown.size) * (n_cls / max(1, len(vectors))), blocks, BLOCK_ROWS)
     forest = spark.sparkContext.broadcast(grown)
 
     # every query vector is searched once, however many queries share it
@@ -207,6 +221,7 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
                .join(cls.select("cls", "vector"), "vector").select("query_id", F.col("cls").alias("q")))
     queries.write.parquet(f"{path}/queries")
     queries = spark.read.parquet(f"{path}/queries")
+    chunks = -(-queries.select("q").distinct().count() // CHUNK_QUERIES) or 1
     asked = cls.join(queries.select(F.col("q").alias("cls")).distinct(), "cls", "left_semi")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +229,10 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
             found = forest.value.leaves(unit(_matrix(b.column(1))))
             row = np.repeat(np.arange(b.num_rows), found.shape[1])
             flat = found.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat % blocks), pa.array(flat), *[c.take(row) for c in b.columns]],
-                                             names=["block", "leaf", "cls", "vector", "ids"])
+            sub = b.column(0).to_numpy()[row] % subs[flat % blocks]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat % blocks), pa.array(sub), pa.array(flat), *[c.take(row) for c in b.columns]],
+                names=["block", "sub", "leaf", "cls", "vector", "ids"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -227,12 +244,12 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
                     block.append(n)
                     leaves.append(found[found % blocks == n])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block, type=pa.int64()), b.column(0).take(pa.array(row, type=pa.int64())),
+                [pa.array(block, type=pa.int64()), pa.array(subs[np.array(block, dtype=np.int64)]), b.column(0).take(pa.array(row, type=pa.int64())),
                  b.column(1).take(pa.array(row, type=pa.int64())), pa.array(leaves, type=pa.list_(pa.int64()))],
-                names=["block", "q", "qv", "leaves"])
+                names=["block", "subs", "q", "qv", "leaves"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k + 1 ids of each query within one block, each with its best score."""
+        """The best k + 1 ids of each query within one sub-block, each with its best score."""
         out_q, out_i, out_s = [], [], []
         if left.num_rows and right.num_rows:
             leaf_of, cls_of = left["leaf"].to_numpy(), left["cls"].to_numpy()
@@ -267,10 +284,16 @@ def nearest(df: DataFrame, query_ids: DataFrame, id_col: str = "vec_id", vector_
         return pa.table({"q": pa.array(out_q, type=pa.int64()), "vec_id": pa.array(out_i, type=pa.int64()),
                          "score": pa.array(out_s, type=pa.float64())})
 
+    # every sub-block meets every chunk: rows are copied per chunk, queries per sub-block
     index = cls.select("cls", "vector", "ids").mapInArrow(
-        place, "block long, leaf long, cls long, vector array<double>, ids array<long>")
-    reached = asked.select("cls", "vector").mapInArrow(walk, "block long, q long, qv array<double>, leaves array<long>")
-    scored = (index.groupBy("block").cogroup(reached.groupBy("block"))
+        place, "block long, sub long, leaf long, cls long, vector array<double>, ids array<long>")
+    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    reached = asked.select("cls", "vector").mapInArrow(
+        walk, "block long, subs long, q long, qv array<double>, leaves array<long>")
+    reached = (reached.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).drop("subs")
+               .withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int")))
+    key = ["block", "sub", "chunk"]
+    scored = (index.groupBy(*key).cogroup(reached.groupBy(*key))
               .applyInArrow(rerank, "q long, vec_id long, score double")
               .groupBy("q", "vec_id").agg(F.max("score").alias("score")))
     # k + 1 ids are enough: one of them may be the query itself

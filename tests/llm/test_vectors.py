@@ -87,3 +87,16 @@ def test_op9_one_id_with_many_vectors(spark):
     got = found(ann.nearest(df, queries))
     assert all(len(v) == 5 for v in got.values())
     assert got == want
+
+
+def test_op9_groups_are_bounded(spark, monkeypatch):
+    # one leaf with 1,000 rows is split, the small ones beside it are not
+    assert ann.sub_blocks(np.array([1000.0, 10, 20, 5]), 3, 100).tolist() == [11, 1, 1]
+    rng = np.random.default_rng(6)
+    # many sub-blocks and chunks give the same rows as one
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(300)] + [(300 + i, [3.0 * i, 1.0 * i, -7.0 * i]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", 7)
+    queries = df.filter(F.col("vec_id") % 10 == 0).select("vec_id")
+    assert found(ann.nearest(df, queries)) == brute(rows, range(0, 500, 10))
