@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_near, q_select, q_text, q_tokens, q_vectors
+from . import q_near, q_select, q_text, q_tokens, q_vectors, q_words
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = (q_tokens, q_select, q_text, q_vectors, q_near)
+MODULES = (q_tokens, q_select, q_text, q_vectors, q_near, q_words)
 
 
 def queries() -> dict[str, QueryFn]:
