@@ -1,11 +1,11 @@
-"""Queries of the operators that read texts (5, 6, 7)."""
+"""Queries of the operators that read texts (5, 6, 7, 12)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, secrets
+from . import langid, pii, quality, secrets
 from .q_tokens import documents
 
 
@@ -39,5 +39,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_langid": op7_langid}
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
+    return quality.score(docs, quality.fit(docs, labels)).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {"op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_langid": op7_langid, "op12_quality": op12_quality}
 ORACLE: dict[str, str] = {}

@@ -1,11 +1,11 @@
-"""Queries of the operators on words (13)."""
+"""Queries of the operators on words (11, 13)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import periodic
+from . import periodic, spelling
 from .q_tokens import documents
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -33,6 +33,10 @@ def planted(doc_id: Column, text: Column) -> Column:
     return F.when(h % 10 == 0, bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), change)).otherwise(text)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
     found = periodic.find(docs).drop("text")
@@ -47,5 +51,5 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op13_periodic": op13_periodic}
+QUERIES = {"op11_spelling": op11_spelling, "op13_periodic": op13_periodic}
 ORACLE: dict[str, str] = {}
