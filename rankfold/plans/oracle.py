@@ -143,13 +143,20 @@ FROM (SELECT docid, tokens, unnest(range(0, {n})) AS pidx FROM {src})
 
 cte("cutpass", ("cutdocs",), passages_of("cutdocs"))
 cte("ppairs", ("cut", "cutpass"), "SELECT c.qid, p.* FROM cut c JOIN cutpass p USING (docid)")
-cte("pscore_bm25", ("ppairs", "qw"), f"""
+
+
+def bm25_passage_of(pairs: str, passages: str) -> str:
+    """BM25 of every passage of the (qid, docid) pairs; a term counts as often as it occurs."""
+    return f"""
 SELECT qid, docid, pidx, coalesce(sum(qw * (tfp / (tfp + {D(0.9)} * (({D(1.0)} - {D(0.4)}) + {D(0.4)} * pl / {D(150.0)})))), 0.0) AS score
-FROM (SELECT p.qid, p.docid, p.pidx, len(p.ptokens) AS pl, w.qw,
+FROM (SELECT c.qid, p.docid, p.pidx, len(p.ptokens) AS pl, w.qw,
              CAST(len(list_filter(p.ptokens, lambda x: x = w.term)) AS DOUBLE) AS tfp
-      FROM ppairs p LEFT JOIN qw w ON w.qid = p.qid)
+      FROM {pairs} c JOIN {passages} p ON p.docid = c.docid LEFT JOIN qw w ON w.qid = c.qid)
 GROUP BY qid, docid, pidx
-""")
+"""
+
+
+cte("pscore_bm25", ("cut", "cutpass", "qw"), bm25_passage_of("cut", "cutpass"))
 cte("agg_bm25", ("pscore_bm25",), """
 SELECT qid, docid, max(score) AS score_max, min_by(score, pidx) AS score_first,
        sum(score) AS score_sum, avg(score) AS score_avg

@@ -147,17 +147,32 @@ def _pair_features(x):
     return x.cut.select("qid", "docid", F.col("score").alias("f_bm25")).join(bm, ["qid", "docid"])
 
 
+# Features of every document that a triplet holds: triplets come from the whole run.
+O.cte("trip_docs", ("trip", "run"), """
+SELECT r.qid, r.docid, r.score FROM run r
+WHERE EXISTS (SELECT 1 FROM trip t WHERE t.qid = r.qid AND (t.pos_docid = r.docid OR t.neg_docid = r.docid))
+""")
+O.cte("trip_pass", ("trip_docs", "dtok"), O.passages_of(
+    "(SELECT docid, tokens FROM dtok WHERE docid IN (SELECT docid FROM trip_docs))"))
+O.cte("trip_maxp", ("trip_docs", "trip_pass", "qw"), O.bm25_passage_of("trip_docs", "trip_pass"))
+O.cte("trip_features", ("trip_docs", "trip_maxp"), """
+SELECT d.qid, d.docid, d.score AS f_bm25, m.f_maxp
+FROM trip_docs d JOIN (SELECT qid, docid, max(score) AS f_maxp FROM trip_maxp GROUP BY qid, docid) m
+  ON m.qid = d.qid AND m.docid = d.docid
+""")
+
+
 @register("pairwise_examples", O.sql("""
 SELECT fold, CAST(label AS DOUBLE) AS label, round(sign_ * (p.f_bm25 - n.f_bm25), 6) AS d_bm25,
        round(sign_ * (p.f_maxp - n.f_maxp), 6) AS d_maxp
-FROM trip t JOIN pair_features p ON p.qid = t.qid AND p.docid = t.pos_docid
-JOIN pair_features n ON n.qid = t.qid AND n.docid = t.neg_docid,
+FROM trip t JOIN trip_features p ON p.qid = t.qid AND p.docid = t.pos_docid
+JOIN trip_features n ON n.qid = t.qid AND n.docid = t.neg_docid,
 (VALUES (1, 1.0), (0, -1.0)) s(label, sign_)
-""", "trip", "pair_features"))
+""", "trip", "trip_features"))
 def q_pairwise_examples(spark, sf_dir):
     """K9: the difference examples of every fold's triplets, both signs.  Triplets are drawn
     from the whole search run, so features are computed for all documents they hold, not
-    for the cut only.  The SQL still joins them with the features of the cut (fewer rows)."""
+    for the cut only."""
     from ..operators import benchmark as B
     from ..operators import pairwise as P
     from ..operators import rerank as K
