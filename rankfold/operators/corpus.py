@@ -1,7 +1,10 @@
 """Corpus statistics and document lookup.
 
-A document's terms are counted inside its row (``doc_terms``); per-term sums are
-pre-aggregated per task, so a hot term (a stop word in most documents) does not skew.
+Per-term sums are pre-aggregated per task, so a hot term (a stop word in most documents)
+does not skew.  Postings come in two ways: of all terms, counted inside a document's row
+and never shuffled (``doc_terms``, for an index), or of a small vocabulary, cut to it
+where the document is read and counted after a shuffle by document (``vocabulary_hits``,
+for scoring: everything later that is keyed on the document stays in its partition).
 """
 
 from __future__ import annotations
@@ -20,15 +23,20 @@ def with_tokens(docs: DataFrame, text_col: str = "text", out: str = "tokens") ->
     return docs.withColumn(out, tokenize(text_col))
 
 
-DOC_MARK = ""  # term of the one row per document that carries its length (tokens are never empty)
+def all_tokens(text_col: str = "text") -> Column:
+    """Tokens of a text; a null text has none."""
+    return F.coalesce(tokenize(text_col), F.array().cast("array<string>"))
 
 
-def doc_terms(docs: DataFrame, text_col: str = "text", mark: bool = False) -> DataFrame:
+DOC_MARK = ""  # a term that every document has once (tokens are never empty)
+
+
+def doc_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(docid, dl, term, tf): one row per distinct term of every document, counted inside
     the row, so nothing is shuffled.
 
     The sorted tokens of a text are runs of equal terms; a run's length is the term's
-    count.  ``mark`` adds a row with the term ``DOC_MARK`` for every document.
+    count.
     """
     s, starts = F.col("_sorted"), F.col("_starts")
     sorted_ = docs.select("docid", F.sort_array(tokenize(text_col)).alias("_sorted"))
@@ -36,14 +44,31 @@ def doc_terms(docs: DataFrame, text_col: str = "text", mark: bool = False) -> Da
     sorted_ = sorted_.withColumn("_starts", F.filter(new, lambda i: i.isNotNull()))
     runs = F.transform(starts, lambda p, k: F.struct(
         F.get(s, p).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - p).cast("long").alias("tf")))
-    if mark:
-        one = F.struct(F.lit(DOC_MARK).alias("term"), F.lit(0).cast("long").alias("tf"))
-        runs = F.concat(F.array(one), runs)
     # explode_outer: a plain explode would infer a filter on the array and compute it twice
     out = sorted_.select("docid", F.size(s).alias("dl"), F.explode_outer(runs).alias("t"))
     return out.filter(F.col("t").isNotNull()).select("docid", "dl", "t.term", "t.tf")
 
 
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(_which, term): one row per token (0) and one per distinct term (1) of every document,
+    from one tokenization."""
+    tokens = docs.select(all_tokens(text_col).alias("_t")).select(F.array("_t", F.array_distinct("_t")).alias("_both"))
+    which = tokens.select(F.posexplode_outer("_both").alias("_which", "_terms"))
+    return which.select("_which", F.explode_outer("_terms").alias("term")).filter(F.col("term").isNotNull())
+
+
+def vocabulary_hits(docs: DataFrame, vocab: DataFrame, vocab_bound: int | None, text_col: str = "text") -> DataFrame:
+    """(docid, dl, term, tf) of the terms in ``vocab`` (column term, distinct).
+
+    Tokens outside the vocabulary go where the text is read; the others are shuffled by
+    document, once, and counted there."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = docs.select("docid", all_tokens(text_col).alias("_t"))
+    one = tokens.select("docid", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    return (one.join(broadcast_bounded(vocab, vocab_bound), "term", "left_semi").repartition(n, "docid")
+            .groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
 @dataclass
 class TermStats:
     """Postings (docid, dl, term, tf), terms (term, df, cf), doc_len (docid, dl)
@@ -57,11 +82,11 @@ class TermStats:
 
 
 def term_stats(docs: DataFrame, text_col: str = "text") -> TermStats:
-    """Only per-term partial sums are shuffled: a document's terms are counted in its row."""
+    """Only per-term partial sums are shuffled: tokens are counted where they are read."""
     doc_len = docs.select("docid", F.size(tokenize(text_col)).alias("dl"))
     postings = doc_terms(docs, text_col)
-    terms = postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms = term_counts(docs, text_col).groupBy("term").agg(
+        F.count(F.when(F.col("_which") == 1, 1)).alias("df"), F.count(F.when(F.col("_which") == 0, 1)).alias("cf"))
     coll = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return TermStats(postings, terms, doc_len,
                      coll.select("n").scalar(), coll.select("avgdl").scalar())

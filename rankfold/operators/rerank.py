@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fit_budget, sample_order, tokenize, uniform
+from .corpus import DOC_MARK, all_tokens
 from .ordering import sequence_number
 from .retrieve import BM25_B, BM25_K1, BM25Parts, rank_within
 from .sizing import broadcast_bounded
@@ -201,6 +202,51 @@ def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen:
     return p.join(broadcast_bounded(qside, q_bound), "qid")
 
 
+def hit_scores(cut: DataFrame, docs: DataFrame, qterms: DataFrame, scorers: Sequence[str] = ("bm25_passage",),
+               k1: float = BM25_K1, b: float = BM25_B, passagelen: int = PASSAGE_LEN, stride: int = PASSAGE_STRIDE,
+               numpassages: int | None = None, pair_bound: int | None = None, qterm_bound: int | None = None) -> DataFrame:
+    """K6 from term hits: (qid, docid, pidx, <scorer>..) of every passage of the cut run.
+
+    A document's positions are joined once with its queries' terms; each hit is given by
+    arithmetic to the windows that hold it and counted per (query, document, window, term).
+    No window is built and no term is searched in one, so the work is that of the hits.
+    One marker position per document reaches all its windows, so those without a hit score 0.
+
+    ``qterms``: (qid, term, qw, n_terms), n_terms being the query's distinct tokens (with
+    those the corpus does not have).  The needed documents are shuffled by id before they
+    are cut; all later groups hold the id and stay in their partition.
+    """
+    pairs = cut.select("qid", "docid").groupBy("docid").agg(F.collect_list("qid").alias("_for"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = docs.join(broadcast_bounded(pairs, pair_bound), "docid").select("docid", "_for", "text").repartition(n, "docid")
+    tokens = need.select("docid", "_for", all_tokens("text").alias("_t"))
+    places = tokens.select("docid", "_for", F.size("_t").alias("_n"),
+                           F.posexplode_outer(F.concat(F.array(F.lit(DOC_MARK)), "_t")).alias("_p", "term"))
+    marks = qterms.select("qid", "n_terms").distinct().select("qid", F.lit(DOC_MARK).alias("term"), F.lit(0.0).alias("qw"), "n_terms")
+    known = broadcast_bounded(qterms.select("qid", "term", "qw", "n_terms").filter(F.col("term") != DOC_MARK).unionByName(marks),
+                              None if qterm_bound is None else 2 * qterm_bound)
+    hits = places.select("docid", "_n", "_p", "term", F.explode("_for").alias("qid")).join(known, ["qid", "term"])
+    # windows that hold word p - 1 (p = 0, the marker: all of them)
+    n_windows = passage_count(F.col("_n"), passagelen, stride, numpassages)
+    low = F.when(F.col("_p") == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((F.col("_p") - passagelen) / F.lit(float(stride)))))
+    high = F.when(F.col("_p") == 0, n_windows - 1).otherwise(F.least(n_windows - 1, F.floor((F.col("_p") - 1) / F.lit(float(stride)))))
+    hits = (hits.select("docid", "qid", "term", "qw", "n_terms", "_n", low.cast("int").alias("_lo"), high.cast("int").alias("_hi"))
+            .filter("_lo <= _hi")
+            .select("docid", "qid", "term", "qw", "n_terms", "_n", F.explode(F.sequence("_lo", "_hi")).alias("pidx")))
+    tf = (hits.groupBy("docid", "qid", "pidx", "term")
+          .agg(F.count(F.lit(1)).cast("double").alias("tf"), F.max("qw").alias("qw"), F.max("n_terms").alias("n_terms"),
+               F.max("_n").alias("_n")))
+    length = F.least(F.lit(passagelen), F.col("_n") - F.col("pidx") * stride)
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / F.lit(float(passagelen)))
+    real = F.col("term") != DOC_MARK
+    scores = {"bm25_passage": F.sum(F.when(real, F.col("qw") * (F.col("tf") / (F.col("tf") + norm))).otherwise(0.0)),
+              "overlap": F.sum(F.when(real, 1.0).otherwise(0.0)) / F.max(F.when(F.col("n_terms") > 0, F.col("n_terms")).otherwise(1))}
+    unknown = set(scorers) - set(scores)
+    if unknown:
+        raise ValueError(f"no scorer from term hits: {sorted(unknown)}")
+    return tf.groupBy("qid", "docid", "pidx").agg(*[scores[s].alias(s) for s in scorers])
+
+
 # --------------------------------------------------------------------- K7 / K8
 def aggregations(score: str) -> dict[str, Column]:
     """The four aggregations of a passage score column, by name."""
@@ -210,11 +256,15 @@ def aggregations(score: str) -> dict[str, Column]:
 def compare_scorers(pairs: DataFrame, scorers: Sequence[str]) -> DataFrame:
     """(scorer, agg, qid, docid, score, rank) of every scorer and aggregation.
 
-    All scorers are columns of one pass over the passages, and all aggregations one
+    All scorers are columns of one pass over the passages (see ``compare_scored``)."""
+    return compare_scored(pairs.select("qid", "docid", "pidx", *[scorer_column(s).alias(s) for s in scorers]), scorers)
+
+
+def compare_scored(scored: DataFrame, scorers: Sequence[str]) -> DataFrame:
+    """K10 on passages that have a column for every scorer: all aggregations are one
     partial-aggregated groupBy; rows are multiplied after it."""
-    scored = pairs.select("qid", "docid", "pidx", *[scorer_column(s).alias(f"_s{i}") for i, s in enumerate(scorers)])
     wide = scored.groupBy("qid", "docid").agg(*[
-        a.alias(f"_{how}{i}") for i in range(len(scorers)) for how, a in aggregations(f"_s{i}").items()])
+        a.alias(f"_{how}{i}") for i, s in enumerate(scorers) for how, a in aggregations(s).items()])
     runs = F.array(*[F.struct(F.lit(s).alias("scorer"), F.lit(how).alias("agg"), F.col(f"_{how}{i}").alias("score"))
                      for i, s in enumerate(scorers) for how in AGGREGATIONS])
     long = wide.select("qid", "docid", F.explode(runs).alias("r")).select("r.scorer", "r.agg", "qid", "docid", "r.score")

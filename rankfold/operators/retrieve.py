@@ -1,13 +1,14 @@
 """First-stage retrieval: BM25 (R2), top-k (R3), parameter sweep (R4), best run.
 
-Two scans of the corpus, a statistics one and a scoring one; both count a document's
-terms inside its row (``corpus.doc_terms``):
+Two scans of the corpus, a statistics one and a scoring one:
 
-    (1) docs - terms - semi join broadcast(query vocabulary + marker)      map side
-             - groupBy(term) df, sum(dl)                                   vocabulary-sized shuffle
+    (1) docs - distinct terms - semi join broadcast(query vocabulary)       map side
+             - groupBy(term) df; N and the sum of lengths                    vocabulary-sized shuffle
              - small table in the shared folder: df, N, avgdl -> qw = qtf * idf
-    (2) docs - terms - join broadcast(qw) - groupBy(qid, docid) sum        one row per pair
-             - row_number() <= k per qid                                   WindowGroupLimit
+    (2) docs - tokens - semi join broadcast(query vocabulary)               map side
+             - shuffle by document of the tokens left, counted per term     the only large shuffle
+             - join broadcast(qw) - groupBy(qid, docid) sum                 in the document's partition
+             - row_number() <= k per qid                                    WindowGroupLimit
 
 The statistics are computed once and also feed the passage scorer.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..session import checkpoint
-from .corpus import DOC_MARK, doc_terms
+from .corpus import DOC_MARK, all_tokens, vocabulary_hits
 from .sizing import broadcast_bounded
 
 # BM25 parameters of the reference's large-collection runs and depths.
@@ -86,8 +87,8 @@ def bm25_tf_part(tf: Column, dl: Column, avgdl: Column, k1, b) -> Column:
 class BM25Parts:
     """Shared pieces of BM25 over one corpus and one topic set.
 
-    terms: (docid, dl, term, tf) of the corpus, lazily; stats: small table (term, df, dl)
-    of the query vocabulary; qw: (qid, term, qw) with qw = qtf * idf; n_docs / avgdl.
+    terms: (docid, dl, term, tf) of the query vocabulary, lazily; qw: (qid, term, qw) with
+    qw = qtf * idf; n_docs / avgdl.
     """
 
     terms: DataFrame
@@ -99,21 +100,23 @@ class BM25Parts:
 
 def bm25_parts(docs: DataFrame, topics: DataFrame, text_col: str = "text",
                query_col: str = "query", qterm_bound: int | None = None) -> BM25Parts:
-    """One scan gives df of the query terms and, from the marker rows, N and avgdl; the
-    table (at most one row per vocabulary term) is written once."""
+    """One scan gives df of the query terms and, from a marker that every document has,
+    N and avgdl; the table (at most one row per vocabulary term) is written once."""
     if qterm_bound is None:
         qterm_bound = query_term_bound(topics, query_col)
     qt = query_terms(topics, query_col)
-    vocab = qt.select("term").distinct().unionByName(
-        qt.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term")))
-    stats = checkpoint(doc_terms(docs, text_col, mark=True)
-                       .join(broadcast_bounded(vocab, qterm_bound + 1), "term", "left_semi")
+    vocab = qt.select("term").distinct()
+    marked = vocab.unionByName(qt.sparkSession.range(1).select(F.lit(DOC_MARK).alias("term")))
+    tokens = docs.select(all_tokens(text_col).alias("_t"))
+    seen = tokens.select(F.size("_t").alias("dl"),
+                         F.explode_outer(F.concat(F.array(F.lit(DOC_MARK)), F.array_distinct("_t"))).alias("term"))
+    stats = checkpoint(seen.join(broadcast_bounded(marked, qterm_bound + 1), "term", "left_semi")
                        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl")))
     total = stats.filter(F.col("term") == DOC_MARK).first()
     n_docs, avgdl = (total.df, total.dl / total.df) if total else (0, 0.0)
     qw = (qt.join(broadcast_bounded(stats.filter(F.col("term") != DOC_MARK), qterm_bound), "term")
           .select("qid", "term", (F.col("qtf") * idf(F.lit(n_docs), F.col("df"))).alias("qw")))
-    return BM25Parts(doc_terms(docs, text_col), qw, n_docs, avgdl, qterm_bound)
+    return BM25Parts(vocabulary_hits(docs, vocab, qterm_bound, text_col), qw, n_docs, avgdl, qterm_bound)
 
 
 def bm25_hits(parts: BM25Parts) -> DataFrame:

@@ -115,14 +115,27 @@ class Experiment:
                                numpassages=numpassages, pair_bound=self.cut_bound,
                                q_bound=self.n_topics)
 
+    @cached_property
+    def qterms(self) -> DataFrame:
+        """(qid, term, qw, n_terms): BM25 weights and the number of distinct tokens of every
+        query, also of one without a known term."""
+        n = self.title.select("qid", F.size(F.array_distinct(tokenize("query"))).alias("n_terms"))
+        w = self.parts.qw.select("qid", "term", "qw")
+        return n.join(w, "qid", "left").select("qid", F.coalesce("term", F.lit("")).alias("term"),
+                                               F.coalesce("qw", F.lit(0.0)).alias("qw"), "n_terms")
+
+    def hits_of(self, cut: DataFrame, bound: int, scorers=("bm25_passage",)) -> DataFrame:
+        """(qid, docid, pidx, <scorer>..) of all passages of the pairs of a cut run."""
+        return K.hit_scores(cut, self.docs, self.qterms, scorers, pair_bound=bound,
+                            qterm_bound=self.title_bound + self.n_topics)
+
     def maxp_of(self, cut: DataFrame, bound: int) -> DataFrame:
         """(qid, docid, score): BM25 MaxP of the distinct pairs of any cut run."""
-        pairs = K.passage_pairs(cut.select("qid", "docid").distinct(), self.docs, self.qside,
-                                pair_bound=bound, q_bound=self.n_topics)
-        return K.aggregate_scores(K.score_passages(pairs), "max")
+        pairs = cut.select("qid", "docid").distinct()
+        return K.aggregate_scores(self.hits_of(pairs, bound).withColumnRenamed("bm25_passage", "score"), "max")
 
     def passage_scores(self, scorer: str = "bm25_passage") -> DataFrame:
-        return K.score_passages(self.pairs(), scorer)
+        return self.hits_of(self.cut, self.cut_bound, (scorer,)).withColumnRenamed(scorer, "score")
 
     def doc_scores(self, scorer: str = "bm25_passage") -> DataFrame:
         return K.aggregate_scores(self.passage_scores(scorer))

@@ -128,7 +128,7 @@ O.cte("all_reranked", ("agg_bm25", "agg_overlap"), all_reranked_sql())
 
 def all_reranked(x, scorers=("bm25_passage", "overlap")):
     """Every (scorer, aggregation) run from one passage pass."""
-    return K.compare_scorers(x.pairs(), scorers)
+    return K.compare_scored(x.hits_of(x.cut, x.cut_bound, scorers), scorers)
 
 
 @register("scorer_compare", O.sql(f"""
