@@ -6,7 +6,7 @@ Floating outputs are rounded to 6 digits, matching the oracle SQL.
 
 from __future__ import annotations
 
-from . import q_bench, q_core, q_crossval, q_io, q_rerank, q_text, q_trainlog  # noqa: F401  (registers)
+from . import q_bench, q_core, q_crossval, q_index, q_io, q_rerank, q_text, q_trainlog  # noqa: F401  (registers)
 from .registry import ORACLE, QUERIES, QueryFn
 
 
