@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,17 +186,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     start = lambda i: F.floor(i * F.greatest(F.length("text") - CHUNK, F.lit(0)) / (PIECES - 1)).cast("int") + 1
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)),
                                           lambda i: F.substring(F.col("text"), start(i), F.lit(CHUNK))))
-    order = Window.partitionBy("label").orderBy("h", "id", "pieces")
-    rows = (joined.select("id", "label", unit_hash("id", "text", seed=SEED + 1).alias("h"), pieces.alias("pieces"))
-            .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_label))
-    got = sorted((r.label, r.n, r.pieces) for r in rows.select("label", "n", "pieces").collect())
+    rows = joined.select("label", unit_hash("id", "text", seed=SEED + 1).alias("h"), "id", pieces.alias("pieces"))
+    # (about 4 * docs_per_label rows of at most PIECES chunks come to the driver)
+    drawn = sorted((r.label, r.h, r.id, r.pieces) for r in rows.collect())
+    got = [g for k in (0, 1) for g in [d for d in drawn if d[0] == k][:docs_per_label]]
     if not got:
         return None
     label = np.array([g[0] for g in got])
     sampled = np.bincount(label, minlength=2)
     stands = np.array([all_of.get(k, 0) / max(1, sampled[k]) for k in range(2)])[label]
     model = ByteNet()
-    model.train([[p.encode("utf-8", "replace")[:CHUNK] for p in g[2]] for g in got], label, stands / stands.mean())
+    model.train([[p.encode("utf-8", "replace")[:CHUNK] for p in g[3]] for g in got], label, stands / stands.mean())
     return model
 
 
