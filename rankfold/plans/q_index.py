@@ -46,13 +46,13 @@ def q_bm25_safe(spark, sf_dir):
 _PART = f"tf / (tf + {O.D('0.9')} * (({O.D('1.0')} - {O.D('0.4')}) + {O.D('0.4')} * dl / (SELECT avgdl FROM coll)))"
 O.cte("safe_order", ("qw", "qtf", "coll"), f"""
 SELECT *, coalesce(sum(df) OVER (PARTITION BY qid ORDER BY top DESC, term
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {P.FIRST_HITS * K} AS leading,
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {P.FIRST_HITS * K} AS lead_,
        sum(top) OVER (PARTITION BY qid ORDER BY top DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later
 FROM (SELECT qid, term, qw, df, qw * max_part AS top FROM qw
       JOIN (SELECT term, count(*) AS df, max({_PART}) AS max_part FROM qtf GROUP BY term) USING (term))
 """)
 O.cte("safe_hit", ("safe_order", "qtf", "coll"), f"""
-SELECT o.qid, p.docid, o.term, o.leading, o.qw * ({_PART}) AS w FROM safe_order o JOIN qtf p ON p.term = o.term
+SELECT o.qid, p.docid, o.term, o.lead_, o.qw * ({_PART}) AS w FROM safe_order o JOIN qtf p ON p.term = o.term
 """)
 
 
@@ -63,10 +63,10 @@ SELECT qid, score AS low FROM (
 """
 
 
-O.cte("safe_first", ("safe_hit",), "SELECT qid, docid, sum(w) AS score FROM safe_hit WHERE leading GROUP BY qid, docid")
+O.cte("safe_first", ("safe_hit",), "SELECT qid, docid, sum(w) AS score FROM safe_hit WHERE lead_ GROUP BY qid, docid")
 O.cte("safe_floor1", ("safe_first",), _floor("safe_first"))
 O.cte("safe_parted", ("safe_order", "safe_floor1"), f"""
-SELECT o.*, (leading OR low IS NULL OR later >= low - {P.SLACK}) AS essential
+SELECT o.*, (lead_ OR low IS NULL OR later >= low - {P.SLACK}) AS essential
 FROM safe_order o LEFT JOIN safe_floor1 f ON f.qid = o.qid
 """)
 O.cte("safe_all", ("safe_hit", "safe_parted"), """

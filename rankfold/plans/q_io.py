@@ -32,6 +32,32 @@ def q_io_trecweb(spark, sf_dir):
     return docs.select("docid", T.html_to_text("html").alias("text"), "parse_error")
 
 
+# Ids of a sharded corpus: 50 documents a shard, 10 shards a folder.
+FETCH_DEPTH = 10
+
+
+def _shard_id():
+    d = F.col("doc_id")
+    return F.format_string("GX%03d-%02d-%07d", F.floor(d / 500), F.floor(d / 50) % 10, d)
+
+
+@register("fetch_docs_shards", O.sql(f"""
+SELECT printf('GX%03d-%02d-%07d', doc_id // 500, (doc_id // 50) % 10, doc_id) AS docid,
+       printf('GX%03d/%02d.gz', doc_id // 500, (doc_id // 50) % 10) AS shard, md5({_sql_squash('text')}) AS text_md5
+FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT docid FROM run WHERE rank <= {FETCH_DEPTH})
+""", "run"))
+def q_fetch_docs_shards(spark, sf_dir):
+    """L2 + S1 + T5: the corpus as gzip shards; the documents of a run's first ranks are
+    fetched from their own shards."""
+    x = X(spark, sf_dir)
+    root = scratch_dir(spark, "shards")
+    docs = x.docs.select(_shard_id().alias("docid"), F.lit("").alias("url"), F.col("text").alias("html"))
+    S.write_shards(docs, root)
+    first = x.search_run.filter(F.col("rank") <= FETCH_DEPTH).select(F.col("docid").cast("long").alias("doc_id"))
+    got = S.fetch_from_shards(spark, root, first.select(_shard_id().alias("docid")), x.n_topics * FETCH_DEPTH)
+    return got.select("docid", T.split_docid("docid").getField("shard").alias("shard"), F.md5(T.squash_ws("html")).alias("text_md5"))
+
+
 @register("io_qrels", O.sql("SELECT qid, docid, rel, CAST(NULL AS VARCHAR) AS parse_error FROM qrels", "qrels"))
 def q_io_qrels(spark, sf_dir):
     """S3: qrels text file round trip."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WS_RE, parse_trecweb
+from ..functions.text import WS_RE, parse_trecweb, split_docid
+from ..operators.sizing import broadcast_bounded
 
 # Fixed values of the formats.
 DOC_END = "\n</DOC>"
@@ -41,8 +42,13 @@ def read_trecweb(spark: SparkSession, path: str) -> DataFrame:
     keeps its last record; that is the only shuffle, and a map-side limit sends at most
     one record per docid and task.  Nothing runs while the plan is built.
     """
+    return _last_records(_records(spark, path))
+
+
+def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All records of the files, as ``read_trecweb`` but with repeated ids."""
     raw = (spark.read.option("lineSep", DOC_END).option("recursiveFileLookup", "true")
-           .text(path)
+           .text(paths)
            .select(F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_block_start").alias("split_start"),
                    F.regexp_replace("value", "\uFFFD", "").alias("value"),
@@ -50,21 +56,102 @@ def read_trecweb(spark: SparkSession, path: str) -> DataFrame:
     rec = raw.filter(F.col("value").rlike(r"(?m)^<DOC>")).withColumn(
         "value", F.regexp_replace("value", r"(?s)^(?:|.*?\n)<DOC>", "<DOC>"))
     docid, html, err = parse_trecweb(F.col("value"))
-    where = ["path", "split_start", "rec_no"]
-    parsed = rec.select(*where, docid.alias("docid"), html.alias("html"), err.alias("parse_error"))
-    # a record without an id is its own group
-    group = F.coalesce(F.col("docid"), F.concat_ws("|", F.lit(""), *where))
-    last = Window.partitionBy("_g").orderBy(*[F.col(c).desc() for c in where])
+    return rec.select(*_PLACE, docid.alias("docid"), html.alias("html"), err.alias("parse_error"))
+
+
+_PLACE = ("path", "split_start", "rec_no")
+
+
+def _last_records(parsed: DataFrame) -> DataFrame:
+    """A repeated docid keeps its last record; one without an id is its own group."""
+    group = F.coalesce(F.col("docid"), F.concat_ws("|", F.lit(""), *_PLACE))
+    last = Window.partitionBy("_g").orderBy(*[F.col(c).desc() for c in _PLACE])
     return (parsed.withColumn("_g", group).withColumn("_k", F.row_number().over(last)).filter("_k = 1")
             .drop("_g", "_k"))
 
 
+# ------------------------------------------------------------------ L2 on shards
+# Above this many shards the whole corpus is scanned: a list of them would be of its size.
+MAX_ASKED_SHARDS = 100_000
+_PLAIN_NAME = r"^\w[\w.]*$"
+
+
+def asked_shards(ids: DataFrame, limit: int = MAX_ASKED_SHARDS) -> list[tuple[str, str]] | None:
+    """The distinct (dir, file) of the asked ids (T5), sorted; None if more than ``limit``.
+
+    Ids without these parts, or with other signs than letters, digits, _ and . in them,
+    are in no shard."""
+    p = split_docid("docid")
+    named = ids.select(p.getField("dir").alias("dir"), p.getField("file").alias("file")).filter(
+        F.col("dir").rlike(_PLAIN_NAME) & F.col("file").rlike(_PLAIN_NAME))
+    got = named.distinct().limit(limit + 1).collect()
+    return None if len(got) > limit else sorted((r.dir, r.file) for r in got)
+
+
+def existing_shards(spark: SparkSession, root: str, shards: list[tuple[str, str]]) -> list[str]:
+    """Paths of those shards that exist.  Only the asked names are looked up, one request
+    for each folder, in whatever store Spark reads."""
+    jvm = spark._jvm
+    folders: dict[str, list[str]] = {}
+    for folder, file in shards:
+        folders.setdefault(folder, []).append(file)
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for folder, files in folders.items():
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{folder}/{{{','.join(files)}}}.gz"))
+        out += [f.getPath().toString() for f in found or []]
+    return sorted(out)
+
+
+def fetch_from_shards(spark: SparkSession, root: str, ids: DataFrame, ids_bound: int | None = None,
+                      max_shards: int = MAX_ASKED_SHARDS) -> DataFrame:
+    """L2 + S1: (path, docid, html, parse_error) of the asked ids (column docid) from a corpus
+    laid out as ``<root>/<dir>/<file>.gz``.
+
+    An id names its shard, so only the shards asked for are opened; the ids are broadcast
+    behind their bound and cut the records before anything is shuffled.  Missing shards and
+    ids give no row (``missing_docs`` tells them); a repeated record counts by its last."""
+    wanted = ids.select("docid").distinct()
+    shards = asked_shards(wanted, max_shards)
+    paths = [root] if shards is None else existing_shards(spark, root, shards)
+    if not paths:
+        return spark.createDataFrame([], "path string, docid string, html string, parse_error string")
+    mine = _records(spark, paths).join(broadcast_bounded(wanted, ids_bound), "docid", "left_semi")
+    return _last_records(mine).select("path", "docid", "html", "parse_error")
+
+
+def write_shards(df: DataFrame, root: str, header_col: str = "url") -> None:
+    """Write (docid, <header_col>, html) as ``<root>/<dir>/<file>.gz``, the shard named by the
+    id (T5).  A shard's records are ordered by id and written by one task, as a gzip file
+    must be; the finished files are then moved to their names (one rename for each shard)."""
+    spark = df.sparkSession
+    p = split_docid("docid")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (df.withColumn("_dir", p.getField("dir")).withColumn("_file", p.getField("file"))
+              .repartition(n, "_dir", "_file").sortWithinPartitions("_dir", "_file", "docid"))
+    staged = f"{root.rstrip('/')}/_staged"
+    (placed.select(_record(header_col).alias("value"), "_dir", "_file")
+     .write.option("compression", "gzip").partitionBy("_dir", "_file").text(staged))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(path(f"{staged}/_dir=*/_file=*/part-*")) or []:
+        part = f.getPath()
+        file = part.getParent().getName().split("=", 1)[1]
+        folder = part.getParent().getParent().getName().split("=", 1)[1]
+        fs.mkdirs(path(f"{root}/{folder}"))
+        if not fs.rename(part, path(f"{root}/{folder}/{file}.gz")):
+            raise OSError(f"could not publish shard {folder}/{file}")
+    fs.delete(path(staged), True)
+
+
+def _record(header_col: str) -> F.Column:
+    return F.concat(F.lit("<DOC>\n<DOCNO>"), F.col("docid"), F.lit("</DOCNO>\n<DOCHDR>\n"),
+                    F.coalesce(F.col(header_col), F.lit("")), F.lit("\n</DOCHDR>\n"), F.col("html"), F.lit(DOC_END))
+
+
 def write_trecweb(df: DataFrame, path: str, shard_col: str | None = None, header_col: str = "url") -> None:
     """Write (docid, <header_col>, html) as gzip trec-web shards (for tests and exports)."""
-    rec = F.concat(F.lit("<DOC>\n<DOCNO>"), F.col("docid"), F.lit("</DOCNO>\n<DOCHDR>\n"),
-                   F.coalesce(F.col(header_col), F.lit("")), F.lit("\n</DOCHDR>\n"), F.col("html"),
-                   F.lit(DOC_END))
-    out = df.select(rec.alias("value"), *([shard_col] if shard_col else []))
+    out = df.select(_record(header_col).alias("value"), *([shard_col] if shard_col else []))
     w = out.write.mode("overwrite").option("compression", "gzip")
     if shard_col:
         w = w.partitionBy(shard_col)
