@@ -47,18 +47,6 @@ def epoch_loss(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | Non
             .groupBy("run_id", "epoch").agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).alias("n_steps")))
 
 
-def dev_log_from_train(train_log: DataFrame, itersize: int = ITERSIZE, niters: int | None = None) -> DataFrame:
-    """Stand-in validation log per (run_id, epoch): ``map`` = mean loss value,
-    ``P_20`` = max, ``bpref`` = min, ``judged_10`` = steps / itersize and
-    ``loss_sum`` (a name outside the kept set)."""
-    t = train_log if niters is None else train_log.filter(F.col("step") <= niters * itersize)
-    wide = (t.withColumn("epoch", epoch_of("step", itersize)).groupBy("run_id", "epoch")
-            .agg(F.avg("loss").alias("map"), F.max("loss").alias("P_20"), F.min("loss").alias("bpref"),
-                 (F.count(F.lit(1)) / F.lit(float(itersize))).alias("judged_10"),
-                 F.sum("loss").alias("loss_sum")))
-    return wide.unpivot(["run_id", "epoch"], ["map", "P_20", "bpref", "judged_10", "loss_sum"], "metric", "value")
-
-
 def validation_epochs(dev_log: DataFrame, freq: int = VALIDATE_FREQ) -> DataFrame:
     """Only epochs where validation ran (epoch % freq == 0)."""
     return dev_log.filter(F.col("epoch") % freq == 0)

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 # name -> (deps, definition)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+# Those that DuckDB is told to compute once (a recursion would compute them every round).
+MATERIALIZED: set[str] = set()
 
 
-def cte(name: str, deps: tuple[str, ...], body: str) -> None:
+def cte(name: str, deps: tuple[str, ...], body: str, once: bool = False) -> None:
     CTES[name] = (deps, body)
+    if once:
+        MATERIALIZED.add(name)
 
 
 def nudge_rounding(q: str) -> str:
@@ -52,7 +56,7 @@ def sql(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return nudge_rounding(body.strip())
-    parts = [f"{n} AS (\n{CTES[n][1].strip()}\n)" for n in order]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}(\n{CTES[n][1].strip()}\n)" for n in order]
     return nudge_rounding("WITH " + ",\n".join(parts) + "\n" + body.strip())
 
 
