@@ -12,8 +12,9 @@ All of it is expression code on rows plus a few keyed shuffles:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +178,34 @@ def scorer_column(scorer: str, **kw) -> Column:
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+_LOADED: dict = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """The model of that name in this process (a function of the module, so that workers find
+    the module's own dictionary, not a copy of it)."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def batch_scorer(load: Callable[[], object], predict: Callable[..., Sequence[float]], columns: Sequence[str],
+                 name: str) -> Callable[[DataFrame], Column]:
+    """K6: a scorer for ``score_passages`` that scores Arrow batches in Python.
+
+    ``load`` builds the model, once in every Python worker (workers are reused from task to
+    task; ``name`` tells models apart); ``predict(model, *columns)`` gets one pandas series
+    for each column and returns as many numbers.  Both travel to the workers, so what they
+    hold must be small or a broadcast."""
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = loaded(name, load)
+        for series in batches:
+            yield pd.Series(predict(model, *series), dtype="float64")
+
+    return lambda pairs: run(*[F.col(c) for c in columns])
+
+
 def passage_pairs(cut: DataFrame, docs: DataFrame, qside: DataFrame, passagelen: int = PASSAGE_LEN,
                   stride: int = PASSAGE_STRIDE, numpassages: int | None = None,
                   pair_bound: int | None = None, q_bound: int | None = None,

@@ -7,10 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import crossval as CV
 from ..operators import metrics as E
-from ..session import scratch_dir
+from ..operators import rerank as K
+from ..session import checkpoint, scratch_dir
 from ..sources import files as S
 from ..sources import testbed
+from ..sources.publish import publish, read_all, read_best
 from . import oracle as O
 from .q_text import _sql_html_to_text, _sql_squash
 from .registry import X, r6, register
@@ -100,6 +103,68 @@ def q_io_run(spark, sf_dir):
     return r.select("run_id", "qid", "docid", "rank", r6("score").alias("score"), "params_ok")
 
 
+@register("io_run_folders", O.sql("""
+SELECT 'maxp' AS run_id, f.fold, f.split, m.qid, m.docid, m.rank, round(m.score, 6) AS score
+FROM maxp m JOIN folds5 f ON f.qid = m.qid WHERE f.split IN ('dev', 'test')
+""", "maxp", "folds5"))
+def q_io_run_folders(spark, sf_dir):
+    """Predictions of every fold in their own folders, read back with the folders' values."""
+    x = X(spark, sf_dir)
+    runs = CV.assemble_runs(x.reranked("max"), x.folds(5), ("dev", "test"), x.n_topics * 5)
+    path = scratch_dir(spark, "run-folders")
+    S.write_run(runs, path, "maxp", ("fold", "split"))
+    back = S.read_run(spark, path, partition_cols=("fold", "split"))
+    return back.select("run_id", "fold", "split", "qid", "docid", "rank", r6("score").alias("score"))
+
+
+def _best_sql() -> str:
+    """The run of the aggregation with the greatest mean nDCG@20, the first of equal ones."""
+    runs = "\nUNION ALL\n".join(f"""
+SELECT {i} AS seq, '{how}' AS job, qid, docid, score_{how} AS score,
+       CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score_{how}, 6) DESC, docid DESC) AS INTEGER) AS rank
+FROM agg_bm25""" for i, how in enumerate(K.AGGREGATIONS))
+    return f"""
+, all_agg AS ({runs}),
+means AS (SELECT seq, job, round(avg(ndcg_cut_20), 9) AS value FROM {O.per_query_sql('all_agg', group=('seq', 'job'))} pq GROUP BY seq, job)
+SELECT job, qid, docid, rank, round(score, 6) AS score FROM all_agg
+WHERE job = (SELECT job FROM means ORDER BY value DESC, seq LIMIT 1)
+"""
+
+
+@register("io_best_run", O.sql(_best_sql(), "agg_bm25", "qrels").replace("\n, all_agg", ",\nall_agg"))
+def q_io_best_run(spark, sf_dir):
+    """The runs of all aggregations are published with their nDCG@20 as one name; what is
+    read under it is the best one's.  Every job is run twice; the second time adds nothing."""
+    x = X(spark, sf_dir)
+    root = scratch_dir(spark, "published")
+    agg = checkpoint(K.aggregate_scores(x.passage_scores()))
+    for how in K.AGGREGATIONS * 2:
+        run = checkpoint(K.rerank(agg.select("qid", "docid", F.col(f"score_{how}").alias("score"))))
+        mean = E.mean_metrics(E.eval_run(run, x.qrels, ["ndcg_cut_20"], q_bound=x.n_topics)).first()
+        publish(run, root, "test.best", how, round(mean.value, 9))
+    return read_best(spark, root, "test.best").select("job", "qid", "docid", "rank", r6("score").alias("score"))
+
+
+@register("io_metrics_rerun", O.sql(f"""
+SELECT job, metric, round(avg(value), 6) AS value, CAST(count(*) AS BIGINT) AS n_queries FROM (
+  SELECT 'search' AS job, * FROM (UNPIVOT (SELECT * FROM {O.per_query_sql('run')} pq)
+    ON map, bpref, P_20, ndcg_cut_20, judged_10, judged_20, judged_200 INTO NAME metric VALUE value)
+  UNION ALL
+  SELECT 'maxp' AS job, * FROM (UNPIVOT (SELECT * FROM {O.per_query_sql('maxp')} pq)
+    ON map, bpref, P_20, ndcg_cut_20, judged_10, judged_20, judged_200 INTO NAME metric VALUE value))
+GROUP BY job, metric
+""", "run", "maxp", "qrels"))
+def q_io_metrics_rerun(spark, sf_dir):
+    """Metric rows of two jobs, each run twice; every row is there once."""
+    x = X(spark, sf_dir)
+    root = scratch_dir(spark, "published")
+    for job, run in (("search", x.search_run), ("maxp", x.reranked("max"))):
+        m = checkpoint(E.mean_metrics(E.eval_run(run, x.qrels, q_bound=x.n_topics)))
+        publish(m, root, "metrics", job)
+        publish(m, root, "metrics", job)
+    return read_all(spark, root, "metrics").select("job", "metric", r6("value").alias("value"), "n_queries")
+
+
 @register("io_metrics", O.sql(f"""
 SELECT '{RUN_ID}' AS run_id, metric, round(avg(value), 6) AS value, CAST(count(*) AS BIGINT) AS n_queries FROM (
   UNPIVOT (SELECT * FROM {O.per_query_sql('run')} pq)

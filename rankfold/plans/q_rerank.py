@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import network
 from ..functions import text as T
+from ..functions.subwords import budget_subwords, read_pieces
 from ..operators import benchmark as B
 from ..operators import metrics as E
 from ..operators import rerank as K
 from . import oracle as O
+from . import q_core  # noqa: F401  (its tables)
 from .q_bench import md5key
 from .registry import X, r6, register
 
@@ -95,8 +98,51 @@ def q_token_budget(spark, sf_dir):
                     F.size("ptokens").alias("n_passage"), F.size("input_tokens").alias("n_input"))
 
 
-# ------------------------------------------------------------------ K10 scorer comparison
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@register("token_budget_subwords")
+def q_token_budget_subwords(spark, sf_dir):
+    """T7 in subwords: leading passage words that fit a 256-subword input next to the
+    description query (greedy longest match; no SQL, a test has the brute force)."""
+    x = X(spark, sf_dir)
+    dq = x.desc.select("qid", T.tokenize("query").alias("qtokens"))
+    pairs = K.passage_pairs(x.cut, x.docs, dq, pair_bound=x.cut_bound, q_bound=x.n_topics)
+    b = budget_subwords(pairs, read_pieces(vocabulary_path()), K.MAX_SEQ_LEN)
+    return b.select("qid", "docid", "pidx", F.size("ptokens").alias("n_passage"), F.size("input_tokens").alias("n_input"))
+
+
+# ------------------------------------------------------------------ K6 batch scorer
+def _network_sql() -> str:
+    units = [f"{o} / (1 + exp(-({b} + {' + '.join(f'{w} * x{i}' for i, w in enumerate(ws))})))"
+             for ws, b, o in zip(network.WEIGHTS["hidden"], network.WEIGHTS["bias"], network.WEIGHTS["out"])]
+    return f"""
+SELECT qid, docid, pidx, round({' + '.join(units)}, 6) AS score FROM (
+  SELECT p.qid, p.docid, p.pidx, CAST(len(p.ptokens) AS DOUBLE) / 150 AS x0,
+         CAST(len(list_intersect(list_distinct(q.qtokens), p.ptokens)) AS DOUBLE) / greatest(1, len(list_distinct(q.qtokens))) AS x1,
+         CAST(len(array_to_string(p.ptokens, '')) AS DOUBLE) / greatest(1, len(p.ptokens)) / 10 AS x2
+  FROM ppairs p JOIN qtok q ON q.qid = p.qid)
+"""
+
+
 O.cte("qtok", ("title",), f"SELECT qid, {O.tok('query')} AS qtokens FROM title")
+
+
+@register("passage_scores_batch", O.sql(_network_sql(), "ppairs", "qtok"))
+def q_passage_scores_batch(spark, sf_dir):
+    """K6: passages scored in Arrow batches by a network that each worker loads once."""
+    net = K.batch_scorer(network.load, network.predict, ["qtokens", "ptokens"], "fixed-network")
+    s = K.score_passages(X(spark, sf_dir).pairs(), net)
+    return s.select("qid", "docid", "pidx", r6("score").alias("score"))
+
+
+# ------------------------------------------------------------------ K10 scorer comparison
 O.cte("pscore_overlap", ("ppairs", "qtok"), """
 SELECT p.qid, p.docid, p.pidx,
        CASE WHEN len(list_distinct(q.qtokens)) > 0

@@ -232,8 +232,9 @@ def write_folds(folds: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ S6 / S7 / S8 runs
-def read_run(spark: SparkSession, path: str, expect: dict | None = None) -> DataFrame:
-    """``qid Q0 docid rank score tag`` -> (run_id, qid, docid, rank, score).
+def read_run(spark: SparkSession, path: str, expect: dict | None = None, partition_cols=()) -> DataFrame:
+    """``qid Q0 docid rank score tag`` -> (run_id, qid, docid, rank, score), and the
+    folders' values of ``partition_cols`` (as written by ``write_run``).
 
     S7: with ``expect`` (e.g. {"k1": 0.9, "b": 0.4}) a ``params_ok`` column tells
     whether the tag names exactly those parameter values (``k1=0.90`` ...).
@@ -241,7 +242,8 @@ def read_run(spark: SparkSession, path: str, expect: dict | None = None) -> Data
     p = F.split(F.trim(F.col("value")), r"\s+")
     r = (spark.read.text(path).filter(F.trim("value") != "")
          .select(F.get(p, 5).alias("run_id"), F.get(p, 0).alias("qid"), F.get(p, 2).alias("docid"),
-                 F.get(p, 3).try_cast("int").alias("rank"), F.get(p, 4).try_cast("double").alias("score")))
+                 F.get(p, 3).try_cast("int").alias("rank"), F.get(p, 4).try_cast("double").alias("score"),
+                 *partition_cols))
     if expect:
         ok = F.lit(True)
         for k, v in expect.items():

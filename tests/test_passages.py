@@ -57,3 +57,26 @@ def test_bm25_passage_score(spark):
     norm = 0.9 * (0.6 + 0.4 * 4 / 150)
     assert abs(got[0] - (1.5 * 2 / (2 + norm) + 0.5 * 1 / (1 + norm))) < 1e-12
     assert got[1:] == [0.0, 0.0]  # a query without terms
+
+
+def test_batch_scorer_loads_its_model_once_per_worker(spark, tmpdir_path):
+    import os
+
+    import pandas as pd
+
+    from rankfold.operators import rerank as K
+
+    def load(folder=tmpdir_path):
+        name = os.path.join(folder, f"load-{os.getpid()}")
+        assert not os.path.exists(name)  # a second load in one worker would fail here
+        open(name, "w").close()
+        return 10.0
+
+    def predict(model, a, b):
+        return pd.Series(a) * model + b
+
+    pairs = spark.range(4000).selectExpr("id", "cast(id as double) as a", "1.0D as b").repartition(16)
+    scored = K.score_passages(pairs, K.batch_scorer(load, predict, ["a", "b"], f"test-{tmpdir_path}"))
+    assert all(r.score == 10 * r.a + 1 for r in scored.collect())
+    assert scored.filter("score > 5").count() == 3999
+    assert 1 <= len(os.listdir(tmpdir_path)) <= 16

@@ -12,7 +12,8 @@ import pytest
 from rankfold.plans import queries as LIBRARY
 
 SF = "/root/testdata/sf0.001"
-PY_QUERIES = {"pairwise_model", "pairwise_eval"}  # iterative MLlib fit
+# iterative MLlib fit; Arrow batches in Python by design
+PY_QUERIES = {"pairwise_model", "pairwise_eval", "passage_scores_batch", "token_budget_subwords"}
 
 
 def plan(df) -> str:
