@@ -43,9 +43,6 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 BLOCK = 256
-# Bytes kept of a shingle's hash for verification: two different shingles of a pair of
-# documents of 450 words meet with probability 2e-7.
-HASH_BYTES = 5
 CACHE_WORDS = 300_000
 SLICE_ROWS = 500
 
@@ -160,14 +157,12 @@ def band_keys(regs: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 # -- verification ----------------------------------------------------------------------------
 def pack(hashes: np.ndarray) -> bytes:
-    """The leading bytes of sorted hashes (their order stays)."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    """Sorted hashes, whole."""
+    return hashes.astype("<u8").tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
-    wide[:, :HASH_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, HASH_BYTES)
-    return wide.reshape(-1).view(">u8").astype(np.uint64)
+    return np.frombuffer(raw, dtype="<u8")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -75,7 +75,7 @@ h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 r(action, host, path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-m as (select h.*, (select arg_max({'rule': r.host || r.path, 'action': r.action}, length(r.host || r.path)) from r
+m as (select h.*, (select arg_max({'rule': r.host || r.path, 'action': r.action}, [length(r.host || r.path), length(r.host)]) from r
                    where (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path)) as won
       from h)
 select page_id, host, path, won.rule as rule, coalesce(won.action, 'allow') as verdict from m

@@ -21,6 +21,7 @@ protocol makes lost or repeated tasks harmless.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -95,8 +96,20 @@ class Words(dict):
         return ids
 
 
+def cuts_at_words(spec: bytes) -> bool:
+    """Does the vocabulary file cut texts as ``cut_words`` takes for granted: plain byte-level
+    BPE with its usual pattern, and nothing that changes the text before or the ids after?"""
+    d = json.loads(spec)
+    model, pre, post = d["model"], d.get("pre_tokenizer") or {}, d.get("post_processor") or {}
+    return (model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space") and not d.get("normalizer") and post.get("type") in (None, "ByteLevel")
+            and not any(model.get(k) for k in ("byte_fallback", "ignore_merges", "dropout", "continuing_subword_prefix",
+                                               "end_of_word_suffix", "unk_token")))
+
+
 class LibraryEncoder:
-    """The tokenizers library behind a cache of words.  A word of letters is one pre-token
+    """The tokenizers library behind a cache of words (a vocabulary that cuts texts another
+    way goes through the library's whole pipeline).  A word of letters is one pre-token
     and goes to the library's BPE model at once; other words, and texts that cannot be
     cut into words, go through its whole pipeline."""
 
@@ -113,6 +126,7 @@ class LibraryEncoder:
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words = Words(self._learn)
+        self.by_words = cuts_at_words(spec)
         # bytes (as Latin-1 characters) to the characters of the vocabulary
         self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
 
@@ -136,7 +150,7 @@ class LibraryEncoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<i4")
-        words = cut_words(text)
+        words = cut_words(text) if self.by_words else None
         try:
             if words is None or joined_word(words[0]):
                 raise Joined
@@ -188,8 +202,9 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
             yield flush()
 
     (df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-     .withColumn("tie", F.xxhash64("text"))
-     .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+     .withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+     # (an id, or a row, that holds a third of the table is cut into many ranges)
+     .repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
      .mapInArrow(run, BLOCK_SCHEMA).write.mode("errorifexists").parquet(path))
 
 

@@ -2,8 +2,9 @@
 trie over path segments at each host, broadcast to the tasks that read the urls.
 
 A rule has a host and a path.  It fits its host and all subdomains when the url's path
-starts with the rule's.  Of the fitting rules the one with the most host labels wins,
-then the one with the longest path; a rule listed as both allow and block blocks.
+starts with the rule's.  Of the fitting rules the longest wins, counted over host and path
+together (of equally long ones that with the longer host); a rule listed as both allow and
+block blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .bpe import with_fields
 
 # The trie is broadcast: more rule text than this is refused.
 MAX_RULE_CHARS = 64_000_000
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Rule(NamedTuple):
@@ -33,11 +35,12 @@ class Rule(NamedTuple):
 
 
 def parse_rules(lines: Iterable[tuple[str, str]]) -> list[Rule]:
-    """(action, 'host/path') pairs to rules; a text without '/' has an empty path."""
+    """(action, 'host/path') pairs to rules; a text without '/' has an empty path.  A-Z in
+    hosts are lower-cased, as in the urls' hosts."""
     out = []
     for action, text in lines:
         host, slash, path = text.partition("/")
-        out.append(Rule(action, host, slash + path))
+        out.append(Rule(action, host.translate(_LOWER), slash + path))
     return out
 
 
@@ -71,7 +74,9 @@ class Trie:
             node = node["next"].get(label)
             if node is None:
                 break
-            found = self._path(node, segments) or found
+            here = self._path(node, segments)
+            if here and (found is None or len(here[0]) >= len(found[0])):
+                found = here
         return found or (None, None)
 
     @staticmethod

@@ -48,6 +48,52 @@ def test_op5_query_keeps_all_base_spans(spark):
         assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
 
 
+def planted_secrets(spark, folder, n=1500):
+    """Documents of words, every tenth with a random string that no base pattern matches."""
+    rng = random.Random(11)
+    words = re.findall(r"[a-z]{2,}", " ".join(r.text or "" for r in documents(spark, "/root/testdata/sf0.01").limit(200).collect()))
+    rows, keys = [], {}
+    for i in range(n):
+        text = " ".join(rng.choices(words, k=60))
+        if i % 10 == 1:
+            key = "".join(rng.choices(secrets.ALPHABET[:62], k=rng.choice([12, 16, 19, 24, 40])))
+            if secrets.base_spans(f" {key} "):
+                continue
+            keys[i] = (len(text) + 1, len(text) + 1 + len(key))
+            text += f" {key} " + " ".join(rng.choices(words, k=20))
+        elif i % 20 == 0:
+            text += f' api_key = "{"".join(rng.choices(secrets.ALPHABET[:62], k=24))}"'
+        rows.append((i, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return keys
+
+
+def test_op5_query_finds_planted_strings_that_the_base_misses(spark, tmpdir_path):
+    keys = planted_secrets(spark, tmpdir_path)
+    rows = {r.doc_id: [tuple(x.split(":")) for x in filter(None, r.spans.split(","))] for r in q_text.op5_secrets(spark, tmpdir_path).collect()}
+    found = {d: [(int(s), int(e)) for k, s, e in v if k == "random"] for d, v in rows.items()}
+    assert sum(k in found[d] for d, k in keys.items()) >= 0.98 * len(keys)
+    assert sum(len(v) for d, v in found.items() if d not in keys) <= 1
+
+
+def test_token_ratios_equal_token_by_token_sums():
+    rng = random.Random(6)
+    ratio = np.random.default_rng(1).normal(size=len(secrets.ALPHABET) ** 2)
+    for _ in range(800):
+        text = "".join(rng.choices("aB3/= é漢.,?deadbeef01" + "f" * 6, k=rng.randint(1, 90)))
+        spans = secrets.base_spans(text)
+        want = [(s, e, ratio[secrets.transitions(text[s:e])].sum()) for s, e in secrets.outside(text, spans)]
+        got = list(zip(*secrets.token_ratios(text, spans, ratio)))
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want]), text
+
+
+def test_parts_of_a_token_beside_a_base_span_are_scored(spark):
+    model = secrets.fit(documents(spark, "/root/testdata/sf0.01"))
+    text = "see kQ9zX2vB7nW4jR=deadbeefdeadbeef0=tY6uP3mZ8cH5gL1 here"
+    kinds = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.scan_text(text, model)]
+    assert kinds == [("random", "kQ9zX2vB7nW4jR="), ("hex", "deadbeefdeadbeef0"), ("random", "=tY6uP3mZ8cH5gL1")]
+
+
 def test_markov_models_part_random_strings_from_identifiers(spark):
     ratio = secrets.fit(documents(spark, "/root/testdata/sf0.01"))
     rng = random.Random(2)

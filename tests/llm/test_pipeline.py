@@ -17,7 +17,7 @@ def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "bpe_encoding"]
     assert "pipeline" in ENTRY.queries() and "pipeline" not in ENTRY.oracle_sql()
     ops = {int(m[1]) for q in ENTRY.queries() if (m := re.match(r"op(\d+)_", q))}
-    assert ops == set(range(1, 11))
+    assert ops == set(range(1, 14))
 
 
 def test_each_stage_equals_brute_force(spark, tmpdir_path):
@@ -57,6 +57,13 @@ def test_each_stage_equals_brute_force(spark, tmpdir_path):
         assert r.token_ids == t.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.token_ids)
 
 
+def test_without_labels_only_texts_without_letters_go(spark):
+    docs = spark.createDataFrame([(1, "plain words", None, "s", 3), (2, "x", None, "s", 1), (3, "12 34", None, "s", 5), (4, None, None, "s", 0)],
+                                 q_tokens.documents(spark, DIR).schema)
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
 def test_run_equals_the_stages_and_takes_an_empty_table(spark, tmpdir_path):
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and out.count() > 50

@@ -128,7 +128,10 @@ def test_mix_edge_tables(spark):
 def test_trie_equals_a_scan_of_all_rules(spark):
     rules = url_filter.parse_rules(q_select.URL_RULES + [
         ("block", "a.example.com/x/y"), ("allow", "a.example.com/x/yz/"), ("block", "org"), ("allow", "org"),
-        ("allow", "www.org/a//b"), ("block", "/private/")])
+        ("allow", "www.org/a//b"), ("block", "/private/"),
+        # more labels against more characters, and equally long ones
+        ("block", "com/x/yz/1"), ("allow", "B.a.example.com/x"), ("block", "com/en/1"), ("allow", "a.example.com"),
+        ("block", "x.net/e"), ("allow", "net/fr/e")])
     urls = [f"http://{h}{p}" for h in ("example.com", "WWW.example.com", "a.example.com", "b.a.example.com", "com",
                                        "xcom", "x.net", "org", "www.org", "", "example.com:80", "a..com")
             for p in ("", "/", "/en", "/en/", "/en/1?x#y", "/x/y", "/x/yz", "/x/yz/1", "/x/yy", "/es/a", "/fr/",
@@ -142,7 +145,7 @@ def test_trie_equals_a_scan_of_all_rules(spark):
         path = re.match(r"[^?#]*", rest[len(host):])[0]
         host = host.lower()
         fits = [x for x in rules if (not x.host or host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
-        best = max(fits, key=lambda x: (len(x.host.split(".")) if x.host else 0, len(x.path), x.action == "block"), default=None)
+        best = max(fits, key=lambda x: (len(x.name), len(x.host), x.action == "block"), default=None)
         assert (r.host, r.path) == (host, path)
         assert (r.rule, r.verdict) == ((best.name, best.action) if best else (None, "none")), r.url
     assert url_filter.judge(df.limit(0), rules).count() == 0
