@@ -43,8 +43,8 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 BLOCK = 256
-CACHE_WORDS = 300_000
-SLICE_ROWS = 500
+CACHE_WORDS = 150_000
+SLICE_ROWS = 200
 
 _WORD = re.compile(r"\w+")
 _G = np.uint64(0x9E3779B97F4A7C15)
