@@ -35,8 +35,9 @@ EPOCHS = 6
 BATCH = 64
 SEED = 42
 UNDETERMINED = "und"
-# Share of a language's clean documents that its cut may lose, and the least to set one from.
-CUT_LOSS = 0.001
+# A language's cut, as a share of the least score of its held-out documents, and how many of
+# them it takes to set one.
+CUT_SHARE = 0.8
 CUT_DOCS = 100
 _LETTER = regex.compile(r"\p{L}")
 
@@ -206,9 +207,9 @@ def predict(df: DataFrame, model: ByteCnn | None, text_col: str = "text", pred:
 
 
 def cutoffs(df: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            loss: float = CUT_LOSS, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, float]:
-    """For each language the score that all but the share ``loss`` of its held-out documents
-    reach, among those that the model calls by their label.
+            docs_per_lang: int = DOCS_PER_LANG) -> dict[str, float]:
+    """For each language ``CUT_SHARE`` of the least score of its held-out documents, among
+    those that the model calls by their label: what lies below is like none of them.
 
     About ``docs_per_lang`` held-out documents of each language, chosen by a hash of the id,
     are scored whole; only their scores come to the driver.  A language with fewer than
@@ -224,5 +225,5 @@ def cutoffs(df: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str
     for lang in counts:
         scores = sorted(r._score for r in scored if r._lang == lang)
         if len(scores) >= CUT_DOCS:
-            out[lang] = scores[int(loss * len(scores))]
+            out[lang] = CUT_SHARE * scores[0]
     return out
