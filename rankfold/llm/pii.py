@@ -5,9 +5,9 @@ more: two high-recall generators propose spans (anything number-like, anything
 address-like, also spelled out), boosted trees score each by its format and context, and
 those above a calibrated threshold that overlap no base span are reported, best first.
 
-The trees are fitted by ``pyspark.ml`` on the candidates of about ``SAMPLE_DOCS``
-documents, labelled by whether a candidate is a base span, and are then written out as one
-SQL expression, so that scoring is part of the scan: no shuffle and no Python.
+The trees are fitted by ``pyspark.ml`` on the candidates of all documents, labelled by
+whether a candidate is a base span, and are then written out as one SQL expression, so that
+scoring is part of the scan: no shuffle and no Python.
 
 Positions: a text split at its matches has one more gap than matches, so the running sum
 of gap and match lengths is the place of each match, in code points.  The patterns equal
@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from .sample import about
 
 # The base patterns, in the order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +41,6 @@ ADDRESS_LIKE = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\
                 r"(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++")
 LABEL_WORDS = r"(?i)(tel|phone|call|fax|mobile|mail|contact|card|visa|account|address|host|\bip)\W{0,3}$"
 CONTEXT = 24
-SAMPLE_DOCS = 20_000
 TREES = 12
 DEPTH = 3
 MIN_PRECISION = 0.98
@@ -192,15 +190,15 @@ def _tree(lines: list[str]):
     return int(m[1]), float(m[2]), below, _tree(lines)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fit and calibrate the trees on the bounded sample; None (the method adds nothing) if
-    it has only one class of candidates.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fit and calibrate the trees on the candidates of all documents; None (the method adds
+    nothing) if there is only one class of them.
 
     A candidate that overlaps a base span but is not one is left out.  The threshold is
-    the lowest one, in steps of 1 / ``BINS``, whose precision on the sample's odd ids
+    the lowest one, in steps of 1 / ``BINS``, whose precision on the odd ids
     reaches ``MIN_PRECISION``; the trees are fitted on the even ids."""
-    path = scratch_dir(df.sparkSession, "pii-sample")
-    (with_candidates(about(df, id_col, sample_docs).select(F.col(id_col).alias("_id"), text_col), text_col)
+    path = scratch_dir(df.sparkSession, "pii-candidates")
+    (with_candidates(df.select(F.col(id_col).alias("_id"), text_col), text_col)
      # (explode would infer a filter on the array's size and copy all its expressions into it)
      .select("_id", F.explode_outer("_cand").alias("c")).filter("c.base or not c.touches")
      .select((F.pmod(F.xxhash64("_id"), F.lit(2)) == 1).alias("odd"), F.col("c.base").cast("double").alias("label"),
@@ -210,7 +208,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
     both = {(r.odd, r.label) for r in rows.select("odd", "label").distinct().collect()}
     if {(False, 0.0), (False, 1.0)} - both:
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.filter("not odd")).coalesce(8)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.filter("not odd"))
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=42).fit(vectors)
     trees = [_tree(t.toDebugString.splitlines()[1:]) for t in fitted.trees]
     model = Model(trees, list(fitted.treeWeights), 1.0)
