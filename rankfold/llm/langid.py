@@ -206,24 +206,15 @@ def predict(df: DataFrame, model: ByteCnn | None, text_col: str = "text", pred:
     return df.mapInArrow(run, schema)
 
 
-def cutoffs(df: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-            docs_per_lang: int = DOCS_PER_LANG) -> dict[str, float]:
+def cutoffs(df: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text",
+            lang_col: str = "lang") -> dict[str, float]:
     """For each language ``CUT_SHARE`` of the least score of its held-out documents, among
     those that the model calls by their label: what lies below is like none of them.
 
-    About ``docs_per_lang`` held-out documents of each language, chosen by a hash of the id,
-    are scored whole; only their scores come to the driver.  A language with fewer than
-    ``CUT_DOCS`` of them gets no cut."""
+    All held-out documents are scored whole; only a language's least score and count come to
+    the driver.  A language with fewer than ``CUT_DOCS`` of them gets no cut."""
     mine = df.filter(F.col(lang_col).isin(model.langs) & held_out(F.col(id_col)))
-    counts = {r.lang: r.n for r in mine.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.lit(1.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, docs_per_lang / n))).otherwise(rate)
-    some = mine.filter(unit_hash(id_col, seed=SEED + 1) < rate).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    scored = predict(some, model, "_text", "_pred", "_score").filter("_pred = _lang").select("_lang", "_score").collect()
-    out = {}
-    for lang in counts:
-        scores = sorted(r._score for r in scored if r._lang == lang)
-        if len(scores) >= CUT_DOCS:
-            out[lang] = CUT_SHARE * scores[0]
-    return out
+    scored = predict(mine.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")), model, "_text", "_pred", "_score")
+    least = (scored.filter("_pred = _lang").groupBy("_lang")
+             .agg(F.min("_score").alias("least"), F.count(F.lit(1)).alias("n")).collect())
+    return {r._lang: CUT_SHARE * r.least for r in least if r.n >= CUT_DOCS}
