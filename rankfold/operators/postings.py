@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .corpus import all_tokens, doc_terms
+from .hits import DocHits, small, vocabulary
 from .retrieve import BM25_B, BM25_K1, SEARCH_DEPTH, BM25Parts, bm25_tf_part, idf, query_terms, query_term_bound, rank_within
 from .sizing import broadcast_bounded, row_bound
 
@@ -64,7 +65,9 @@ def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, text_col: st
     unique."""
     spark = docs.sparkSession
     n = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (doc_terms(docs, text_col).select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "docid", "dl", "tf")
+    # (written first: a range sort reads its input twice, which would tokenize it twice)
+    counted = checkpoint(doc_terms(docs, text_col))
+    (counted.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "docid", "dl", "tf")
      .repartitionByRange(n, "bucket", "term", "docid").sortWithinPartitions("bucket", "term", "docid")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     (docs.select(F.size(all_tokens(text_col)).alias("dl"))
@@ -131,7 +134,15 @@ def index_parts(index: Index, topics: DataFrame, query_col: str = "query", qterm
         qterm_bound = query_term_bound(topics, query_col)
     qw = checkpoint(weighted_terms(index, topics, index.k1, index.b, query_col, qterm_bound).select("qid", "term", "qw"))
     terms = index.lists(qw.select("term").distinct(), qterm_bound)
-    return BM25Parts(terms, qw, index.n_docs, index.avgdl, qterm_bound)
+    hits = None
+    if small(qterm_bound):
+        vocab = vocabulary(qw)
+        numbers = index.spark.createDataFrame(list(enumerate(vocab)), "_n int, term string")
+        lists = index.lists(numbers, qterm_bound, keep=("_n",))
+        found = lists.groupBy("docid", "dl").agg(F.collect_list(F.struct("_n", F.col("tf").cast("int").alias("tf"))).alias("_h"))
+        rows = checkpoint(found.select("docid", "dl", F.col("_h._n").alias("terms"), F.col("_h.tf").alias("tfs")))
+        hits = DocHits(rows, vocab, True)
+    return BM25Parts(terms, qw, index.n_docs, index.avgdl, qterm_bound, hits)
 
 
 # -- the k best without all hits -------------------------------------------------------------------
