@@ -37,18 +37,19 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from .bpe import CACHE_CHARS, slices
+from .held import cache
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 BLOCK = 256
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 SLICE_ROWS = 200
 
 _WORD = re.compile(r"\w+")
 _G = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[str, int] = {}
+_WORDS = cache("near_dup")
 
 
 # -- shingles ------------------------------------------------------------------------------
@@ -255,6 +256,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, text -> doc_id, h, digest, bands (null without words)."""
+    cache("near_dup")
     for b in slices(batches, SLICE_ROWS):
         ws = [words(t) for t in b.column(2).to_pylist()]
         keys = band_keys(signatures([shingles(w) for w in ws]))
@@ -266,6 +268,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, digest, text -> node, shingles; rows whose text has another digest go."""
+    cache("near_dup")
     for b in slices(batches, SLICE_ROWS):
         rows = [(n, words(t), d) for n, d, t in zip(*(b.column(i).to_pylist() for i in range(3)))]
         rows = [(n, pack(shingles(w))) for n, w, d in rows if digest(w) == d]
