@@ -7,6 +7,8 @@ that ever ran in it.
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 
 _CACHES: dict[str, dict] = {}
@@ -18,5 +20,6 @@ def cache(owner: str) -> dict:
     for c in others:
         c.clear()
     if others:
+        gc.collect()  # a cache and the model that fills it know each other
         pa.default_memory_pool().release_unused()
     return _CACHES.setdefault(owner, {})

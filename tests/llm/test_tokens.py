@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -43,6 +44,28 @@ def test_encoders_equal_the_library_on_random_texts(library, spec):
         assert back.decode(want) == library.decode(want, skip_special_tokens=False), s
 
 
+def test_frequent_words_are_learned_once(library, spec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    model, learned = bpe.BpeModel(spec), []
+    encode_piece = model.encode_piece
+    model.encode_piece = lambda piece: learned.append(piece) or encode_piece(piece)
+    for i in range(60):
+        text = f"the frequentword rare{'abcdef'[i % 6]}{'ghijklmnop'[i // 6]}word frequentword\nwörd. Two  spaces" + "!" * (i % 3)
+        assert model.encode(text[:-12] if i % 2 else text).tolist() == library.encode(
+            text[:-12] if i % 2 else text, add_special_tokens=False).ids
+    assert learned.count(b" frequentword") <= 2  # as a word, and as a pre-token of whole texts
+
+
+def test_words_of_all_kinds_are_learned_as_the_library_encodes_them(library, spec):
+    model = bpe.BpeModel(spec)
+    rng = random.Random(8)
+    letters = "aeinrstüöäßéñçÀÿªµº×÷ŉſ中²1'#$*_"
+    for _ in range(3000):
+        s = "x " + " ".join("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3)) + rng.choice(["", ".", " <|endoftext|>", ",", "!."])
+        assert model.encode(s).tolist() == library.encode(s, add_special_tokens=False).ids, s
+        assert bool(bpe._SYMBOLS.search(s)) == bool(re.search(r"(?:[^\w\s]|_)[.,]", s)), s
+
+
 def test_very_long_pieces_are_linear(library, spec):
     model = bpe.BpeModel(spec)
     for s in ("ab" * 50_000, " " * 50_000 + "x", "é" * 20_000):
