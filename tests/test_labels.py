@@ -51,6 +51,24 @@ def test_few_judgments_are_sorted(spark, monkeypatch):
     assert 0 < sum(sorted_rows) < 0.05 * q.count()
 
 
+def test_the_grid_multiplies_counts_or_the_runs_judgments(spark):
+    q = judgments(spark)
+    folds = B.make_folds(spark.createDataFrame([(f"q{i}", i) for i in range(3)] + [("q1", 1)], "qid string, ord long"), 3)
+    rows = B.sample_grid(q, folds, B.RATES, B.MODES, 42, 12)
+    counted = B.sample_grid(q, folds, B.RATES, B.MODES, 42, 12, counted=["rel"])
+    cell = ["mode", "rate", "set_name", "fold", "split", "qid"]
+    want = {tuple(r) for r in rows.groupBy(*cell, "rel").count().collect()}
+    assert {tuple(r) for r in counted.groupBy(*cell, "rel").sum("n").collect()} == want and want
+    assert counted.count() < 0.2 * rows.count()
+    run = q.filter("docid like '%7'").select("qid", "docid")
+    numbered = B.numbered_judgments(q, B.RATES, 42)
+    mine = B.sample_grid(q, folds, B.RATES, B.MODES, 42, 12, numbered, run)
+    columns = [*cell, "docid", "rel"]
+    wanted = labels_of(run, rows)
+    assert sorted(map(str, mine.select(*columns).collect())) == sorted(map(str, wanted.select(*columns).collect()))
+    assert 0 < mine.count() < rows.count()
+
+
 def test_judgments_are_read_where_they_lie(spark):
     q = judgments(spark)
     run = spark.createDataFrame([("q0", "d0", 1), ("q1", "d1", 1), ("q1", "none", 2)], "qid string, docid string, rank int")
