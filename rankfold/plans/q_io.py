@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import crossval as CV
 from ..operators import metrics as E
 from ..operators import rerank as K
+from ..operators.labels import labels_of
 from ..session import checkpoint, scratch_dir
 from ..sources import files as S
 from ..sources import testbed
@@ -138,9 +139,11 @@ def q_io_best_run(spark, sf_dir):
     x = X(spark, sf_dir)
     root = scratch_dir(spark, "published")
     agg = checkpoint(K.aggregate_scores(x.passage_scores()))
+    # the judgments are read once for all jobs: counted, and those of the scored documents kept
+    levels, labels = E.judged_levels(x.qrels), checkpoint(labels_of(agg, x.qrels))
     for how in K.AGGREGATIONS * 2:
         run = checkpoint(K.rerank(agg.select("qid", "docid", F.col(f"score_{how}").alias("score"))))
-        mean = E.mean_metrics(E.eval_run(run, x.qrels, ["ndcg_cut_20"], q_bound=x.n_topics)).first()
+        mean = E.mean_metrics(E.eval_run(run, labels, ["ndcg_cut_20"], q_bound=x.n_topics, levels=levels)).first()
         publish(run, root, "test.best", how, round(mean.value, 9))
     return read_best(spark, root, "test.best").select("job", "qid", "docid", "rank", r6("score").alias("score"))
 
