@@ -88,7 +88,8 @@ def _sampled(x):
 def q_sample_stream(spark, sf_dir):
     """K3 with replacement: the whole stream of training samples of every fold."""
     x = X(spark, sf_dir)
-    return sample_stream(spark, sample_source(_train_run(x), _sampled(x), 1, SEED))
+    # (read once, so not written)
+    return sample_stream(spark, sample_source(_train_run(x), B.sample_shallow(x.qrels, SAMPLE_RATE, SEED), 1, SEED))
 
 
 # Features of the whole run (BM25 and three aggregations of the passage scores), each
